@@ -247,8 +247,7 @@ class Retail:
             .alias("units_sold"),
             F.when(key % 67 == 3, F.lit(None))
             .when(line == 2, F.format_number("revenue", 2))
-            .otherwise(F.round(F.col("revenue") * 100).cast("long") / 100)
-            .cast("string")
+            .otherwise((F.round(F.col("revenue") * 100) / 100).cast("string"))
             .alias("revenue"),
             F.when(key % 100 == 1, F.lit(None))
             .when(key % 100 == 2, F.lit("0"))

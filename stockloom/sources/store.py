@@ -26,7 +26,8 @@ def write_outputs(tables: dict[str, DataFrame], folder: str) -> list[str]:
         writer = df
         if name in MONTHLY:
             month = F.date_format(F.col(MONTHLY[name]), "yyyy-MM")
-            writer = df.withColumn("month_of", month)
+            # Rebalancing gathers a month into few files and splits one that is too large.
+            writer = df.withColumn("month_of", month).hint("rebalance", "month_of")
             writer.write.mode("overwrite").partitionBy("month_of").parquet(f"{folder}/{name}")
         else:
             writer.write.mode("overwrite").parquet(f"{folder}/{name}")
