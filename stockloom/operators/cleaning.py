@@ -24,7 +24,7 @@ from stockloom.contracts import (
 from stockloom.functions import scalar as S
 from stockloom.operators.audit import AuditTrail
 from stockloom.operators.ranking import exact_percentile
-from stockloom.session import small_side
+from stockloom.session import cut, small_side
 
 SEQ = "_row_seq"
 SALES = ["date", "sku_id", "units_sold", "revenue", "unit_price", "promo_flag"]
@@ -433,7 +433,8 @@ def clean_sales(raw: DataFrame, master: DataFrame, audit: AuditTrail | None = No
     sales = drop_bad_dates(clean_ids(sales, audit), audit)
     sales, _ = quarantine_unknown(sales, master, audit)
     sales = coerce_numeric(sales, ["units_sold", "revenue", "unit_price"])
-    sales = repair_price(zero_returns(sales, audit), master, audit)
+    # Price repair reads its input several times; the typed rows are written once.
+    sales = repair_price(cut(zero_returns(sales, audit)), master, audit)
     sales = clean_promo_flag(repair_revenue(sales, audit), audit)
     return merge_key_collisions(drop_semantic_duplicates(sales, audit), audit).select(*SALES)
 
@@ -545,8 +546,9 @@ def repair_lead_time(inventory: DataFrame, low: int = DEFAULTS.lead_time_min_day
 
 def clean_inventory(raw: DataFrame, master: DataFrame, audit: AuditTrail | None = None,
                     settings: Settings = DEFAULTS) -> DataFrame:
-    stock = prepare_inventory(raw, master, audit)
-    stock = fill_on_hand(stock, audit)
+    # Both repairs read their input several times; each input is written once.
+    stock = cut(prepare_inventory(raw, master, audit))
+    stock = cut(fill_on_hand(stock, audit))
     stock = repair_lead_time(
         stock, settings.lead_time_min_days, settings.lead_time_max_days, audit
     )
