@@ -106,9 +106,11 @@ def weekly_calendar(spark, d):
     return style(spark, d).weeks.drop("week_sin", "week_cos")
 
 
-@query("panel_gaps", with_sql("part", "panel", "SELECT sku_id, count(*) AS weeks, (max(week_start)-min(week_start))//7+1 AS expected FROM panel GROUP BY 1 HAVING count(*) <> (max(week_start)-min(week_start))//7+1"))
+@query("panel_gaps", with_sql("part", "panel", "SELECT count(*) AS skus, count(*) FILTER (weeks <> expected) AS skus_with_gaps, sum(weeks)::BIGINT AS weeks FROM (SELECT sku_id, count(*) AS weeks, (max(week_start)-min(week_start))//7+1 AS expected FROM panel GROUP BY 1)"))
 def panel_gaps(spark, d):
-    return P.gap_report(part(spark, d).panel)
+    panel = part(spark, d).panel
+    sizes = panel.agg(F.count_distinct("sku_id").alias("skus"), F.count(F.lit(1)).alias("weeks"))
+    return sizes.crossJoin(P.gap_report(panel).agg(F.count(F.lit(1)).alias("skus_with_gaps")))
 
 
 # --------------------------------------------------------------------------- #
