@@ -11,7 +11,7 @@ from stockloom.contracts import DEFAULTS, InsufficientHistoryError, Settings
 from stockloom.functions import scalar as S
 from stockloom.operators.features import series
 from stockloom.operators.lookup import POOLED, lookup_seasonal
-from stockloom.session import small_side
+from stockloom.session import cut, small_side
 
 # Thresholds and constants of the blend.
 COMPONENTS = ("gbm", "tsb", "seasonal_profile")
@@ -309,10 +309,10 @@ class Ensemble:
         self.point, self.profile, self.levels = point, profile, levels
         self.weights, self.scale, self.quantiles = weights, scale, quantiles
 
-    def components(self, df: DataFrame) -> DataFrame:
+    def components(self, df: DataFrame, scored: DataFrame | None = None) -> DataFrame:
         from stockloom.models.trees import residual_interval
 
-        out = assign_regime(self.point.predict(df))
+        out = assign_regime(self.point.predict(df)) if scored is None else scored
         if "prediction_lower" not in out.columns:
             out = residual_interval(out, self.quantiles, ["regime", "horizon"])
         out = out.withColumnRenamed("prediction", "gbm")
@@ -336,13 +336,13 @@ def fit_ensemble(train: DataFrame, panel: DataFrame, fit_point,
     fit_rows, held = validation_split(train)
     last = train.agg(F.max("target_week").alias("m")).first()["m"]
     known = panel.filter(F.col("week_start") <= F.lit(last))
-    levels = tsb_levels(known)
+    levels = cut(tsb_levels(known))
     profile = tuple(t.persist() for t in fit_seasonal_profile(fit_rows))
     scoring = fit_point(fit_rows)
-    seen = assign_regime(scoring.predict(held))
+    seen = cut(assign_regime(scoring.predict(held)))
     quantiles = residual_quantiles(seen, ["regime", "horizon"], settings.interval_coverage)
     draft = Ensemble(scoring, profile, levels, None, 1.0, quantiles.persist())
-    parts = draft.components(held).persist()
+    parts = draft.components(held, seen).persist()
     weights = fit_blend(parts, by="regime", barred=BARRED).persist()
     mixed = blend(parts, weights)
     gaps = mixed.withColumns(

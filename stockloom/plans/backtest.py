@@ -137,7 +137,8 @@ def model_table(predictions: DataFrame, models: Sequence[str],
     ).withColumn("note", F.lit(None).cast("string"))
     if notes:
         extra = predictions.sparkSession.createDataFrame(
-            [(m, None, None, None, n) for m, n in notes.items()], table.schema
+            [(m, None, None, None, n) for m, n in notes.items()],
+            "model string, wape double, bias_relative double, n_observations long, note string",
         )
         table = table.unionByName(extra)
     return table
