@@ -187,7 +187,7 @@ def wape_by_level(spark, d):
     return rounded(G.wape_by_level(rows, ["direct", "bottom_up"]), direct_wape=5, bottom_up_wape=5)
 
 
-@query("coherence_error", with_sql("part", "master", "SELECT 0.0::DOUBLE AS coherence_error"))
+@query("coherence_error", with_sql("part", _NEED, f"SELECT {q('max(abs(g1.f-t.s))', 6)} AS coherence_error FROM g1 JOIN (SELECT horizon, sum(f) AS s FROM l2 GROUP BY 1) t ON t.horizon = g1.horizon", _TREE))
 def coherence_error(spark, d):
     R = part(spark, d)
     sku, _, _, tree = _tree(R)
