@@ -312,7 +312,8 @@ class Ensemble:
     def components(self, df: DataFrame, scored: DataFrame | None = None) -> DataFrame:
         from stockloom.models.trees import residual_interval
 
-        out = assign_regime(self.point.predict(df)) if scored is None else scored
+        # The model's own columns make a long plan; its scores are written once.
+        out = cut(assign_regime(self.point.predict(df))) if scored is None else scored
         if "prediction_lower" not in out.columns:
             out = residual_interval(out, self.quantiles, ["regime", "horizon"])
         out = out.withColumnRenamed("prediction", "gbm")
