@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, lines, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,18 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every whole text encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.encode(docs, ranks_path(), public_tokenizers.PATTERN, keep_ids=False).drop("text")
+
+
+@query("op1_line_dedup")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that an earlier line of the table matches."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "lines_in", "lines_out", "line_links", F.sha2("text", 256).alias("text_sha256"),
+                                          F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_mix_sources")
+def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mixture takes of every document."""
+    documents, _ = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
