@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing
+from . import bpe, fingerprint, lines, mixing, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,16 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mixture takes of every document."""
     documents, _ = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate component of every document on two-word shingles."""
+    found = neardup.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "links")
+
+
+@query("op10_fingerprints")
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every text and of its edited text, and their likeness."""
+    return fingerprint.edit_check(table(spark, folder, "documents"))
