@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lines, mixing, neardup
+from . import bpe, fingerprint, lines, mixing, neardup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,13 @@ def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of every text and of its edited text, and their likeness."""
     return fingerprint.edit_check(table(spark, folder, "documents"))
+
+
+@query("op6_toxicity")
+def toxic_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole text, learnt from the labelled rows that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    scored = toxicity.score(docs, model).drop("restored")
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"),
+                         F.when(F.col("toxicity") >= toxicity.TOXIC_FROM, 1).otherwise(0).alias("predicted"))
