@@ -2,11 +2,11 @@
 
 Texts with equal shingle sets are one class (named by a 64-bit digest of the set); only
 classes are compared.  Classes that agree in a band of the signature share a bucket.  Each
-bucket links its members to its leader, so candidates grow with the members and not with
-their square; what the leader leaves apart is compared once more, in blocks, and only across
-components.  A candidate's signatures are compared batch by batch and dropped as soon as the
-posterior chance of a similarity at the threshold falls below ``miss``.  Survivors are
-verified on their full sets.
+bucket compares its members with its leader, so candidates grow with the members and not with
+their square; what is alike becomes a cluster, and a class is in one cluster however many
+buckets it shares.  Within a cluster, pairs of signatures are compared batch by batch and
+dropped as soon as the posterior chance of a similarity at the threshold falls below
+``miss``.  Survivors are verified on their full sets; only links that connect leave a group.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ WIDTH, PERCENT = 2, 80
 ROWS, BANDS = 6, 56
 #: Hashes compared at a time, and the chance of losing a true pair that pruning accepts.
 BATCH, MISS = 48, 1e-9
-#: Members of a bucket compared in one block with those of another.
-BLOCK = 512
 
 _U = np.uint64
 _draw = np.random.default_rng(8)
@@ -113,85 +111,112 @@ def buckets(signed: DataFrame) -> DataFrame:
     return signed.select("cls", "sig").mapInArrow(run, "bucket long, cls long")
 
 
-def confirm(pairs: DataFrame, signed: DataFrame, docs: DataFrame, width: int, percent: int, miss: float, text: str) -> DataFrame:
-    """The pairs (a, b) of classes that pass the sequential test and then the exact one."""
-    spark = pairs.sparkSession
-    least = least_matches(percent, miss)
-    one = signed.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    need = stored(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(one, "cls"), "near-need")
-    sig = signed.select("cls", "doc_id", "sig").join(need, ["cls", "doc_id"]).dropDuplicates(["cls"]).select("cls", "sig").repartition(parts(spark), "cls")
-    both = (pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a")
-            .join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b"))
+#: A leader's mates in estimate, the leader's cluster, and members of a cluster in one block.
+#: Jaccard distance obeys the triangle inequality: if one of two texts at 0.8 is a mate (0.5),
+#: the other is at 0.3 or more, well inside the cluster.
+MATE, NEAR, BLOCK = 0.5, 0.2, 2048
 
-    def test(batches):
-        for batch in batches:
-            keep = survivors(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")), least)
-            yield batch.select(["a", "b"]).take(pa.array(keep))
 
-    alive = stored(both.select("a", "b", "sig_a", "sig_b").mapInArrow(test, "a long, b long"), "near-alive")
-    wanted = alive.select(F.col("a").alias("cls")).union(alive.select("b")).distinct().join(need, "cls").select("cls", "doc_id")
+def clusters(hits: DataFrame, signed: DataFrame) -> DataFrame:
+    """(cls, cluster): classes that some bucket brings together and whose signatures are alike.
 
-    def sets(batches):
-        for batch in batches:
-            out = [s.tobytes() for _, s in word_sets(column(batch, text), width)]
-            yield pa.record_batch([batch.column("cls"), pa.array([len(s) // 8 for s in out], pa.int64()), pa.array(out, pa.binary())], ["cls", "n", "words"])
-
-    # A doc_id can stand for several texts; the set must be the class's own.
-    whole = docs.select("doc_id", text).join(wanted, "doc_id").mapInArrow(sets, "cls long, n long, words binary")
-    digest = signed.select("cls", F.col("n_shingles").alias("n"))
-    whole = whole.join(digest.join(alive.select(F.col("a").alias("cls")).union(alive.select("b")).distinct(), "cls", "left_semi").distinct(), ["cls", "n"]) \
-        .select("cls", "words").repartition(parts(spark), "cls")
+    In every round each bucket compares its members with its leader.  All that are near join
+    the leader's cluster; those that are no mates of it choose the next leader among
+    themselves.  A round gives at most one row for each member.
+    """
+    spark = hits.sparkSession
+    sig = stored(signed.select("cls", "sig").join(hits.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "near-sigs")
+    sig = sig.repartition(parts(spark), "cls")
 
-    def exact(batches):
+    def compare(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("words_a"), batch.column("words_b")):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return (alive.join(whole.select(F.col("cls").alias("a"), F.col("words").alias("words_a")), "a")
-            .join(whole.select(F.col("cls").alias("b"), F.col("words").alias("words_b")), "b")
-            .select("a", "b", "words_a", "words_b").mapInArrow(exact, "a long, b long").distinct())
-
-
-def _rest(hits: DataFrame, links: DataFrame, signed: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Candidates that the leaders leave: members of one bucket, none its leader, in different components."""
+            a, b = _matrix(batch.column("sig_a")), _matrix(batch.column("sig_b"))
+            yield pa.record_batch([batch.column("leader"), batch.column("cls"), pa.array((a == b).mean(axis=1).astype(np.float32) if len(a) else [], pa.float32())],
+                                  ["leader", "cls", "alike"])
+
+    links, rest = None, hits
+    while True:
+        lead = rest.groupBy("bucket").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("bucket", "leader")
+        pairs = stored(rest.join(lead, "bucket").where("cls <> leader"), "near-led")
+        found = stored(pairs.select("leader", "cls").distinct()
+                       .join(sig.select(F.col("cls").alias("leader"), F.col("sig").alias("sig_a")), "leader")
+                       .join(sig.select("cls", F.col("sig").alias("sig_b")), "cls")
+                       .select("leader", "cls", "sig_a", "sig_b").mapInArrow(compare, "leader long, cls long, alike float"), "near-found")
+        near = found.where(F.col("alike") >= NEAR).select(F.col("leader").alias("a"), F.col("cls").alias("b"))
+        links = near if links is None else links.union(near)
+        rest = stored(pairs.join(found, ["leader", "cls"]).where(F.col("alike") < MATE).select("bucket", "cls"), "near-left")
+        if rest.isEmpty():
+            break
+    return components(links).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
+
+
+def verified(member: DataFrame, signed: DataFrame, docs: DataFrame, width: int, percent: int, miss: float, text: str) -> DataFrame:
+    """Links (a, b) that join all classes of a cluster which exact similarity connects.
+
+    A cluster is dealt into blocks, and each pair of blocks is one group.  Signatures are
+    compared batch by batch; the class with most survivors is verified first against all of
+    its own, and a pair that is already connected in the group needs no look at the sets.
+    """
+    spark = docs.sparkSession
     least = least_matches(percent, miss)
-    member = hits.where("cls <> leader").join(components(links).withColumnRenamed("node", "cls"), "cls", "left") \
-        .select("bucket", "cls", F.coalesce("component", "cls").alias("comp"))
-    open_ = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    open_ = open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = stored(member.join(open_, "bucket").withColumn("side", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                  .select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "comp"), "near-rest")
-    one = signed.select("cls", "sig").join(rows.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    one = signed.join(member.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "n_shingles")).alias("o")) \
+        .select("cls", F.col("o.doc_id").alias("doc_id"), F.col("o.n_shingles").alias("n"))
+
+    def sets(batches):
+        for batch in batches:
+            out = [(len(s), s.tobytes(), signature(s).tobytes() if len(s) else b"") for _, s in word_sets(column(batch, text), width)]
+            yield pa.record_batch([batch.column("cls"), batch.column("n"), pa.array([x[0] for x in out], pa.int64()),
+                                   pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["cls", "n", "size", "words", "sig"])
+
+    # A doc_id can stand for several texts; the set must be of the class's own size.
+    whole = docs.select("doc_id", text).join(one, "doc_id").select("cls", "n", text) \
+        .mapInArrow(sets, "cls long, n long, size long, words binary, sig binary").where("n = size").select("cls", "words", "sig")
+    blocks = member.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = (member.join(blocks, "cluster").withColumn("side", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+            .join(whole, "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "words", "sig"))
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         sig, side = _matrix(group.column("sig").combine_chunks()), group.column("side").to_numpy()
-        cls, comp = group.column("cls").to_numpy(), group.column("comp").to_numpy()
+        cls, words = group.column("cls").to_numpy(), group.column("words").combine_chunks()
         within = key[1].as_py() == key[2].as_py()
-        a, b = [], []
+        size = np.array([len(w.as_py()) // 8 for w in words])
+        mates = []
         for x in range(len(cls)):
-            mate = np.flatnonzero((comp != comp[x]) & ((cls > cls[x]) if within else (side > side[x])))
-            if len(mate):
-                good = mate[survivors(np.broadcast_to(sig[x], (len(mate), sig.shape[1])), sig[mate], least)]
-                a += [int(cls[x])] * len(good)
-                b += cls[good].tolist()
+            fits = (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])) & (cls != cls[x])
+            mate = np.flatnonzero(fits if within else fits & (side != side[x]))
+            mates.append(mate[survivors(np.broadcast_to(sig[x], (len(mate), sig.shape[1])), sig[mate], least)])
+        root = list(range(len(cls)))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b, done = [], [], np.zeros(len(cls), bool)
+        for x in sorted(range(len(cls)), key=lambda x: -len(mates[x])):
+            own = None
+            for y in mates[x].tolist():
+                if done[y] or top(x) == top(y):
+                    continue
+                own = np.frombuffer(words[x].as_py(), np.uint64) if own is None else own
+                shared = len(np.intersect1d(own, np.frombuffer(words[y].as_py(), np.uint64), assume_unique=True))
+                if 100 * shared >= percent * (int(size[x]) + int(size[y]) - shared):
+                    root[top(y)] = top(x)
+                    a.append(int(cls[x]))
+                    b.append(int(cls[y]))
+            done[x] = True
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.join(one, "cls").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long") \
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, miss: float = MISS, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, links) for every row of ``docs`` (doc_id long, ``text``).
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, ``text``).
 
     A set holds the distinct ``width``-word shingles; fewer words give the whole sequence as
     one; no words give the empty set, linked with nothing.  component_id is the least doc_id
-    reachable, kept is doc_id = component_id, links counts the links of the row's set that
-    were confirmed.  Equal sets are linked.  Rows with one doc_id are one document: all of
+    reachable, kept is doc_id = component_id.  Equal sets are linked.  Rows with one doc_id are one document: all of
     them get its component.  A row without doc_id takes no part: component_id null, kept true.
     An empty table gives an empty table; other columns of ``docs`` are ignored.
     """
@@ -199,24 +224,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     signed = stored(sign(base, width, text), "near-signed")
     live = signed.where("doc_id is not null and n_shingles > 0")
     bands = buckets(live)
-    shared = bands.groupBy("bucket").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("bucket", "leader")
+    shared = bands.groupBy("bucket").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("bucket")
     hits = stored(bands.join(shared, "bucket").distinct(), "near-hits")
-    star = stored(hits.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct(), "near-star")
-    links = stored(confirm(star, live, base, width, percent, miss, text), "near-links")
-    rest = stored(_rest(hits, links, live, percent, miss).join(star, ["a", "b"], "left_anti"), "near-pairs")
-    if not rest.isEmpty():
-        links = stored(links.union(confirm(rest, live, base, width, percent, miss, text)), "near-all")
+    member = stored(clusters(hits, live), "near-clusters")
+    links = stored(verified(member, live, base, width, percent, miss, text), "near-links")
     low = live.groupBy("doc_id").agg(F.min("cls").alias("a"))
     same = live.select("doc_id", "cls").join(low, "doc_id").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
     classes = live.groupBy("cls").agg(F.min("doc_id").alias("rep"))
     named = components(links.union(same)).withColumnRenamed("node", "cls")
     least = named.join(classes, "cls").groupBy("component").agg(F.min("rep").alias("least"))
-    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("links"))
-    facts = stored(classes.join(named.join(least, "component").select("cls", "least"), "cls", "left").join(degree, "cls", "left")
-                   .select("cls", F.coalesce("least", "rep").alias("least"), F.coalesce("links", F.lit(0)).alias("links")), "near-classes")
+    facts = stored(classes.join(named.join(least, "component").select("cls", "least"), "cls", "left")
+                   .select("cls", F.coalesce("least", "rep").alias("least")), "near-classes")
     # Empty sets take their own id.
     return (signed.select("doc_id", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("cls")).alias("cls"))
             .join(facts, "cls", "left")
             .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"),
-                    (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("least", "doc_id"))).alias("kept"),
-                    F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+                    (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("least", "doc_id"))).alias("kept")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lines, mixing, neardup, toxicity
+from . import ann, bpe, fingerprint, lines, mixing, neardup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate component of every document on two-word shingles."""
     found = neardup.near_duplicates(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", "kept", "links")
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op10_fingerprints")
@@ -75,3 +75,10 @@ def toxic_texts(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(docs, model).drop("restored")
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"),
                          F.when(F.col("toxicity") >= toxicity.TOXIC_FROM, 1).otherwise(0).alias("predicted"))
+
+
+@query("op2_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ from .common import column, slices
 #: Labelled rows that the evidence is learnt from, at most; a hash of the id chooses them.
 TRAIN_ROWS = 24_000
 #: Hash buckets of evidence, rows a bucket needs, and words summed for a text.
-FEATURES, SUPPORT, STRONGEST = 1 << 20, 2, 5
+FEATURES, SUPPORT, STRONGEST = 1 << 19, 2, 5
+#: A beginning counts by how many different words of the text have it: 1, 2, 3, or more.
+LEVELS = 4
 #: Standard errors taken off a log-odds, and the least that counts as evidence.
 DOUBT, WEAKEST = 2.0, 0.5
 PREFIXES = range(3, 8)
@@ -47,7 +50,7 @@ _CLASS[48:58] = np.arange(27, 37)
 _STAND, _IMITATE, _SKIP, _REPEAT, _SPLIT = 0.0, 1.0, 0.6, 0.3, 0.0
 
 _HIDES = re.compile(r"(?:(?<!\S)[^\W\d_](?:[ .\-_*~'][^\W\d_]){2,}(?![^\W_]))"  # letters set apart
-                    r"|(?=\S*[^\W\d_])(?=\S*(?:[0-9@$!|+(<€£¡]|([^\W\d_])\1\1|[^\W_][.\-_*~'][^\W_]))\S+")
+                    r"|(?<!\S)(?=\S*[^\W\d_])(?=\S*(?:[0-9@$!|+(<€£¡]|([^\W\d_])\1\1|[^\W_][.\-_*~'][^\W_]))\S+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -152,26 +155,32 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) % FEATURES for x in raw]
 
 
-class Evidence:
-    """Log-odds of toxicity per feature from counts of labelled texts."""
+def weigh(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Evidence of each (level, bucket) from the numbers of toxic and clean texts that have it.
 
-    def __init__(self, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int):
-        self.toxic, self.clean, self.base = toxic, clean, math.log((n_clean + 1) / (n_toxic + 1))
-
-    def word(self, word: str, own: int | None = None) -> float:
-        """Strongest evidence of the word's features; ``own`` takes the text's own label out first."""
-        best = 0.0
-        for f in features(word):
-            t, c = int(self.toxic[f]) - (own == 1), int(self.clean[f]) - (own == 0)
-            if t >= SUPPORT:
-                # The lower end of the log-odds: a feature seen seldom says little.
-                error = math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-                best = max(best, math.log((t + 0.5) / (c + 0.5)) + self.base - DOUBT * error)
-        return best if best >= WEAKEST else 0.0
-
-
-def text_evidence(words: set[str], weigh) -> float:
-    return sum(sorted((w for w in map(weigh, words) if w > 0), reverse=True)[:STRONGEST])
+    It is the lower end of the log-odds, so a feature seen seldom says little, and what says
+    little is dropped.  A level inherits what the levels below it say.
+    """
+    t, c = np.maximum(toxic, 0) + 0.5, np.maximum(clean, 0) + 0.5
+    w = np.log(t / c) + math.log((n_clean + 1) / (n_toxic + 1)) - DOUBT * np.sqrt(1 / t + 1 / c)
+    w = np.where((toxic >= SUPPORT) & (w >= WEAKEST), w, 0.0).astype(np.float32)
+    return np.maximum.accumulate(w, axis=0)
+
+
+def text_evidence(words: set[str], weights: np.ndarray, keys: dict[str, list[int]], telling: np.ndarray) -> float:
+    """Sum over the strongest words; ``keys`` remembers the telling buckets of each word, up to a bound."""
+    if len(keys) > 500_000:
+        keys.clear()
+    found, count = [], {}
+    for word in words:
+        own = keys.get(word)
+        if own is None:
+            own = keys[word] = [f for f in features(word) if telling[f]]
+        if own:
+            found.append(own)
+            for f in own:
+                count[f] = count.get(f, 0) + 1
+    return sum(sorted((max(float(weights[min(count[f], LEVELS) - 1, f]) for f in own) for own in found), reverse=True)[:STRONGEST])
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -196,49 +205,56 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = TRA
     train = docs.select("doc_id", text).join(chosen, "doc_id")
     shared = spark.sparkContext.broadcast(costs)
     blocks = 64
-    width = FEATURES // blocks
+    width = 2 * LEVELS * FEATURES // blocks
 
     def gather(batches):
         made = Restorer(shared.value)
-        total = np.zeros((2, FEATURES), np.int32)
+        total = np.zeros((2, LEVELS, FEATURES), np.int32)
         seen = np.zeros(2, np.int64)
         for batch in batches:
             for value, label in zip(column(batch, text).to_pylist(), batch.column("_label").to_pylist()):
-                found = {f for w in made.words(value) for f in features(w)}
-                total[int(label > 0), list(found)] += 1
+                count = Counter(f for w in made.words(value) for f in features(w))
+                at = np.fromiter(count.keys(), np.int64, len(count))
+                n = np.fromiter(count.values(), np.int64, len(count))
+                for level in range(LEVELS):
+                    total[int(label > 0), level, at[n > level]] += 1
                 seen[int(label > 0)] += 1
+        flat = total.reshape(blocks, width)
         yield pa.record_batch([
-            pa.array(range(blocks), pa.int32()),
-            pa.array([zlib.compress(np.ascontiguousarray(total[:, i * width : (i + 1) * width]).tobytes(), 1) for i in range(blocks)], pa.binary()),
+            pa.array(range(blocks), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in flat], pa.binary()),
             pa.array([int(seen[0])] * blocks, pa.int64()), pa.array([int(seen[1])] * blocks, pa.int64())], ["block", "counts", "clean", "toxic"])
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int32) for x in rows.column("counts"))
+        total = np.zeros(width, np.int32)
+        for x in rows.column("counts"):
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()),
                          "clean": pa.array([sum(rows.column("clean").to_pylist())], pa.int64()),
                          "toxic": pa.array([sum(rows.column("toxic").to_pylist())], pa.int64())})
 
     shape = "block int, counts binary, clean long, toxic long"
-    total = np.zeros((2, FEATURES), np.int32)
+    total = np.zeros((blocks, width), np.int32)
     n = [0, 0]
     for row in train.mapInArrow(gather, shape).groupBy("block").applyInArrow(add, shape).collect():  # 64 blocks of a fixed table
-        at = row["block"] * width
-        total[:, at : at + width] = np.frombuffer(zlib.decompress(row["counts"]), np.int32).reshape(2, width)
+        total[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
         n = [row["clean"], row["toxic"]]
-    evidence = Evidence(total[1], total[0], n[1], n[0])
-    known = spark.sparkContext.broadcast(evidence)
+    clean, toxic = total.reshape(2, LEVELS, FEATURES)
+    weights = weigh(toxic, clean, n[1], n[0])
+    # For calibration a text's own label is taken out of the counts first.
+    known = spark.sparkContext.broadcast((weigh(toxic, clean - 1, n[1], n[0]), weigh(toxic - 1, clean, n[1], n[0])))
 
     def sums(batches):
-        made = Restorer(shared.value)
+        made, keys = Restorer(shared.value), ({}, {})
+        telling = [w[-1] > 0 for w in known.value]
         for batch in batches:
-            marks = batch.column("_label").to_pylist()
-            out = [text_evidence(made.words(v), lambda w, y=int(m > 0): known.value.word(w, y)) for v, m in zip(column(batch, text).to_pylist(), marks)]
-            yield pa.record_batch([pa.array([min(int(x * 4), 200) for x in out], pa.int32()), pa.array([int(m > 0) for m in marks], pa.int32())], ["bin", "label"])
+            marks = [int(m > 0) for m in batch.column("_label").to_pylist()]
+            out = [text_evidence(made.words(v), known.value[m], keys[m], telling[m]) for v, m in zip(column(batch, text).to_pylist(), marks)]
+            yield pa.record_batch([pa.array([min(int(x * 4), 200) for x in out], pa.int32()), pa.array(marks, pa.int32())], ["bin", "label"])
 
     table = np.zeros((201, 2))
     for row in train.mapInArrow(sums, "bin int, label int").groupBy("bin", "label").count().collect():  # at most 402 rows
         table[row["bin"], row["label"]] = row["count"]
-    return {"costs": costs, "evidence": evidence, "curve": _calibrate(table)}
+    return {"costs": costs, "weights": weights, "curve": _calibrate(table)}
 
 
 def _calibrate(table: np.ndarray) -> tuple[float, float]:
@@ -273,21 +289,13 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        made, known = Restorer(shared.value["costs"]), {}
-        evidence, (slope, offset) = shared.value["evidence"], shared.value["curve"]
-
-        def weigh(word):
-            got = known.get(word)
-            if got is None:
-                if len(known) >= 500_000:
-                    known.clear()
-                got = known[word] = evidence.word(word)
-            return got
-
+        made, keys = Restorer(shared.value["costs"]), {}
+        weights, (slope, offset) = shared.value["weights"], shared.value["curve"]
+        telling = weights[-1] > 0
         for batch in batches:
             scores, shown = [], []
             for value in column(batch, text).to_pylist():
-                x = slope * text_evidence(made.words(value), weigh) + offset
+                x = slope * text_evidence(made.words(value), weights, keys, telling) + offset
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
                 shown.append(sorted({made._one(m) for m in _HIDES.finditer(value)} - {""}))
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64()), pa.array(shown, pa.list_(pa.string()))],
