@@ -43,7 +43,9 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
 
 
 def fit_centres(sample: np.ndarray, lists: int, seed: int = 2) -> np.ndarray:
-    """Centres of balanced clusters: what is larger than ``BALANCE`` times the mean is cut again."""
+    """Centres of balanced clusters: what is larger than ``BALANCE`` times the mean is cut again,
+    and splinters (under an eighth of the mean) are left to their neighbours.
+    """
     if not len(sample):
         return np.zeros((0, sample.shape[1]))
     rng = np.random.default_rng(seed)
@@ -53,7 +55,7 @@ def fit_centres(sample: np.ndarray, lists: int, seed: int = 2) -> np.ndarray:
         part = work.pop()
         distinct = len(np.unique(part[: most + 1], axis=0)) > 1
         if len(part) <= most or not distinct:
-            done.append(part.mean(axis=0))
+            done.append((len(part), part.mean(axis=0)))
             continue
         k = int(min(16, max(2, round(len(part) / most * BALANCE)), len(part)))
         label = _kmeans(part.copy(), k, rng)
@@ -62,7 +64,8 @@ def fit_centres(sample: np.ndarray, lists: int, seed: int = 2) -> np.ndarray:
             half = rng.permutation(len(part))
             pieces = [part[half[: len(part) // 2]], part[half[len(part) // 2 :]]]
         work += pieces
-    return np.array(done)
+    whole = [c for n, c in done if 8 * BALANCE * n >= most]
+    return np.array(whole or [c for _, c in done])
 
 
 def neighbour_graph(centres: np.ndarray, degree: int = DEGREE) -> np.ndarray:
@@ -101,7 +104,7 @@ def search_graph(x: np.ndarray, centres: np.ndarray, graph: np.ndarray, beam: in
         order = np.argsort(new, axis=1, kind="stable")
         new, fresh = new[rows, order], fresh[rows, order]
         fresh[:, 1:] &= ~((new[:, 1:] == new[:, :-1]) & fresh[:, :-1])
-        seen[rows, new] |= fresh
+        seen[np.nonzero(fresh)[0], new[fresh]] = True
         value = np.where(fresh, square[new] - 2 * np.einsum("nd,nkd->nk", x, centres[new]), np.inf)
         ids, dist = np.concatenate((ids, new), axis=1), np.concatenate((dist, value), axis=1)
         opened = np.concatenate((opened, ~fresh), axis=1)
@@ -116,11 +119,13 @@ def _stack(col, width: int) -> np.ndarray:
 def _lists(x: np.ndarray, index, beam: int, ratio: float, sizes: np.ndarray | None = None, least: int = 0):
     """(row, list, is nearest) for the lists within ``ratio`` times the least distance of each row.
 
-    With ``sizes`` a row also takes further lists until those hold ``least`` entries.
+    A row that lies on a centre is treated as if it were a usual distance away from it.  With
+    ``sizes`` a row also takes further lists until those hold ``least`` entries.
     """
-    ids, dist = search_graph(x, *index, beam=beam)
+    centres, graph, usual = index
+    ids, dist = search_graph(x, centres, graph, beam=beam)
     near = np.sqrt(dist)
-    keep = near <= ratio * near[:, :1] + 1e-12
+    keep = near <= near[:, :1] + (ratio - 1) * np.maximum(near[:, :1], usual)
     if sizes is not None:
         before = np.cumsum(sizes[ids], axis=1) - sizes[ids]
         keep |= before < least
@@ -172,7 +177,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
         return np.concatenate((x, np.sqrt(np.maximum(facts["top"] - (x**2).sum(1), 0))[:, None]), axis=1)
 
     centres = fit_centres(lift(sample), int(min(LISTS, max(1, len(sample) // LIST_SIZE))))
-    index = spark.sparkContext.broadcast((centres, neighbour_graph(centres)))
+    graph = neighbour_graph(centres)
+    usual = float(np.median(np.sqrt(search_graph(lift(sample[:2048]), centres, graph)[1][:, 0])))
+    index = spark.sparkContext.broadcast((centres, graph, usual))
 
     def post(batches):
         for batch in batches:
