@@ -111,18 +111,21 @@ def buckets(signed: DataFrame) -> DataFrame:
     return signed.select("cls", "sig").mapInArrow(run, "bucket long, cls long")
 
 
-#: A leader's mates in estimate, the leader's cluster, and members of a cluster in one block.
-#: Jaccard distance obeys the triangle inequality: if one of two texts at 0.8 is a mate (0.5),
-#: the other is at 0.3 or more, well inside the cluster.
-MATE, NEAR, BLOCK = 0.5, 0.2, 2048
+#: Estimated likeness to a leader from which a class joins the leader's cluster (NEAR), and from
+#: which it is done with its bucket (MATE).  Jaccard distance obeys the triangle inequality: if one
+#: of two texts at 0.8 is at 0.65 to the leader, the other is at 0.45 or more, so both are near.
+NEAR, MATE = 0.35, 0.65
+#: Rounds of leaders; members of a cluster in one block.
+LEADERS, BLOCK = 3, 1024
 
 
 def clusters(hits: DataFrame, signed: DataFrame) -> DataFrame:
-    """(cls, cluster): classes that some bucket brings together and whose signatures are alike.
+    """(cls, cluster): classes that a bucket brings together, so that no pair at 0.8 is torn apart.
 
-    In every round each bucket compares its members with its leader.  All that are near join
-    the leader's cluster; those that are no mates of it choose the next leader among
-    themselves.  A round gives at most one row for each member.
+    In every round each bucket compares its members with its leader.  What is near joins the
+    leader's cluster; what is no mate of it stays, unless all that stay are in one cluster.
+    A round gives at most one row for each member.  What is open after the last round is
+    joined to one cluster whatever its likeness, so rounds are few and nothing is lost.
     """
     spark = hits.sparkSession
     sig = stored(signed.select("cls", "sig").join(hits.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "near-sigs")
@@ -134,9 +137,12 @@ def clusters(hits: DataFrame, signed: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("leader"), batch.column("cls"), pa.array((a == b).mean(axis=1).astype(np.float32) if len(a) else [], pa.float32())],
                                   ["leader", "cls", "alike"])
 
-    links, rest = None, hits
-    while True:
-        lead = rest.groupBy("bucket").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("bucket", "leader")
+    links = None
+    rest = hits.withColumn("label", F.col("cls"))
+    for _ in range(LEADERS):
+        # The leader is of the least label, so a stray of the last round leads soon or meets its like.
+        lead = rest.groupBy("bucket").agg(F.min(F.struct("label", "cls")).alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi")) \
+            .where("lo <> hi").select("bucket", F.col("first.cls").alias("leader"))
         pairs = stored(rest.join(lead, "bucket").where("cls <> leader"), "near-led")
         found = stored(pairs.select("leader", "cls").distinct()
                        .join(sig.select(F.col("cls").alias("leader"), F.col("sig").alias("sig_a")), "leader")
@@ -144,9 +150,10 @@ def clusters(hits: DataFrame, signed: DataFrame) -> DataFrame:
                        .select("leader", "cls", "sig_a", "sig_b").mapInArrow(compare, "leader long, cls long, alike float"), "near-found")
         near = found.where(F.col("alike") >= NEAR).select(F.col("leader").alias("a"), F.col("cls").alias("b"))
         links = near if links is None else links.union(near)
-        rest = stored(pairs.join(found, ["leader", "cls"]).where(F.col("alike") < MATE).select("bucket", "cls"), "near-left")
-        if rest.isEmpty():
-            break
+        rest = stored(pairs.join(found, ["leader", "cls"]).where(F.col("alike") < MATE)
+                      .select("bucket", "cls", F.when(F.col("alike") >= NEAR, F.col("leader")).otherwise(F.col("label")).alias("label")), "near-left")
+    last = rest.groupBy("bucket").agg(F.min("cls").alias("a"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "a")
+    links = links.union(rest.join(last, "bucket").where("cls <> a").select("a", F.col("cls").alias("b")))
     return components(links).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
 
 
