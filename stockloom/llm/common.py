@@ -130,10 +130,31 @@ def word_sets(array: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from the written rows."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 bits in a bitmap of hashes: 1 MB whatever the input.
+BITMAP = 1 << 17
+
+
+def bitmap(df: DataFrame, hashed: str) -> np.ndarray:
+    """The bits that the hashes in a long column set.  A clear bit proves that a hash is absent."""
+    h = F.col(hashed)
+    rows = df.groupBy(F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1).cast("int").alias("w")) \
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({hashed} & 63 as int))")).alias("b")).collect()  # at most BITMAP rows
+    out = np.zeros(BITMAP, np.int64)
+    for row in rows:
+        out[row["w"]] = row["b"]
+    return out
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash (int64 or uint64) finds its bit set."""
+    h = hashes.astype(np.uint64, copy=False) if hashes.dtype == np.uint64 else hashes.view(np.uint64)
+    return (bits.view(np.uint64)[((h >> _U(6)) & _U(BITMAP - 1)).astype(np.int64)] >> (h & _U(63))) & _U(1) == 1
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     """Total bytes of a text column; one scan of that column."""
     return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import column, hash_words, mix, parts, slices, stored
+from .common import bitmap, column, hash_words, may_hold, mix, parts, slices, stored
 
 THRESHOLD = 80
 #: Counts that decide the order of words; a word falls into one of these buckets by its hash.
@@ -121,41 +121,48 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
     lines = stored(docs.select("_id", "_row", text).mapInArrow(sets, shape), "lines")
     earliest = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line", "n", "bits", "prefix")
     firsts = stored(lines.groupBy("k1", "k2").agg(F.min(earliest).alias("f")).select("k1", "k2", "f._row", "f.line", "f.n", "f.bits", "f.prefix"), "firsts")
+    # One long for the size, the place in the order of words and the line number keeps a posting small.
     post = firsts.select(F.posexplode("prefix").alias("pos", "token"), "_row", "line", "n", "bits") \
-        .select("token", "_row", F.expr("(cast(n as long) << 32) | line").alias("nl"), "bits", "pos")
+        .select("token", "_row", "line", F.expr("(cast(n as long) << 32) | pos").alias("np"), "bits")
     post = post.repartition(parts(spark), "token")
     a, b = post.alias("a"), post.alias("b")
-    # Each pair once; length, parity, and position at the first shared word.
+    na, nb, pa_, pb = "(a.np >> 32)", "(b.np >> 32)", "(a.np & 4294967295L)", "(b.np & 4294967295L)"
+    # Each pair once, `a` the smaller set: it needs a shorter prefix.  Then length, parity, and position at the first shared word.
     near = (a.join(b, (F.col("a.token") == F.col("b.token"))
-                   & F.expr("(a._row < b._row or (a._row = b._row and (a.nl & 4294967295L) < (b.nl & 4294967295L)))")
-                   & F.expr(f"100 * least(a.nl >> 32, b.nl >> 32) >= {percent} * greatest(a.nl >> 32, b.nl >> 32)")
-                   & F.expr(f"{100 + percent} * bit_count(a.bits ^ b.bits) <= {100 - percent} * ((a.nl >> 32) + (b.nl >> 32))")
-                   & F.expr(f"{100 + percent} * least((a.nl >> 32) - a.pos, (b.nl >> 32) - b.pos) >= {percent} * ((a.nl >> 32) + (b.nl >> 32))"))
-            .select(F.col("b._row").alias("row_b"), F.expr("cast(b.nl & 4294967295L as int)").alias("line_b"),
-                    F.col("a._row").alias("row_a"), F.expr("cast(a.nl & 4294967295L as int)").alias("line_a")))
+                   & F.expr(f"({na} < {nb} or ({na} = {nb} and (a._row < b._row or (a._row = b._row and a.line < b.line))))")
+                   & F.expr(f"100 * {na} >= {percent} * {nb}")
+                   & F.expr(f"{pa_} <= {na} - ceil({2 * percent} * {na} / {100 + percent}D)")
+                   & F.expr(f"{100 + percent} * bit_count(a.bits ^ b.bits) <= {100 - percent} * ({na} + {nb})")
+                   & F.expr(f"{100 + percent} * least({na} - {pa_}, {nb} - {pb}) >= {percent} * ({na} + {nb})"))
+            .select(F.col("b._row").alias("row_b"), F.col("b.line").alias("line_b"), F.col("a._row").alias("row_a"), F.col("a.line").alias("line_a")))
     pairs = stored(near.distinct(), "line-pairs")
-    wanted = stored(pairs.select(F.col("row_a").alias("_row"), F.col("line_a").alias("line"))
-                    .union(pairs.select("row_b", "line_b")).distinct()
-                    .groupBy("_row").agg(F.collect_set("line").alias("wanted")), "line-wanted")
+    wanted = stored(pairs.select(F.col("row_a").alias("_row"), F.col("line_a").alias("line")).union(pairs.select("row_b", "line_b")).distinct()
+                    .join(firsts.select("_row", "line", "k1"), ["_row", "line"]), "line-wanted")
+    rows_wanted = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("_row").alias("h")), "h"))
+    lines_wanted = spark.sparkContext.broadcast(bitmap(wanted, "k1"))
 
     def full(batches):
         for batch in batches:
-            ids = batch.column("_row").to_pylist()
-            wants = batch.column("wanted").to_pylist()
-            out, at_row = [], []
+            hit = may_hold(rows_wanted.value, batch.column("_h").to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array(hit))
+            ids = batch.column("_row").to_numpy(zero_copy_only=False)
+            row_at, line_at, out = [], [], []
             for i, j, data, at in slices(column(batch, text)):
                 rows, number, bounds, words = _line_words(data, at, order.value)
-                take = [set(w) for w in wants[i:j]]
-                for k in np.flatnonzero(np.diff(bounds)).tolist():
-                    if int(number[k]) in take[rows[k]]:
-                        out.append((ids[i + rows[k]], int(number[k]), np.sort(words[bounds[k] : bounds[k + 1]]).tobytes()))
-                        at_row.append(i + rows[k])
-            yield pa.record_batch([batch.column("_id").take(pa.array(at_row, pa.int64())), pa.array([x[0] for x in out], pa.int64()),
-                                   pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["_id", "_row", "line", "words"])
+                has = np.flatnonzero(np.diff(bounds))
+                if len(has):
+                    k1 = np.add.reduceat(mix(words), bounds[:-1][has])
+                    for k in has[may_hold(lines_wanted.value, k1)].tolist():
+                        row_at.append(i + int(rows[k]))
+                        line_at.append(int(number[k]))
+                        out.append(np.sort(words[bounds[k] : bounds[k + 1]]).tobytes())
+            yield pa.record_batch([batch.column("_id").take(pa.array(row_at, pa.int64())), pa.array(ids[row_at] if row_at else [], pa.int64()),
+                                   pa.array(line_at, pa.int32()), pa.array(out, pa.binary())], ["_id", "_row", "line", "words"])
 
     shape = StructType([docs.schema["_id"], *StructType.fromDDL("_row long, line int, words binary")])
-    whole = docs.select("_id", "_row", text).join(wanted, "_row").mapInArrow(full, shape)
-    whole = whole.select("_row", "line", F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line").alias("place"), "words") \
+    # The bitmaps spare a shuffle of the texts; what they let through by chance is dropped by the joins.
+    whole = docs.select("_id", "_row", F.xxhash64("_row").alias("_h"), text).mapInArrow(full, shape)
+    whole = whole.join(wanted.select("_row", "line"), ["_row", "line"], "left_semi").select("_row", "line", F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line").alias("place"), "words") \
         .repartition(parts(spark), "_row", "line")
     left = whole.select(F.col("_row").alias("row_a"), F.col("line").alias("line_a"), F.col("place").alias("place_a"), F.col("words").alias("words_a"))
     right = whole.select(F.col("_row").alias("row_b"), F.col("line").alias("line_b"), F.col("place").alias("place_b"), F.col("words").alias("words_b"))
@@ -189,7 +196,8 @@ def dedup_lines(docs: DataFrame, percent: int = THRESHOLD, text: str = "text", d
     ``docs`` must be a stored table: it is scanned more than once and its rows are told apart
     by scan order.
     """
-    made = ["lines_in", "lines_out", "line_links", "_row", "_id", "_gone", "_links"]
+    spark = docs.sparkSession
+    made = ["lines_in", "lines_out", "line_links", "_row", "_id", "_gone", "_links", "_h"]
     base = docs.drop(*made).withColumn("_row", F.monotonically_increasing_id()).withColumn("_id", F.col(doc_id))
     lines, firsts, links = matches(base.select("_row", "_id", text), percent, text)
     repeats = lines.select("_row", "line", "k1", "k2").join(
@@ -217,4 +225,19 @@ def dedup_lines(docs: DataFrame, percent: int = THRESHOLD, text: str = "text", d
             yield pa.record_batch([*columns, pa.array(before, pa.int64()), pa.array(after, pa.int64()), batch.column("_links")],
                                   [*names, "lines_in", "lines_out", "line_links"])
 
-    return base.join(gone, "_row", "left").withColumn("_links", F.coalesce("_links", F.lit(0))).drop("_row", "_id").mapInArrow(rewrite, shape)
+    # Texts that lose no line are not shuffled: the bitmap shows which rows cannot be in ``gone``.
+    losing = spark.sparkContext.broadcast(bitmap(gone.select(F.xxhash64("_row").alias("h")), "h"))
+
+    def part(hit: bool):
+        def run(batches):
+            for batch in batches:
+                mask = may_hold(losing.value, batch.column("_h").to_numpy(zero_copy_only=False)) == hit
+                yield batch.filter(pa.array(mask)).select(columns)
+        return run
+
+    passed = base.drop("_id")
+    columns = passed.columns
+    hashed = passed.withColumn("_h", F.xxhash64("_row"))
+    touched = hashed.mapInArrow(part(True), passed.schema).join(gone, "_row", "left")
+    others = hashed.mapInArrow(part(False), passed.schema).withColumn("_gone", F.lit(None).cast("array<int>")).withColumn("_links", F.lit(0).cast("long"))
+    return touched.unionByName(others).withColumn("_links", F.coalesce("_links", F.lit(0))).drop("_row").mapInArrow(rewrite, shape)
