@@ -80,6 +80,15 @@ def hash_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, hashes
 
 
+def word_ends(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Ends of the words that :func:`hash_words` finds."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    last = ~_SPACE[data]
+    last[:-1] &= _SPACE[data[1:]] | edge[1:-1]
+    return np.flatnonzero(last) + 1
+
+
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``width`` words within each group of words, and each group's bounds.
 

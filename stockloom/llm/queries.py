@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, lines, mixing, neardup, toxicity
+from . import ann, bpe, fingerprint, lines, mixing, neardup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,10 @@ def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op4_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every whole text from weak labels; no row of ``labels`` is read."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs)).drop("text")
