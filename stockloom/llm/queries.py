@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, lines, mixing, neardup, quality, toxicity
+from . import ann, bpe, chat, fingerprint, licenses, lines, mixing, neardup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,31 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every whole text from weak labels; no row of ``labels`` is read."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.score(docs, quality.fit(docs)).drop("text")
+
+
+@query("op7_license_scan")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of every document; its path is source / language / hundred of ids / id."""
+    docs = table(spark, folder, "documents")
+    place = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 100), F.col("doc_id"))
+    return licenses.scan(docs.select("doc_id", place.alias("path"), "text"))
+
+
+@query("op9_chat_format")
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as tool traffic: a user's turn is a call, the assistant's next turn its result.
+
+    The call of an even user turn is a search, of another an annotation; its parent is the
+    user's call before.  Turns of other roles are plain messages.
+    """
+    turns = table(spark, folder, "conversations")
+    name = F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn"))
+    args = F.when(F.col("turn") % 4 == 0, F.to_json(F.struct(F.col("text").alias("query"), F.length("text").alias("limit")))) \
+        .otherwise(F.to_json(F.struct((F.length("text") % 2 == 0).alias("strict"), F.col("text").alias("text"))))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", "turn", name.alias("call_id"), F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - 2).alias("parent_id"),
+        F.when(F.col("turn") % 4 == 0, "search").otherwise("annotate").alias("name"), args.alias("arguments"))
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", "turn", F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    rest = turns.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", "text")
+    return chat.format_calls(rest, calls, results)
