@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,7 +24,7 @@ from pyspark.sql.types import StructType
 from .common import column, parts, text_bytes
 
 #: Bytes of text in a chunk, and hash buckets of words for each chunk.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 16 << 20
 BUCKETS_PER_CHUNK = 0.5
 
 
@@ -42,22 +43,22 @@ def word_encoder(ranks: dict[bytes, int]):
 
 def _pack(items: list[bytes]) -> bytes:
     lengths = np.fromiter(map(len, items), np.uint32, len(items))
-    return zlib.compress(np.uint32(len(items)).tobytes() + lengths.tobytes() + b"".join(items), 1)
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(items)).tobytes() + lengths.tobytes() + b"".join(items))
 
 
 def _unpack(block: bytes) -> list[bytes]:
-    raw = zlib.decompress(block)
+    raw = zstandard.ZstdDecompressor().decompress(block)
     n = int(np.frombuffer(raw, np.uint32, 1)[0])
     ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
     starts = np.concatenate(([4 + 4 * n], ends[:-1])) if n else ends
     return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
 
 
-def _vocabulary(texts, findall, buckets: int) -> dict[int, list[str]]:
+def _vocabulary(tokens, buckets: int) -> dict[int, list[str]]:
     """The distinct pre-tokens by bucket, sorted, so that any later walk gets the same order."""
     seen: set[str] = set()
-    for text in texts:
-        seen.update(findall(text))
+    for own in tokens:
+        seen.update(own)
     out: dict[int, list[str]] = {}
     for word in sorted(seen):
         out.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
@@ -89,7 +90,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
 
     def cut_words(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
-        words = _vocabulary(column(batch, text).to_pylist(), find.findall, buckets)
+        words = _vocabulary(map(find.findall, column(batch, text).to_pylist()), buckets)
         return pa.table({"_chunk": pa.array([batch.column("_chunk")[0].as_py()] * len(words), pa.int32()),
                          "_bucket": pa.array(list(words), pa.int32()),
                          "_block": pa.array([_pack([w.encode() for w in v]) for v in words.values()], pa.binary())})
@@ -114,15 +115,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
 
     def reassemble(table: pa.Table, blocks: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
-        texts = column(batch, text).to_pylist()
-        words = _vocabulary(texts, find.findall, buckets)
+        # Every occurrence is the one string that stands for its word, so the lists stay small.
+        one: dict[str, str] = {}
+        tokens = [[one.setdefault(w, w) for w in find.findall(value)] for value in column(batch, text).to_pylist()]
+        words = _vocabulary([one], buckets)
         ids_of: dict[str, bytes] = {}
         for bucket, block in zip(blocks.column("_bucket").to_pylist(), blocks.column("_block").to_pylist()):
             ids_of.update(zip(words[bucket], _unpack(block), strict=True))
         table_bytes: dict[int, bytes] = {rank: token for token, rank in shared.value.items()}
         n, ids_sha, text_sha, raw = [], [], [], []
-        for value in texts:
-            ids = b"".join(map(ids_of.__getitem__, find.findall(value)))
+        for own in tokens:
+            ids = b"".join(map(ids_of.__getitem__, own))
             n.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(ids).hexdigest())
             decoded = b"".join(map(table_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
