@@ -140,13 +140,13 @@ class Restorer:
             got = self.known[token] = "".join(restore(token[i : i + 64], self.costs) for i in range(0, len(token), 64))
         return got
 
-    def words(self, text: str) -> set[str]:
-        """Distinct lower-case words of the text as it stands and as restored."""
+    def words(self, text: str) -> tuple[set[str], set[str]]:
+        """Distinct lower-case words of the text as it stands and as restored, and what was restored."""
         out = set(_WORD.findall(text.lower()))
-        hidden = {m.group(0): m for m in _HIDES.finditer(text)}
-        for match in hidden.values():
-            out.update(_WORD.findall(self._one(match)))
-        return out
+        shown = {self._one(match) for match in {m.group(0): m for m in _HIDES.finditer(text)}.values()}
+        for restored in shown:
+            out.update(_WORD.findall(restored))
+        return out, shown
 
 
 def features(word: str) -> list[int]:
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = TRA
         seen = np.zeros(2, np.int64)
         for batch in batches:
             for value, label in zip(column(batch, text).to_pylist(), batch.column("_label").to_pylist()):
-                count = Counter(f for w in made.words(value) for f in features(w))
+                count = Counter(f for w in made.words(value)[0] for f in features(w))
                 at = np.fromiter(count.keys(), np.int64, len(count))
                 n = np.fromiter(count.values(), np.int64, len(count))
                 for level in range(LEVELS):
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = TRA
         telling = [w[-1] > 0 for w in known.value]
         for batch in batches:
             marks = [int(m > 0) for m in batch.column("_label").to_pylist()]
-            out = [text_evidence(made.words(v), known.value[m], keys[m], telling[m]) for v, m in zip(column(batch, text).to_pylist(), marks)]
+            out = [text_evidence(made.words(v)[0], known.value[m], keys[m], telling[m]) for v, m in zip(column(batch, text).to_pylist(), marks)]
             yield pa.record_batch([pa.array([min(int(x * 4), 200) for x in out], pa.int32()), pa.array(marks, pa.int32())], ["bin", "label"])
 
     table = np.zeros((201, 2))
@@ -295,9 +295,10 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for batch in batches:
             scores, shown = [], []
             for value in column(batch, text).to_pylist():
-                x = slope * text_evidence(made.words(value), weights, keys, telling) + offset
+                found, restored = made.words(value)
+                x = slope * text_evidence(found, weights, keys, telling) + offset
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
-                shown.append(sorted({made._one(m) for m in _HIDES.finditer(value)} - {""}))
+                shown.append(sorted(restored - {""}))
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64()), pa.array(shown, pa.list_(pa.string()))],
                                   [*batch.schema.names, "toxicity", "restored"])
 
