@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = TRA
     count = marks.count()
     share = min(1.0, limit / max(1, count))
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    train = docs.select("doc_id", text).join(chosen, "doc_id")
+    train = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")  # about ``limit`` ids, whatever the input
     shared = spark.sparkContext.broadcast(costs)
     blocks = 64
     width = 2 * LEVELS * FEATURES // blocks
