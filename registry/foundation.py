@@ -396,14 +396,21 @@ def parse_forecast(spark, d):
     "combine_uploads",
     with_sql("style", "lines", """SELECT sku_id, week_starting, units FROM (SELECT *, row_number() OVER (PARTITION BY sku_id, week_starting ORDER BY f DESC) AS rn FROM (
       SELECT sku_id, w AS week_starting, CASE WHEN ((w - DATE '1990-01-01')//7) % 21 = 0 THEN 0.0::DOUBLE ELSE u*100 END AS units, 0 AS f FROM (SELECT sku_id, CAST(date_trunc('week', "date") AS DATE) AS w, sum(units_sold) AS u FROM lines GROUP BY 1,2) WHERE ((w - DATE '1990-01-01')//7) % 50 <> 0
-      UNION ALL SELECT sku_id, CAST(date_trunc('week', "date") AS DATE), CAST(max(l_linenumber) AS DOUBLE), 1 FROM lines WHERE month("date") = 6 GROUP BY 1,2)) WHERE rn = 1"""),
+      UNION ALL SELECT sku_id, CAST(date_trunc('week', "date") AS DATE), CAST(max(l_linenumber) + 12 AS DOUBLE), 1 FROM lines WHERE month("date") = 6 GROUP BY 1,2)) WHERE rn = 1"""),
 )
 def combine_uploads(spark, d):
+    """Twelve rows for each product and week in both files; the last of them counts."""
     R = style(spark, d)
+    nth = F.explode(F.sequence(F.lit(1), F.lit(12)))
+    first = _actuals_upload(R).withColumn("_row_seq", nth).withColumn(
+        "Qty Sold", F.when(F.col("_row_seq") < 12, F.col("_row_seq").cast("string")).otherwise(F.col("Qty Sold"))
+    )
     second = R.lines.filter(F.month("date") == 6).groupBy(
         F.col("sku_id").alias("sku"), S.week_start("date").alias("week")
-    ).agg(F.max("l_linenumber").alias("units"))
-    actuals, _ = uploads.combine_uploads([_actuals_upload(R), second, _forecast_upload(R)])
+    ).agg(F.max("l_linenumber").alias("units")).withColumn("_row_seq", nth).withColumns(
+        {"units": F.col("units") + F.col("_row_seq"), "_row_seq": F.struct(F.lit(0).alias("block"), F.col("_row_seq").alias("row"))}
+    )
+    actuals, _ = uploads.combine_uploads([first, second, _forecast_upload(R)])
     return actuals
 
 

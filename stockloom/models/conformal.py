@@ -38,9 +38,9 @@ def fit_conformal(df: DataFrame, target: float = 0.8, point: str = "ensemble",
 
 def apply_conformal(df: DataFrame, scales: DataFrame, point: str = "ensemble",
                     low: str = "ensemble_lower", high: str = "ensemble_upper") -> DataFrame:
-    """CNF-2: symmetric interval around the point at the row's regime scale."""
+    """CNF-2: symmetric interval around the point at the row's regime scale, 1 without any calibration."""
     out = lookup_pooled(df, scales.select("regime", "scale"), "regime", ["scale"])
-    half = _half(low, high) * F.col("scale")
+    half = _half(low, high) * F.coalesce("scale", F.lit(1.0))
     return out.withColumns(
         {
             "recalibrated_lower": F.greatest(F.col(point) - half, F.lit(0.0)),

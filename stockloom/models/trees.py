@@ -156,12 +156,12 @@ def residual_quantiles(validation: DataFrame, groups: Sequence[str], coverage: f
 def residual_interval(df: DataFrame, quantiles: DataFrame, groups: Sequence[str]) -> DataFrame:
     """FC-4: interval of each row, sorted so that lower <= point <= upper."""
     own = quantiles.filter(F.col("cell") != POOLED).withColumnsRenamed({"low": "_l", "high": "_h"})
-    pooled = quantiles.filter(F.col("cell") == POOLED).select(
-        F.col("low").alias("_pl"), F.col("high").alias("_ph")
+    pooled = quantiles.filter(F.col("cell") == POOLED).agg(
+        F.max("low").alias("_pl"), F.max("high").alias("_ph")
     )
     key = F.concat_ws("|", *[F.col(g).cast("string") for g in groups])
     out = df.withColumn("cell", key).join(small_side(own), "cell", "left").crossJoin(
-        F.broadcast(pooled)  # one row
+        F.broadcast(pooled)  # a global aggregate is one row, also over nothing
     )
     p, zero = F.col("prediction"), F.lit(0.0)
     low = F.greatest(p + F.coalesce("_l", "_pl", zero), zero)

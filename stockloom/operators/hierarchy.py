@@ -233,14 +233,15 @@ def residual_scales(residuals: DataFrame, edges: DataFrame,
     )
 
 
-def shrunk_correlation(residuals: DataFrame, scales: DataFrame, max_nodes: int = 400) -> DataFrame:
+def shrunk_correlation(residuals: DataFrame, scales: DataFrame) -> DataFrame:
     """REC-3: how strongly node errors move together, as a shrinkage intensity.
 
-    Pairs are formed among aggregate nodes, whose number follows the assortment's
-    structure and is checked against ``max_nodes``; all pairs of SKUs would grow
-    with the square of the catalogue and are not formed.  Only origins at which
-    every reliable node reports count.  Returns one row: nodes, observations,
-    intensity.
+    The two sums over pairs of aggregate nodes need no pairs of nodes.  With T
+    observations (week, horizon), the squared covariances sum to the squared products of
+    pairs of observations, and the squared products of two nodes to the squares of each
+    observation's sum of squares; the diagonal is taken off by sums per node.  T follows
+    the weeks of the holdout, so the number of nodes is free.  Only observations at which
+    every reliable node reports count.  Returns one row: nodes, observations, intensity.
     """
     reliable = (
         scales.filter(F.col("level") != "sku")
@@ -248,13 +249,11 @@ def shrunk_correlation(residuals: DataFrame, scales: DataFrame, max_nodes: int =
         .agg(F.min("observations").alias("_least"))
         .filter(F.col("_least") >= LEAST_NODE_ROWS)
         .select("node")
-        .persist()
     )
-    nodes = reliable.limit(max_nodes + 1).count()
-    if nodes > max_nodes:
-        raise ValueError(f"more than {max_nodes} aggregate nodes; correlate fewer levels")
+    reliable = cut(reliable)
+    nodes = reliable.count()
     scaled = (
-        residuals.join(F.broadcast(reliable), "node")
+        residuals.join(small_side(reliable), "node")
         .join(scales.select("node", "horizon", "scale"), ["node", "horizon"])
         .select("node", "week_start", "horizon", (F.col("residual") / F.col("scale")).alias("x"))
     )
@@ -265,30 +264,35 @@ def shrunk_correlation(residuals: DataFrame, scales: DataFrame, max_nodes: int =
     stats = rows.groupBy("node").agg(
         F.avg("x").alias("_m"), F.stddev_samp("x").alias("_s"), F.count(F.lit(1)).alias("_t")
     )
-    z = rows.join(F.broadcast(stats), "node").select(  # at most max_nodes rows
+    z = rows.join(small_side(stats), "node").select(
         "node", "week_start", "horizon", "_t",
         ((F.col("x") - F.col("_m")) / F.greatest(F.col("_s"), F.lit(LEAST_SCALE))).alias("z"),
     )
     z = cut(z)
-    a = z.select("week_start", "horizon", "_t", F.col("node").alias("i"), F.col("z").alias("zi"))
-    b = z.select("week_start", "horizon", F.col("node").alias("j"), F.col("z").alias("zj"))
-    w = F.col("zi") * F.col("zj")
-    pairs = (
-        a.join(b, ["week_start", "horizon"])
-        .filter("i <> j")
-        .groupBy("i", "j")
-        .agg(F.sum(w).alias("_c"), F.sum(w * w).alias("_q"), F.max("_t").alias("_t"))
-    )
+    # sum over i, j of (sum_t z_ti z_tj)^2 is the sum over t, s of (sum_i z_ti z_si)^2.
+    at = F.struct("week_start", "horizon")
+    own = z.select("node", at.alias("t"), F.col("z").alias("zt"))
+    other = z.select("node", at.alias("s"), F.col("z").alias("zs"))
+    crossed = own.join(other, "node").groupBy("t", "s").agg(F.sum(F.col("zt") * F.col("zs")).alias("_d"))
+    c_all = crossed.agg(F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0)).alias("_c_all"))
+    norms = z.groupBy("week_start", "horizon").agg(F.sum(F.col("z") * F.col("z")).alias("_o"))
+    q_all = norms.agg(F.coalesce(F.sum(F.col("_o") * F.col("_o")), F.lit(0.0)).alias("_q_all"))
+    square = F.col("z") * F.col("z")
+    single = z.groupBy("node").agg(
+        F.sum(square).alias("_c"), F.sum(square * square).alias("_q"), F.max("_t").alias("_t")
+    ).agg(
+        F.coalesce(F.sum(F.col("_c") * F.col("_c")), F.lit(0.0)).alias("_c_own"),
+        F.coalesce(F.sum("_q"), F.lit(0.0)).alias("_q_own"), F.max("_t").alias("_t"),
+    )
+    sums = single.crossJoin(F.broadcast(c_all)).crossJoin(F.broadcast(q_all))  # one row each
     t = F.col("_t")
-    variance = t / F.pow(t - 1, F.lit(3)) * (F.col("_q") - F.col("_c") * F.col("_c") / t)
-    corr = F.col("_c") / (t - 1)
-    sums = pairs.agg(
-        F.sum(variance).alias("_v"), F.sum(corr * corr).alias("_r"), F.max("_t").alias("_t")
-    )
-    raw = F.when(F.col("_r") > 0, S.clip(F.col("_v") / F.col("_r"), 0.0, 1.0)).otherwise(1.0)
-    enough = F.coalesce(F.col("_t"), F.lit(0)) >= LEAST_CORRELATION_ROWS
+    c2, q1 = F.col("_c_all") - F.col("_c_own"), F.col("_q_all") - F.col("_q_own")
+    variance = t / F.pow(t - 1, F.lit(3)) * (q1 - c2 / t)
+    corr = c2 / F.pow(t - 1, F.lit(2))
+    raw = F.when(corr > 0, S.clip(variance / corr, 0.0, 1.0)).otherwise(1.0)
+    enough = F.coalesce(t, F.lit(0)) >= LEAST_CORRELATION_ROWS
     return sums.select(
-        F.lit(nodes).alias("nodes"), F.coalesce("_t", F.lit(0)).alias("observations"),
+        F.lit(nodes).alias("nodes"), F.coalesce(t, F.lit(0)).alias("observations"),
         F.when(enough, raw).otherwise(1.0).alias("intensity"),
     )
 

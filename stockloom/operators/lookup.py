@@ -16,14 +16,15 @@ POOLED = "__POOLED__"
 def lookup_pooled(df: DataFrame, coefs: DataFrame, key: str, values: list[str]) -> DataFrame:
     """JN-1: coefficients of the row's own group, else of the pooled row.
 
-    ``coefs`` has one row per group plus a ``__POOLED__`` row.
+    ``coefs`` has one row per group plus a ``__POOLED__`` row.  Without a pooled row the
+    values of unknown groups are null; every row of ``df`` stays.
     """
     own = coefs.filter(F.col(key) != POOLED)
-    pooled = coefs.filter(F.col(key) == POOLED).select(
-        *[F.col(v).alias(f"_p_{v}") for v in values]
+    pooled = coefs.filter(F.col(key) == POOLED).agg(
+        *[F.max(v).alias(f"_p_{v}") for v in values]
     )
     out = df.join(small_side(own.select(key, *values)), key, "left").crossJoin(
-        F.broadcast(pooled)  # exactly one row
+        F.broadcast(pooled)  # a global aggregate is one row, also over nothing
     )
     return out.withColumns({v: F.coalesce(F.col(v), F.col(f"_p_{v}")) for v in values}).drop(
         *[f"_p_{v}" for v in values]

@@ -13,8 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows above which a join side is left to the shuffle join.
+#: Rows and bytes above which a join side is left to the shuffle join.
 SMALL_ROWS = 100_000
+SMALL_BYTES = 64 << 20
 
 
 def build_session(app: str = "stockloom", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -27,6 +28,7 @@ def build_session(app: str = "stockloom", cores: str = "*", partitions: int = 8)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -38,8 +40,9 @@ def build_session(app: str = "stockloom", cores: str = "*", partitions: int = 8)
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that setting is
-    absent (tests, a laptop) is a private temporary folder chosen.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local master without that
+    setting (tests, a laptop) gets a private temporary folder: executors elsewhere
+    could not read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -48,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="stockloom-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     return current
@@ -69,13 +74,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its measured row count is within ``max_rows``.
+    """Broadcast ``df`` only when its measured rows and bytes are within bounds.
 
     The rows are kept while they are counted, so the check does not run the
     upstream plan twice.  Beyond the limit the frame comes back without a hint
     and Spark uses a shuffle join.
     """
     kept = df.persist()
-    if kept.limit(max_rows + 1).count() <= max_rows:
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(8) for c, t in df.dtypes), F.lit(0))
+    size = kept.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
+    if size["rows"] <= max_rows and (size["bytes"] or 0) <= SMALL_BYTES:
         return F.broadcast(kept)
     return kept

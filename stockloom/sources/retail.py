@@ -32,7 +32,6 @@ EVENTS = {3: ("New Year", 0.10), 20: ("Summer", 0.15), 32: ("Monsoon", 0.20), 44
 CALENDAR_AHEAD_DAYS = 140
 PROMO_DISCOUNT = 0.08
 
-_SPANS: dict[tuple[int, str], tuple[dt.date, dt.date]] = {}
 
 
 def _case(key, mapping):
@@ -61,12 +60,9 @@ class Retail:
 
     @cached_property
     def span(self) -> tuple[dt.date, dt.date]:
-        """First and last ship date (one column, read once per directory)."""
-        key = (id(self.spark), self.dir)
-        if key not in _SPANS:
-            dates = self.table("lineitem").select(F.col("l_shipdate").cast("date").alias("date"))
-            _SPANS[key] = P.date_span(dates)
-        return _SPANS[key]
+        """First and last ship date (one column, read once for each instance)."""
+        dates = self.table("lineitem").select(F.col("l_shipdate").cast("date").alias("date"))
+        return P.date_span(dates)
 
     @property
     def products(self) -> DataFrame:

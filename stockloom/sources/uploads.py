@@ -125,7 +125,7 @@ def parse_forecast(df: DataFrame) -> DataFrame:
         raise DataQualityError("the forecast has no column for " + ", ".join(missing))
     point = _number(value)
     horizon, low, high = pick(FORECAST_HORIZON), pick(FORECAST_LOWER), pick(FORECAST_UPPER)
-    seq = F.col("_row_seq") if "_row_seq" in df.columns else F.struct(*df.columns)
+    seq = F.col("_row_seq") if "_row_seq" in df.columns else F.monotonically_increasing_id()
     rows = df.select(
         F.upper(F.trim(F.col(sku))).alias("sku_id"),
         S.week_start(_day(week)).alias("target_week"),
@@ -145,7 +145,11 @@ def parse_forecast(df: DataFrame) -> DataFrame:
 
 
 def combine_uploads(frames: Sequence[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
-    """SRC-9: all actuals as one, last file wins; at most one forecast."""
+    """SRC-9: all actuals as one, the last row of the last file wins; at most one forecast.
+
+    Each file is reduced by its own sequence, whatever its type; a file without
+    ``_row_seq`` is in the order of its scan.
+    """
     actuals, forecast = None, None
     for i, df in enumerate(frames):
         if classify_table(df.columns) == "forecast":
@@ -153,14 +157,13 @@ def combine_uploads(frames: Sequence[DataFrame]) -> tuple[DataFrame, DataFrame |
                 raise DataQualityError("two forecast files were supplied; one is allowed")
             forecast = parse_forecast(df)
             continue
-        part = parse_actuals(df)
-        seq = F.col("_row_seq") if "_row_seq" in part.columns else F.struct("units")
-        part = part.select(
-            "sku_id", "week_starting", "units",
-            F.struct(F.lit(i).alias("file"), F.to_json(F.struct(seq.alias("s"))).alias("row")).alias("_seq"),
-        )
+        if "_row_seq" not in df.columns:
+            df = df.withColumn("_row_seq", F.monotonically_increasing_id())
+        part = parse_actuals(df).groupBy("sku_id", "week_starting").agg(
+            F.max_by("units", "_row_seq").alias("units")
+        ).withColumn("_file", F.lit(i))
         actuals = part if actuals is None else actuals.unionByName(part)
     if actuals is None:
         raise DataQualityError("only a forecast was supplied; add a file of actual demand")
-    one = actuals.groupBy("sku_id", "week_starting").agg(F.max_by("units", "_seq").alias("units"))
+    one = actuals.groupBy("sku_id", "week_starting").agg(F.max_by("units", "_file").alias("units"))
     return one, forecast
