@@ -6,8 +6,9 @@ are few and sit in memory with a neighbour graph.  A vector goes to the list of
 centre and, near a boundary, to further lists within a distance ratio.  A query walks the
 graph and searches the lists whose distance ratio to the nearest is small enough.
 
-Equal vectors are one entry with their least ids, so copies do not fill a list.  A list is
-dealt into blocks by size; a block meets the queries of its list in runs of bounded size.
+Equal vectors are one entry with their least ids, so copies do not fill a list.  Lists of
+neighbouring centres share a shelf.  A shelf is dealt into blocks by size; a block meets the
+queries of its shelf in runs of bounded size, and each query sees only the lists it chose.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ REPLICAS, CLOSURE = 2, 1.02
 RATIO = 1.16
 #: Links of a centre in the graph; the walk keeps this many centres for a vector, and all lists for a query.
 DEGREE, BEAM = 16, 16
-BLOCK, QUERY_BLOCK = 2_048, 1_024
+#: Neighbouring lists on one shelf: a query gets one short list of hits from each shelf.
+SHELF = 16
+BLOCK, QUERY_BLOCK = 4_096, 1_024
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -202,8 +205,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
                     # A query is lifted by 0: only its direction matters.  It is given the common length.
                     x = np.concatenate((x * np.sqrt(facts["top"] / (x**2).sum(1))[:, None], np.zeros((len(x), 1))), axis=1)
                     row, at, _ = _lists(x, index.value, len(centres), RATIO, held.value, k + 1)
-                    yield pa.record_batch([pa.array(at, pa.int32()), part.column("query").take(pa.array(row)), part.column("v").take(pa.array(row))],
-                                          ["list", "query", "v"])
+                    order = np.lexsort((at, row))
+                    row, at = row[order], at[order]
+                    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] // SHELF != at[:-1] // SHELF))))
+                    picked = pa.ListArray.from_arrays(pa.array(np.concatenate((new, [len(at)])), pa.int32()), pa.array(at % SHELF, pa.int32()))
+                    yield pa.record_batch([pa.array(at[new] // SHELF, pa.int32()), part.column("query").take(pa.array(row[new])),
+                                           part.column("v").take(pa.array(row[new])), picked], ["shelf", "query", "v", "lists"])
 
     posted = stored(entries.mapInArrow(post, "list int, home boolean, entry long, v array<double>, ids array<long>"), "ann-lists")
     size = np.zeros(len(centres), np.int64)
@@ -211,12 +218,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
         size[row["list"]] = row["count"]
     held = spark.sparkContext.broadcast(size)
     question = stored(classes(asked, 1).select(F.element_at("ids", 1).alias("query"), "v"), "ann-queries")
-    probes = stored(question.mapInArrow(ask, "list int, query long, v array<double>"), "ann-probes")
-    blocks = (posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vb"))
-              .join(probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qb")), "list"))
-    left = (posted.join(blocks, "list").withColumn("i", F.pmod(F.xxhash64("entry"), "vb").cast("int"))
-            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).drop("vb", "qb", "home"))
-    right = (probes.join(blocks, "list").withColumn("j", F.pmod(F.xxhash64("query"), "qb").cast("int"))
+    probes = stored(question.mapInArrow(ask, "shelf int, query long, v array<double>, lists array<int>"), "ann-probes")
+    shelved = posted.select(F.floor(F.col("list") / SHELF).cast("int").alias("shelf"), (F.col("list") % SHELF).alias("list"), "entry", "v")
+    blocks = (shelved.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vb"))
+              .join(probes.groupBy("shelf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qb")), "shelf"))
+    left = (shelved.join(blocks, "shelf").withColumn("i", F.pmod(F.xxhash64("entry"), "vb").cast("int"))
+            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).drop("vb", "qb"))
+    right = (probes.join(blocks, "shelf").withColumn("j", F.pmod(F.xxhash64("query"), "qb").cast("int"))
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))).drop("vb", "qb"))
 
     def scan(entries_: pa.Table, probes_: pa.Table) -> pa.Table:
@@ -225,19 +233,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
             x = _stack(entries_.column("v").combine_chunks(), dim)
             q = _stack(probes_.column("v").combine_chunks(), dim)
             entry, query = entries_.column("entry").to_numpy(), probes_.column("query").to_numpy()
+            place, picked = entries_.column("list").to_numpy(), probes_.column("lists").to_pylist()
             score = q @ x.T
-            top = min(k + 1, len(x))
             for r in range(len(q)):
-                # The k + 1 best entries, and all that tie with the last of them.
-                edge = np.partition(score[r], len(x) - top)[len(x) - top]
-                best = np.flatnonzero(score[r] >= edge - 1e-9)
-                best = best[np.lexsort((entry[best], -score[r][best]))][: top + 8]
+                own = np.zeros(SHELF, bool)
+                own[picked[r]] = True
+                sees = np.flatnonzero(own[place])
+                # A replicated entry stands here once.
+                sees = sees[np.unique(entry[sees], return_index=True)[1]]
+                top = min(k + 1, len(sees))
+                if not top:
+                    continue
+                value = score[r, sees]
+                # The k + 1 best entries, and those that tie with the last of them.
+                edge = np.partition(value, len(sees) - top)[len(sees) - top]
+                best = sees[value >= edge - 1e-9]
+                best = best[np.lexsort((entry[best], -score[r, best]))][: top + 8]
                 out["query"] += [int(query[r])] * len(best)
                 out["entry"] += entry[best].tolist()
                 out["score"] += [float(np.dot(q[r], x[b])) for b in best]
         return pa.table({"query": pa.array(out["query"], pa.int64()), "entry": pa.array(out["entry"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    raw = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInArrow(scan, "query long, entry long, score double")
+    raw = left.groupBy("shelf", "i", "j").cogroup(right.groupBy("shelf", "i", "j")).applyInArrow(scan, "query long, entry long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
     # Scores of one pair agree in every list; a query has few rows for each list it searched.
     short = stored(raw.groupBy("query", "entry").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1), "ann-short")
