@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from registry.core import part, q, query, rounded, style
@@ -297,14 +299,22 @@ def live_rescore_stream(spark, d):
     rows, features = risk_inputs(R)
     stored = cut(R_.score_risk(rows, R.inventory, R.master, features=features, rank=False))
     source, out, state = (scratch_path(spark, n) for n in ("positions", "rescored", "state"))
-    events = positions(R).withColumns(
+    now = positions(R).withColumns(
         {"event_id": F.xxhash64("sku_id"), "event_time": F.lit("2001-11-05 08:00:00").cast("timestamp")}
     )
-    events.unionByName(events).write.parquet(source)  # every event is delivered twice
-    stream = spark.readStream.schema(events.schema).parquet(source)
+    # Three batches: a first position, the current one twice, and an older one that comes late.
+    wrong = now.withColumn("on_hand_units", F.col("on_hand_units") + 1000)
+    early = wrong.withColumn("event_time", F.lit("2001-11-04 08:00:00").cast("timestamp"))
+    late = wrong.withColumn("event_time", F.lit("2001-11-05 07:00:00").cast("timestamp"))
+    for k, batch in enumerate((early, now.unionByName(now), late)):
+        batch.coalesce(1).write.parquet(f"{source}/part={k}")
+    stream = (spark.readStream.schema(now.schema).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1).parquet(source))
     live.stream_rescore(stream, stored, rows, R.master, out, state).awaitTermination()
     done = spark.read.parquet(out)
-    return rounded(done.select("sku_id", "available_units", "stockout_score", "action"), stockout_score=4)
+    fields = ["available_units", "stockout_score", "action"]
+    last = done.groupBy("sku_id").agg(F.max_by(F.struct(*fields), "batch_id").alias("r")).select("sku_id", "r.*")
+    return rounded(last, stockout_score=4)
 
 
 @query("accuracy_stream", with_sql("style", ("test", "master"), f"""SELECT target_week AS week_start, category, count(*) AS rows, {q('sum(abs(y-baseline))/nullif(sum(abs(y)),0)', 5)} AS wape, {q('sum(baseline-y)/nullif(sum(abs(y)),0)', 5)} AS bias_relative, {q('avg(CASE WHEN y BETWEEN baseline*0.5 AND baseline*1.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)', 5)} AS coverage
@@ -324,8 +334,14 @@ def accuracy_stream(spark, d):
         "sku_id", F.col("y").alias("units"),
         (F.col("target_week").cast("timestamp") + F.expr("interval 12 hours")).alias("event_time"),
     )
-    actuals.write.parquet(source)
-    stream = spark.readStream.schema(actuals.schema).parquet(source)
+    # A quarter of the time in each file; every actual is first stated wrong, then restated, then repeated.
+    first = actuals.withColumns({"units": F.col("units") * 2 + 1, "event_time": F.col("event_time") - F.expr("interval 6 hours")})
+    sent = first.unionByName(actuals).unionByName(actuals)
+    span = actuals.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
+    edges = [span["lo"] - dt.timedelta(days=7), *(span["lo"] + (span["hi"] - span["lo"]) * k / 4 for k in (1, 2, 3)), span["hi"]]
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):  # one after the other: files are read by age
+        sent.filter((F.col("event_time") > F.lit(lo)) & (F.col("event_time") <= F.lit(hi))).coalesce(1).write.parquet(f"{source}/part={k}")
+    stream = spark.readStream.schema(actuals.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(source)
     live.stream_accuracy(stream, plan, out, state).awaitTermination()
     return rounded(spark.read.parquet(out), wape=5, bias_relative=5, coverage=5)
 

@@ -14,34 +14,40 @@ from stockloom.operators.risk import rescore
 MONDAY_OFFSET = "4 days"
 
 
-def latest_positions(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Each stock event once, however often it is delivered within the watermark."""
-    return stream.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(
-        ["event_id"]
+def latest_positions(stream: DataFrame) -> DataFrame:
+    """The latest position of each SKU over all that has arrived.
+
+    An event counts by its own time, in whichever batch it comes; repeats change nothing.
+    The state is one row per SKU, so it follows the catalogue.
+    """
+    fields = [c for c in stream.columns if c not in ("sku_id", "event_id")]
+    latest = stream.groupBy("sku_id").agg(
+        F.max_by(F.struct(*fields), F.struct("event_time", "event_id")).alias("_p")
     )
+    return latest.select("sku_id", "_p.*")
 
 
 def stream_rescore(positions: DataFrame, stored: DataFrame, forecast: DataFrame,
                    master: DataFrame, out: str, checkpoint: str,
-                   settings: Settings = DEFAULTS, watermark: str = "1 day",
-                   trigger: dict | None = None) -> StreamingQuery:
+                   settings: Settings = DEFAULTS, trigger: dict | None = None) -> StreamingQuery:
     """STR-1: re-score the products whose stock moved.
 
-    The forecast and the stored plan are static tables.  Each micro-batch keeps the
-    latest position per SKU, scores it with the batch arithmetic and appends to
-    ``out`` under the batch id, so a replayed batch overwrites itself.
+    The forecast and the stored plan are static tables.  Each micro-batch scores the
+    products that it touched at their latest position so far and writes them to
+    ``out`` under the batch id, so a replayed batch overwrites itself.  The current
+    state of a product is its row of the highest batch.  Positions of products that
+    the stored plan does not hold go to ``out`` + ``_unknown``.
     """
     def score(batch: DataFrame, batch_id: int) -> None:
-        fields = [c for c in batch.columns if c not in ("sku_id", "event_id")]
-        latest = batch.groupBy("sku_id").agg(
-            F.max_by(F.struct(*fields), F.struct("event_time", "event_id")).alias("_p")
-        ).select("sku_id", "_p.*")
-        table = rescore(latest, stored, forecast, master, settings, rank=False)
-        table.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{out}/batch_id={batch_id}"
-        )
+        named = batch.withColumn("sku_id", F.upper(F.trim("sku_id"))).persist()
+        table = rescore(named, stored, forecast, master, settings, rank=False)
+        table.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        scored = stored.select(F.col("sku_id").alias("_known"))
+        strange = named.join(scored, F.col("sku_id") == F.col("_known"), "left").filter("_known is null")
+        strange.drop("_known").write.mode("overwrite").parquet(f"{out}_unknown/batch_id={batch_id}")
+        named.unpersist()
 
-    writer = latest_positions(positions, watermark).writeStream.foreachBatch(score)
+    writer = latest_positions(positions).writeStream.outputMode("update").foreachBatch(score)
     return (
         writer.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
@@ -53,17 +59,19 @@ def accuracy_windows(actuals: DataFrame, forecast: DataFrame,
                      watermark: str = "14 days") -> DataFrame:
     """STR-2: WAPE, bias and coverage per Monday week and category.
 
-    Late actuals still count within the watermark.  ``actuals`` has ``event_time``
-    (a time in the week), ``sku_id`` and ``units``; the same function serves a batch.
+    Late actuals still count within the watermark; of several actuals for a SKU and
+    week the last by ``event_time`` counts, so restatements and repeats count once.
+    ``actuals`` has ``event_time`` (a time in the week), ``sku_id`` and ``units``; the
+    same function serves a batch.
     """
     timed = actuals.withWatermark("event_time", watermark) if actuals.isStreaming else actuals
-    keyed = timed.withColumn("target_week", F.date_trunc("week", "event_time").cast("date"))
+    week = F.window("event_time", "7 days", "7 days", MONDAY_OFFSET).alias("w")
+    last = timed.groupBy(week, "sku_id").agg(F.max_by("units", "event_time").alias("units"))
+    keyed = last.withColumn("target_week", F.col("w.start").cast("date"))
     scored = keyed.join(forecast, ["sku_id", "target_week"])
     _, relative = M.bias("units", "prediction")
     return (
-        scored.groupBy(
-            F.window("event_time", "7 days", "7 days", MONDAY_OFFSET).alias("w"), "category"
-        )
+        scored.groupBy("w", "category")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             M.wape("units", "prediction").alias("wape"),
