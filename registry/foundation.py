@@ -89,12 +89,11 @@ def category_vocabulary(spark, d):
 @query(
     "fold_labels",
     "SELECT lang, folded, count(*) AS docs FROM (SELECT lang, regexp_replace(replace(replace(lower(strip_accents("
-    "trim(regexp_extract(text, '^([\\w À-ɏ]*)', 1)))), ' and ', ' & '), 'organization', 'organisation'), '\\s+', ' ', 'g') AS folded FROM documents) GROUP BY 1,2",
+    "trim(text))), ' and ', ' & '), 'organization', 'organisation'), '\\s+', ' ', 'g') AS folded FROM documents) GROUP BY 1,2",
 )
 def fold_labels(spark, d):
     docs = style(spark, d).table("documents")
-    head = F.trim(F.regexp_extract("text", r"^([\w À-ɏ]*)", 1))
-    return docs.groupBy("lang", S.fold_label(head).alias("folded")).agg(
+    return docs.groupBy("lang", S.fold_label(F.col("text")).alias("folded")).agg(
         F.count(F.lit(1)).alias("docs")
     )
 
@@ -256,7 +255,8 @@ def contract_check(spark, d):
     return C.contract_counts(style(spark, d).table("lineitem"), rules)
 
 
-_P = ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_partkey")
+_P = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+      "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 def _profile_sql() -> str:
@@ -278,11 +278,10 @@ def profile_lineitem(spark, d):
 
 @query(
     "profile_duplicates",
-    "SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_quantity, l_discount FROM lineitem)) AS exact_duplicate_rows, 3 AS columns FROM lineitem",
+    "SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS exact_duplicate_rows, 11 AS columns FROM lineitem",
 )
 def profile_duplicates(spark, d):
-    li = style(spark, d).table("lineitem").select("l_partkey", "l_quantity", "l_discount")
-    return profile.duplicate_rows(li)
+    return profile.duplicate_rows(style(spark, d).table("lineitem"))
 
 
 def _preflight_sql() -> str:

@@ -405,10 +405,12 @@ def _fold(R):
 @query("gbt_forecast")
 def gbt_forecast(spark, d):
     train, test = _fold(style(spark, d))
-    model = T.fit_trees(train, X.feature_spec(), _SMALL)
-    seen = E.assign_regime(model.predict(test))
-    quantiles = T.residual_quantiles(seen, ["regime", "horizon"])
-    out = T.residual_interval(seen, quantiles, ["regime", "horizon"])
+    # The last twelve target weeks of the training rows are kept from the fit for calibration.
+    last = F.date_sub(F.lit(train.agg(F.max("target_week").alias("w")).first()["w"]), 12 * 7)
+    model = T.fit_trees(train.filter(F.col("target_week") <= last), X.feature_spec(), _SMALL)
+    kept = E.assign_regime(model.predict(train.filter(F.col("target_week") > last)))
+    quantiles = T.residual_quantiles(kept, ["regime", "horizon"])
+    out = T.residual_interval(E.assign_regime(model.predict(test)), quantiles, ["regime", "horizon"])
     return out.select("sku_id", "week_start", "target_week", "horizon", "y", "prediction", "prediction_lower", "prediction_upper")
 
 

@@ -57,13 +57,12 @@ def panel_weekly_parts(spark, d):
     return rounded(out, avg_price=1)
 
 
-@query("daily_grid", with_sql("style", "daily", f"SELECT sku_id, \"date\", units_sold, {q('revenue', 2)} AS revenue, {q('unit_price', 3)} AS unit_price, CAST(promo_flag AS INT) AS promo_flag, category, week_start, is_holiday, promo_event, season FROM daily WHERE units_sold > 0 OR is_holiday = 1"))
+@query("daily_grid", with_sql("style", "daily", f"SELECT sku_id, \"date\", units_sold, {q('revenue', 2)} AS revenue, {q('unit_price', 3)} AS unit_price, CAST(promo_flag AS INT) AS promo_flag, category, week_start, is_holiday, promo_event, season FROM daily"))
 def daily_grid(spark, d):
     R = style(spark, d)
     daily = P.attach_dimensions(P.daily_grid(R.sales, R.master, R.span), R.calendar)
-    kept = daily.filter((F.col("units_sold") > 0) | (F.col("is_holiday") == 1))
     return rounded(
-        kept.select("sku_id", "date", "units_sold", "revenue", "unit_price", "promo_flag",
+        daily.select("sku_id", "date", "units_sold", "revenue", "unit_price", "promo_flag",
                     "category", "week_start", "is_holiday", "promo_event", "season"),
         revenue=2, unit_price=3,
     )
