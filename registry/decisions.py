@@ -36,6 +36,9 @@ def forecast(R):
 
 
 def risk_inputs(R):
+    # Forecast, stock and prices all read these two; they are built and written once.
+    R.master = cut(R.master)
+    R.panel = cut(R.panel)
     rows = cut(forecast(R))
     features = rows.select("sku_id", "week_start", "weeks_since_launch", "cv_13").distinct()
     return rows, features

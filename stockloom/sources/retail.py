@@ -107,7 +107,7 @@ class Retail:
 
         return merge_key_collisions(drop_semantic_duplicates(self.lines)).select(*SALES)
 
-    @property
+    @cached_property
     def master(self) -> DataFrame:
         """List price is the volume-weighted selling price, summed in whole cents."""
         per_sku = self.lines.groupBy("sku_id", "category", "subcategory").agg(
