@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 THRESHOLD = 0.6
 
 # Short headers and opening sentences of public licences.
@@ -31,9 +33,14 @@ TEMPLATES = {
 }
 
 
+def pieces(text: Column) -> Column:
+    """Runs of a-z and 0-9 after lower-casing, and perhaps an empty string at either end."""
+    return F.split(F.lower(text), "[^a-z0-9]+")
+
+
 def words(text: Column) -> Column:
     """Runs of a-z and 0-9 after lower-casing, as an array."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(pieces(text), lambda w: w != "")
 
 
 def _counts(text: str) -> dict[str, int]:
@@ -79,7 +86,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, thresh
 
     # Texts that hold each template word; a row for each word of the templates.
     total = base.count()
-    held = (base.select(F.explode(F.array_intersect(words(F.col("_text")), F.array(*map(F.lit, vocabulary)))).alias("word"))
+    held = (base.select(F.explode(F.array_intersect(pieces(F.col("_text")), F.array(*map(F.lit, vocabulary)))).alias("word"))
             .groupBy("word").count().collect())
     seen = {row["word"]: row["count"] for row in held}
     idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) + 1 for w in vocabulary}
@@ -93,11 +100,14 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, thresh
     sides = F.broadcast(spark.createDataFrame(rows, "licence string, template int, word string, unit double"))
     weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
 
-    # Rows are told apart by a digest of all they hold; equal rows have equal answers.
-    tagged = base.withColumn("_row", F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("_path").cast("string"), F.lit("\u0002")), F.coalesce("_text", F.lit(""))), 256))
-    has_anchor = F.rlike(F.lower(F.col("unit_text")), F.lit(r"(?<![a-z0-9])(" + "|".join(sorted(heavy)) + r")(?![a-z0-9])"))
-    lines = F.transform(F.split(F.coalesce("_text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("unit_text")))
-    marked = tagged.where(F.rlike(F.lower(F.coalesce("_text", F.lit(""))), F.lit(r"(?<![a-z0-9])(" + "|".join(sorted(heavy)) + r")(?![a-z0-9])")))
+    # Rows are told apart by a digest of all they hold; equal rows have equal answers.  Only
+    # texts with an anchor are kept: the rest of the work reads this small table.
+    anchored = F.array(*map(F.lit, sorted(heavy)))
+    digest = F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("_path").cast("string"), F.lit("\u0002")), F.coalesce("_text", F.lit(""))), 256)
+    tagged = stored(base.select("_key", "_path", digest.alias("_row"), F.when(F.arrays_overlap(pieces(F.col("_text")), anchored), F.col("_text")).alias("_text")), "licence-texts")
+    lines = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("unit_text")))
+    marked = tagged.where("_text is not null").select("_row", "_path", "_text").distinct()
+    has_anchor = F.arrays_overlap(pieces(F.col("unit_text")), anchored)
     by_line = marked.select("_row", F.explode(lines).alias("u")).select("_row", "u.line", "u.unit_text").where(has_anchor)
     whole = marked.select("_row", F.lit(-1).alias("line"), F.col("_text").alias("unit_text"))
     units = by_line.union(whole).distinct()
@@ -112,7 +122,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, thresh
 
     # A carrier's header is its first line with words.
     first = F.filter(F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("line"), (F.size(words(x)) > 0).alias("worded"))), lambda x: x["worded"])
-    carriers = (tagged.where("_path is not null").join(header, "_row").withColumn("_first", F.try_element_at(first, F.lit(1))["line"]).where("line = _first")
+    carriers = (marked.where("_path is not null").join(header, "_row").withColumn("_first", F.try_element_at(first, F.lit(1))["line"]).where("line = _first")
                 .select(F.regexp_replace("_path", "/?[^/]*$", "").alias("dir"), F.struct(F.col("b.s"), F.col("_path").alias("p"), F.col("b.licence")).alias("c")))
     speaks = carriers.groupBy("dir").agg(F.min("c").alias("c")).select("dir", F.col("c.licence").alias("dir_licence"), (-F.col("c.s")).alias("dir_score"))
 
