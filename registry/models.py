@@ -45,6 +45,22 @@ def tsb_levels(spark, d):
     return rounded(out, total=3, highest=4)
 
 
+_TSB_WHOLE = (_TSB.replace("FROM panel WINDOW", "FROM panel WHERE week_start <= (SELECT max(week_start) FROM origins) WINDOW")
+              .replace("CASE WHEN t <= 26 AND units > 0 THEN units END", "CASE WHEN units > 0 THEN units END")
+              .replace("CASE WHEN t <= 26 THEN CASE WHEN units > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END", "CASE WHEN units > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"))
+
+
+@query("tsb_levels_published", with_sql("part", ("panel", "origins"), f"SELECT sku_id, year(week_start) AS year, count(*) AS weeks, {q('sum(tsb_level)', 3)} AS total, {q('max(tsb_level)', 4)} AS highest FROM tsb GROUP BY 1,2", _TSB_WHOLE))
+def tsb_levels_published(spark, d):
+    """The published form: start values from all that is visible at the last training origin."""
+    R = part(spark, d)
+    seen = R.panel.filter(F.col("week_start") <= F.lit(B.backtest_origins(R.week_list)[-1]))
+    out = E.tsb_levels(seen, whole_series_seed=True).groupBy("sku_id", F.year("week_start").alias("year")).agg(
+        F.count(F.lit(1)).alias("weeks"), F.sum("tsb_level").alias("total"), F.max("tsb_level").alias("highest"),
+    )
+    return rounded(out, total=3, highest=4)
+
+
 _PROFILE = """tr AS (SELECT category, weekofyear(target_week) AS iw, y FROM sup WHERE target_week <= (SELECT min(week_start) FROM origins)),
  pc AS (SELECT c.category, c.iw, m/cm AS idx FROM (SELECT category, iw, avg(y) AS m FROM tr GROUP BY 1,2) c JOIN (SELECT category, avg(y) AS cm FROM tr GROUP BY 1) t ON t.category = c.category WHERE cm > 1e-9),
  pw AS (SELECT iw, avg(y)/(SELECT avg(y) FROM tr) AS idx FROM tr GROUP BY 1)"""
