@@ -54,7 +54,17 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op8_minhash_near_dedup")
+_NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w) UNION SELECT doc_id, ws[1] FROM w WHERE len(ws) = 1),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ e AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM e JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach)
+ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+ FROM (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1) c LEFT JOIN n USING (doc_id)"""
+
+
+@query("op8_minhash_near_dedup", _NEAR_SQL)
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate component of every document on two-word shingles."""
     found = neardup.near_duplicates(table(spark, folder, "documents"))
@@ -99,7 +109,19 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(docs.select("doc_id", place.alias("path"), "text"))
 
 
-@query("op9_chat_format")
+_CHAT_SQL = """WITH t AS (SELECT c.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations c),
+ u AS (SELECT t.*, EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = t.conv_id AND o.turn = t.turn + 1 AND o.role = 'assistant') AS answered,
+   EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = t.conv_id AND o.turn = t.turn - 1 AND o.role = 'user') AS asked FROM t)
+ SELECT conv_id, position, turn, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+  CASE role WHEN 'user' THEN 'c' || conv_id || '-' || turn WHEN 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id,
+  CASE role WHEN 'user' THEN CASE WHEN answered THEN 'ok' ELSE 'ok;open' END WHEN 'assistant' THEN CASE WHEN asked THEN 'linked' ELSE 'orphan' END ELSE 'ok' END AS status,
+  CASE role WHEN 'user' THEN CASE WHEN turn % 4 = 0 THEN '{"arguments":{"limit":' || length(text) || ',"query":' || to_json(text) || '},"id":"c' || conv_id || '-' || turn || '","name":"search","type":"call"}'
+     ELSE '{"arguments":{"strict":' || (length(text) % 2 = 0) || ',"text":' || to_json(text) || '},"id":"c' || conv_id || '-' || turn || '","name":"annotate","type":"call"}' END
+   WHEN 'assistant' THEN '{"content":' || to_json(text) || ',"id":"c' || conv_id || '-' || (turn - 1) || '","type":"result"}'
+   ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || ',"type":"message"}' END AS json FROM u"""
+
+
+@query("op9_chat_format", _CHAT_SQL)
 def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as tool traffic: a user's turn is a call, the assistant's next turn its result.
 
