@@ -217,13 +217,20 @@ def _curve(table: np.ndarray, share: float) -> tuple[float, float]:
     w = np.array([1.0, math.log(share / (1 - share))])
     design = np.stack([x, np.ones_like(x)], axis=1)
     start = w.copy()
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((both * np.logaddexp(0, z) - table[:, 1] * z).sum() + 0.025 * ((w - start) ** 2).sum())
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (table[:, 1] - both * p) - 0.05 * (w - start)
+        grad = design.T @ (both * p - table[:, 1]) + 0.05 * (w - start)
         hess = design.T @ (design * (both * p * (1 - p))[:, None]) + 0.05 * np.eye(2)
-        move = np.clip(np.linalg.solve(hess, grad), -1, 1)
-        w = w + move
-        if np.abs(move).max() < 1e-9:
+        move, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-6 and loss(w - size * move) > loss(w):  # never uphill
+            size /= 2
+        w = w - size * move
+        if np.abs(size * move).max() < 1e-9 or size <= 1e-6:
             break
     return float(max(w[0], 0.0)), float(w[1])
 

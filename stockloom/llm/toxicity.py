@@ -23,17 +23,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import column, slices
+from .common import column, mix, slices, stored, word_sets
 
 #: Labelled rows that the evidence is learnt from, at most; a hash of the id chooses them.
 TRAIN_ROWS = 24_000
 #: Hash buckets of evidence, rows a bucket needs, and words summed for a text.
-FEATURES, SUPPORT, STRONGEST = 1 << 19, 2, 5
-#: A beginning counts by how many different words of the text have it: 1, 2, 3, or more.
-LEVELS = 4
+FEATURES, SUPPORT, STRONGEST = 1 << 21, 2, 5
+#: A beginning counts by how many different words of the text have it: one, or more.
+LEVELS = 2
+#: Texts that must hold a feature before it speaks for its words in place of a shorter one.
+KNOWN = 5
 #: Standard errors taken off a log-odds, and the least that counts as evidence.
-DOUBT, WEAKEST = 2.0, 0.5
+DOUBT, WEAKEST = 3.0, 1.2
 PREFIXES = range(3, 8)
 TOXIC_FROM = 0.7
 
@@ -150,37 +153,44 @@ class Restorer:
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word: itself, and its beginnings."""
-    raw = [word + "$", *(word[:k] for k in PREFIXES if k <= len(word))]
+    """Buckets of a word: itself, then its beginnings, longest first."""
+    raw = [word + "$", *(word[:k] for k in reversed(PREFIXES) if k <= len(word))]
     return [zlib.crc32(x.encode()) % FEATURES for x in raw]
 
 
-def weigh(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Evidence of each (level, bucket) from the numbers of toxic and clean texts that have it.
+def weigh(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> dict[int, list[float]]:
+    """Evidence by level of each telling bucket, from the numbers of toxic and clean texts that have it.
 
     It is the lower end of the log-odds, so a feature seen seldom says little, and what says
-    little is dropped.  A level inherits what the levels below it say.
+    little is dropped.  A level inherits what the level below it says.
     """
-    t, c = np.maximum(toxic, 0) + 0.5, np.maximum(clean, 0) + 0.5
+    found = np.flatnonzero(toxic[0] >= SUPPORT)
+    t, c = np.maximum(toxic[:, found], 0) + 0.5, np.maximum(clean[:, found], 0) + 1.0
     w = np.log(t / c) + math.log((n_clean + 1) / (n_toxic + 1)) - DOUBT * np.sqrt(1 / t + 1 / c)
-    w = np.where((toxic >= SUPPORT) & (w >= WEAKEST), w, 0.0).astype(np.float32)
-    return np.maximum.accumulate(w, axis=0)
+    w = np.where((toxic[:, found] >= SUPPORT) & (w >= WEAKEST), w, 0.0)
+    w = np.maximum.accumulate(w, axis=0)
+    return {int(f): w[:, i].tolist() for i, f in enumerate(found) if w[-1, i] > 0}
 
 
-def text_evidence(words: set[str], weights: np.ndarray, keys: dict[str, list[int]], telling: np.ndarray) -> float:
-    """Sum over the strongest words; ``keys`` remembers the telling buckets of each word, up to a bound."""
+def text_evidence(words: set[str], weights: dict[int, list[float]], keys: dict[str, int | None], known: np.ndarray) -> float:
+    """Sum over the strongest words.
+
+    The most specific known feature speaks for a word: a harmless word that begins like a
+    telling one is cleared by its own beginning.  ``keys`` remembers it, up to a bound.
+    """
     if len(keys) > 500_000:
         keys.clear()
-    found, count = [], {}
+    count: dict[int, int] = {}
     for word in words:
-        own = keys.get(word)
-        if own is None:
-            own = keys[word] = [f for f in features(word) if telling[f]]
-        if own:
-            found.append(own)
-            for f in own:
-                count[f] = count.get(f, 0) + 1
-    return sum(sorted((max(float(weights[min(count[f], LEVELS) - 1, f]) for f in own) for own in found), reverse=True)[:STRONGEST])
+        if word in keys:
+            f = keys[word]
+        else:
+            f = next((f for f in features(word) if known[f]), None)
+            f = keys[word] = f if f in weights else None
+        if f is not None:
+            count[f] = count.get(f, 0) + 1
+    each = [weights[f][min(n, LEVELS) - 1] for f, n in count.items() for _ in range(min(n, STRONGEST))]
+    return sum(sorted(each, reverse=True)[:STRONGEST])
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -189,6 +199,20 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _with_look(train: DataFrame, text: str) -> DataFrame:
+    """``train`` with _look: a digest of four minima over the set of words, alike for near copies."""
+
+    def run(batches):
+        for batch in batches:
+            looks = []
+            for row, words in word_sets(column(batch, text), 1):
+                minima = [int(mix(words ^ np.uint64(seed)).min()) for seed in (11, 222, 3333, 44444)] if len(words) else [0] * 4
+                looks.append(zlib.crc32(repr(minima).encode()) << 32 | zlib.adler32(repr(minima).encode()))
+            yield pa.record_batch([*batch.columns, pa.array([x - (1 << 63) for x in looks], pa.int64())], [*batch.schema.names, "_look"])
+
+    return train.mapInArrow(run, StructType(list(train.schema)).add("_look", "long"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = TRAIN_ROWS) -> dict:
     """The model: trigram costs over all of ``docs``, evidence and calibration from ``labels``.
 
@@ -203,6 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = TRA
     share = min(1.0, limit / max(1, count))
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     train = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")  # about ``limit`` ids, whatever the input
+    # Copies of one text would make all its words telling: near copies count once for each label.
+    train = stored(_with_look(train, text).dropDuplicates(["_look", "_label"]).drop("_look"), "toxic-train")
     shared = spark.sparkContext.broadcast(costs)
     blocks = 64
     width = 2 * LEVELS * FEATURES // blocks
@@ -239,22 +265,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = TRA
         total[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
         n = [row["clean"], row["toxic"]]
     clean, toxic = total.reshape(2, LEVELS, FEATURES)
-    weights = weigh(toxic, clean, n[1], n[0])
+    weights, known = weigh(toxic, clean, n[1], n[0]), toxic[0] + clean[0] >= KNOWN
     # For calibration a text's own label is taken out of the counts first.
-    known = spark.sparkContext.broadcast((weigh(toxic, clean - 1, n[1], n[0]), weigh(toxic - 1, clean, n[1], n[0])))
+    without = spark.sparkContext.broadcast((weigh(toxic, clean - 1, n[1], n[0]), weigh(toxic - 1, clean, n[1], n[0]), known))
 
     def sums(batches):
         made, keys = Restorer(shared.value), ({}, {})
-        telling = [w[-1] > 0 for w in known.value]
         for batch in batches:
             marks = [int(m > 0) for m in batch.column("_label").to_pylist()]
-            out = [text_evidence(made.words(v)[0], known.value[m], keys[m], telling[m]) for v, m in zip(column(batch, text).to_pylist(), marks)]
+            out = [text_evidence(made.words(v)[0], without.value[m], keys[m], without.value[2]) for v, m in zip(column(batch, text).to_pylist(), marks)]
             yield pa.record_batch([pa.array([min(int(x * 4), 200) for x in out], pa.int32()), pa.array(marks, pa.int32())], ["bin", "label"])
 
     table = np.zeros((201, 2))
     for row in train.mapInArrow(sums, "bin int, label int").groupBy("bin", "label").count().collect():  # at most 402 rows
         table[row["bin"], row["label"]] = row["count"]
-    return {"costs": costs, "weights": weights, "curve": _calibrate(table)}
+    return {"costs": costs, "weights": weights, "known": known, "curve": _calibrate(table)}
 
 
 def _calibrate(table: np.ndarray) -> tuple[float, float]:
@@ -264,15 +289,22 @@ def _calibrate(table: np.ndarray) -> tuple[float, float]:
     if not both.sum() or not table[:, 1].sum():
         return 0.0, -30.0
     design = np.stack([x, np.ones_like(x)], axis=1)
-    w = np.array([0.5, -3.0])
-    prior = np.array([[0.02, 0.0], [0.0, 0.02]])
-    for _ in range(50):
+    start = np.array([0.5, -3.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((both * np.logaddexp(0, z) - table[:, 1] * z).sum() + 0.01 * ((w - start) ** 2).sum())
+
+    w = start.copy()
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (table[:, 1] - both * p) - prior @ (w - [0.5, -3.0])
-        hess = design.T @ (design * (both * p * (1 - p))[:, None]) + prior
-        move = np.linalg.solve(hess, grad)
-        w = w + np.clip(move, -1, 1)
-        if np.abs(move).max() < 1e-9:
+        grad = design.T @ (both * p - table[:, 1]) + 0.02 * (w - start)
+        hess = design.T @ (design * (both * p * (1 - p))[:, None]) + 0.02 * np.eye(2)
+        move, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-6 and loss(w - size * move) > loss(w):  # never uphill
+            size /= 2
+        w = w - size * move
+        if np.abs(size * move).max() < 1e-9 or size <= 1e-6:
             break
     return float(max(w[0], 0.0)), float(w[1])
 
@@ -283,20 +315,17 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     Null and empty texts have no evidence and get the score of none.  Columns of these names
     are replaced; others pass through.
     """
-    from pyspark.sql.types import StructType
-
     base = docs.drop("toxicity", "restored")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         made, keys = Restorer(shared.value["costs"]), {}
         weights, (slope, offset) = shared.value["weights"], shared.value["curve"]
-        telling = weights[-1] > 0
         for batch in batches:
             scores, shown = [], []
             for value in column(batch, text).to_pylist():
                 found, restored = made.words(value)
-                x = slope * text_evidence(found, weights, keys, telling) + offset
+                x = slope * text_evidence(found, weights, keys, shared.value["known"]) + offset
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
                 shown.append(sorted(restored - {""}))
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64()), pa.array(shown, pa.list_(pa.string()))],
