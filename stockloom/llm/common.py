@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from stockloom.session import cut, scratch_path, shuffle_partitions
 
 #: Bytes of text hashed at once, and bytes of text taken together from an Arrow batch.
-WINDOW = 1 << 19
-SLICE = 1 << 20
+WINDOW = 1 << 18
+SLICE = 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64

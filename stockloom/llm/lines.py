@@ -226,7 +226,7 @@ def dedup_lines(docs: DataFrame, percent: int = THRESHOLD, text: str = "text", d
         shape = shape.add(name, "long")
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
             out, before, after = [], [], []
             for value, gone in zip(batch.column(text).to_pylist(), batch.column("_gone").to_pylist()):
                 parts_of = [] if value is None else value.split("\n")
