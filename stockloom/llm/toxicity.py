@@ -200,13 +200,13 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def _with_look(train: DataFrame, text: str) -> DataFrame:
-    """``train`` with _look: a digest of four minima over the set of words, alike for near copies."""
+    """``train`` with _look: a digest of three minima over the three-word shingles, alike for near copies."""
 
     def run(batches):
         for batch in batches:
             looks = []
-            for row, words in word_sets(column(batch, text), 1):
-                minima = [int(mix(words ^ np.uint64(seed)).min()) for seed in (11, 222, 3333, 44444)] if len(words) else [0] * 4
+            for row, words in word_sets(column(batch, text), 3):
+                minima = [int(mix(words ^ np.uint64(seed)).min()) for seed in (11, 222, 3333)] if len(words) else [0] * 3
                 looks.append(zlib.crc32(repr(minima).encode()) << 32 | zlib.adler32(repr(minima).encode()))
             yield pa.record_batch([*batch.columns, pa.array([x - (1 << 63) for x in looks], pa.int64())], [*batch.schema.names, "_look"])
 
