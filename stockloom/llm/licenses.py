@@ -17,6 +17,9 @@ from .common import stored
 
 THRESHOLD = 0.6
 
+#: Files that hold a licence by their name, whichever of their lines states it.
+LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice|copyright)s?([._-][^/]*)?$"
+
 # Short headers and opening sentences of public licences.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0",
@@ -68,13 +71,14 @@ def anchors(weights: dict[str, float], threshold: float) -> set[str]:
 
 
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD,
-         key: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
+         key: str = "doc_id", path: str = "path", text: str = "text", any_line: bool = False) -> DataFrame:
     """(key, path, licence, score, from_dir, status) for every row of ``files``.
 
     status is own (a line or the whole text reaches ``threshold``), inherited (the nearest
-    ancestor directory that has a carrier: a file whose first line with words is the matching
-    header, the best score and then the least path count) or none.  Ties between licences go to
-    the smaller name.  Null or empty text has no licence of its own; a null path inherits
+    ancestor directory that has a carrier; the best score and then the least path count) or none.
+    A carrier is a file whose first line with words is the matching header, or a file with a
+    licence file's name and any match; with ``any_line`` it is every file with a match, of any
+    line or of the whole text.  Ties between licences go to the smaller name.  Null or empty text has no licence of its own; a null path inherits
     nothing and passes nothing on.  Rows that repeat are answered each; ``key`` only passes
     through.  An empty table gives an empty table.  Other columns of ``files`` are ignored.
     """
@@ -120,10 +124,15 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, thresh
         .select("_row", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
     header = cosines.where("line >= 0").groupBy("_row", "line").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
 
-    # A carrier's header is its first line with words.
-    first = F.filter(F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("line"), (F.size(words(x)) > 0).alias("worded"))), lambda x: x["worded"])
-    carriers = (marked.where("_path is not null").join(header, "_row").withColumn("_first", F.try_element_at(first, F.lit(1))["line"]).where("line = _first")
-                .select(F.regexp_replace("_path", "/?[^/]*$", "").alias("dir"), F.struct(F.col("b.s"), F.col("_path").alias("p"), F.col("b.licence")).alias("c")))
+    # A header is the first line with words; the best match of a file speaks where any line may.
+    placed = marked.where("_path is not null")
+    said = placed.select("_row", "_path").join(own, "_row").select("_path", (-F.col("score")).alias("s"), "licence")
+    if not any_line:
+        first = F.filter(F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("line"), (F.size(words(x)) > 0).alias("worded"))), lambda x: x["worded"])
+        headed = (placed.join(header, "_row").withColumn("_first", F.try_element_at(first, F.lit(1))["line"]).where("line = _first")
+                  .select("_path", "b.s", "b.licence"))
+        said = headed.union(said.where(F.col("_path").rlike(LICENCE_FILE)))
+    carriers = said.select(F.regexp_replace("_path", "/?[^/]*$", "").alias("dir"), F.struct("s", F.col("_path").alias("p"), "licence").alias("c"))
     speaks = carriers.groupBy("dir").agg(F.min("c").alias("c")).select("dir", F.col("c.licence").alias("dir_licence"), (-F.col("c.s")).alias("dir_score"))
 
     # Each directory once, not each file, looks for its nearest ancestor that speaks.

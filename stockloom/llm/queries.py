@@ -103,10 +103,13 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_license_scan")
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Licence of every document; its path is source / language / hundred of ids / id."""
+    """Licence of every document; its path is source / language / hundred of ids / id.
+
+    The licence line of these texts stands last, so any line passes its licence on.
+    """
     docs = table(spark, folder, "documents")
     place = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 100), F.col("doc_id"))
-    return licenses.scan(docs.select("doc_id", place.alias("path"), "text"))
+    return licenses.scan(docs.select("doc_id", place.alias("path"), "text"), any_line=True)
 
 
 _CHAT_SQL = """WITH t AS (SELECT c.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations c),

@@ -172,6 +172,26 @@ def test_licences_are_brute_force(spark):
     assert licenses.scan(frame.where("false")).count() == 0
 
 
+def test_licences_pass_on_from_any_line(spark):
+    files = [("a/LICENSE.txt", "Project title\nCopyright the authors\nReleased under the MIT License"), ("a/x.py", "import os"),
+             ("b/1", "prose and more prose\nLicensed under CC BY 4.0"), ("b/2", "prose"), ("b/c/3", None),
+             ("d/4", "This work\nis licensed under a\nCreative Commons Attribution\n4.0 International License"), ("d/5", "")]
+    frame = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id long, path string, text string")
+    named = {r["doc_id"]: r for r in licenses.scan(frame).collect()}
+    assert (named[1]["status"], named[1]["licence"], named[1]["from_dir"]) == ("inherited", "MIT", "a")
+    assert {named[i]["status"] for i in (3, 4, 6)} == {"none"}
+    got = {r["doc_id"]: r for r in licenses.scan(frame, any_line=True).collect()}
+    assert [(got[i]["status"], got[i]["licence"], got[i]["from_dir"]) for i in (1, 3, 4, 6)] == [
+        ("inherited", "MIT", "a"), *[("inherited", "CC-BY-4.0", "b")] * 2, ("inherited", "CC-BY-4.0", "d")]
+    assert all(got[i][c] == named[i][c] for i in (0, 2, 5) for c in ("status", "licence", "score"))
+
+
+def test_op7_has_inherited_rows(spark):
+    rows = queries.license_scan(spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert sum(r["status"] == "inherited" for r in rows) > 0
+
+
 def test_chat_links_orders_and_checks(spark):
     calls = [(1, 4, "b", "a", "search", '{"limit": 3, "query":"x"}'), (1, 2, "a", None, "annotate", '{"text":"t","strict":true,"weight":1.5,"z":1}'),
              (1, 9, "a", None, "search", "{}"), (1, 5, "c", "d", "search", '{"query":1}'), (1, 6, "d", "c", "nosuch", "{}"),
