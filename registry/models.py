@@ -15,6 +15,7 @@ from stockloom.models import ensemble as E
 from stockloom.models import trees as T
 from stockloom.operators import features as X
 from stockloom.operators import insights as I
+from stockloom.operators.lookup import union_all
 from stockloom.plans import backtest as B
 from stockloom.plans import evaluate as EV
 from stockloom.session import cut
@@ -407,66 +408,74 @@ def scenario_promo(spark, d):
 # --------------------------------------------------------------------------- #
 # Fitted models (checked by rows and by tests, not by SQL)
 # --------------------------------------------------------------------------- #
-_SMALL = {"maxIter": 8, "maxDepth": 4}
+def _folds(R):
+    """Supervised rows, written once, and the origins of every backtest fold."""
+    return cut(X.supervised_frame(X.base_features(R.panel), R.weeks, H)), B.backtest_origins(R.week_list)
 
 
-def _fold(R):
-    """Training and test rows of the last backtest origin."""
-    base = X.base_features(R.panel)
-    sup = X.supervised_frame(base, R.weeks, H)
-    train, test = B.split_fold(sup, B.backtest_origins(R.week_list)[-1])
-    return cut(train), cut(test)
+class _Banded:
+    """Trees with an interval; the last twelve target weeks are kept from the fit for calibration."""
+
+    by = ["regime", "horizon"]
+
+    def __init__(self, train):
+        early, late = E.validation_split(train)
+        self.model = T.fit_trees(early, X.feature_spec())
+        self.quantiles = cut(T.residual_quantiles(cut(E.assign_regime(self.model.predict(late))), self.by))
+
+    def predict(self, rows):
+        return T.residual_interval(cut(E.assign_regime(self.model.predict(rows))), self.quantiles, self.by)
 
 
 @query("gbt_forecast")
 def gbt_forecast(spark, d):
-    train, test = _fold(style(spark, d))
-    # The last twelve target weeks of the training rows are kept from the fit for calibration.
-    last = F.date_sub(F.lit(train.agg(F.max("target_week").alias("w")).first()["w"]), 12 * 7)
-    model = T.fit_trees(train.filter(F.col("target_week") <= last), X.feature_spec(), _SMALL)
-    kept = E.assign_regime(model.predict(train.filter(F.col("target_week") > last)))
-    quantiles = T.residual_quantiles(kept, ["regime", "horizon"])
-    out = T.residual_interval(E.assign_regime(model.predict(test)), quantiles, ["regime", "horizon"])
-    return out.select("sku_id", "week_start", "target_week", "horizon", "y", "prediction", "prediction_lower", "prediction_upper")
+    """Forecast and interval at the origin of every fold."""
+    sup, origins = _folds(style(spark, d))
+    out = B.backtest(sup, {"gbt": _Banded}, origins)
+    return out.select("sku_id", "week_start", "target_week", "horizon", "y", F.col("gbt").alias("prediction"),
+                      F.col("gbt_lower").alias("prediction_lower"), F.col("gbt_upper").alias("prediction_upper"))
 
 
 @query("feature_importance")
 def feature_importance(spark, d):
-    train, _ = _fold(style(spark, d))
-    return T.feature_importance(T.fit_trees(train, X.feature_spec(), {"maxIter": 3, "maxDepth": 4}), spark)
+    """Importance per feature for the trees of every fold."""
+    sup, origins = _folds(style(spark, d))
+    parts = []
+    for fold, origin in enumerate(origins, start=1):
+        fitted = T.fit_trees(B.split_fold(sup, origin)[0], X.feature_spec())
+        parts.append(T.feature_importance(fitted, spark).select(F.lit(fold).alias("fold"), F.lit(origin).alias("origin_week"), "feature", "importance"))
+    return union_all(parts)
 
 
 @query("benchmark_models")
 def benchmark_models(spark, d):
-    train, test = _fold(style(spark, d))
+    R = style(spark, d)
+    sup, origins = _folds(R)
     spec = X.feature_spec()
-    out = test.select("sku_id", "horizon", "y", "week_start")
     fits = {
-        "linear_regression": T.fit_linear(train, spec),
-        "random_forest": T.fit_forest(train, spec, trees=10, depth=6),
-        "squared_trees": T.fit_trees(train, spec, {"maxIter": 4, "maxDepth": 4}, squared=True),
+        "linear_regression": lambda train: T.fit_linear(train, spec),
+        "random_forest": lambda train: T.fit_forest(train, spec),
+        "squared_trees": lambda train: T.fit_trees(train, spec, squared=True),
     }
-    for name, model in fits.items():
-        scored = model.predict(test).select("sku_id", "horizon", F.col("prediction").alias(name))
-        out = out.join(scored, ["sku_id", "horizon"])
-    R = style(spark, d)
-    smooth = BL.damped_smoothing(R.panel, B.backtest_origins(R.week_list)[-1], H).select(
-        "sku_id", "horizon", F.col("prediction").alias("damped_smoothing")
-    )
-    return B.model_table(out.join(smooth, ["sku_id", "horizon"]), [*fits, "damped_smoothing"])
+    out = B.backtest(sup, fits, origins)
+    panel = cut(R.panel)
+    smooth = union_all([
+        BL.damped_smoothing(panel, o, H).select("sku_id", "week_start", "horizon", F.col("prediction").alias("damped_smoothing"))
+        for o in origins
+    ])
+    return B.model_table(cut(out.join(smooth, ["sku_id", "week_start", "horizon"])), [*fits, "damped_smoothing"])
 
 
 @query("ensemble_backtest")
 def ensemble_backtest(spark, d):
-    """One fold of the ensemble; its point model here is the linear one, which fits fast."""
+    """Every fold of the ensemble, with the trees as its point model."""
     R = style(spark, d)
     panel = cut(R.panel)
-    sup = cut(X.supervised_frame(X.base_features(panel), R.weeks, H))
-    origin = B.backtest_origins(R.week_list)[-1]
+    sup, origins = _folds(R)
     fit = lambda train: E.fit_ensemble(
-        train, panel, lambda rows: T.fit_linear(rows, X.feature_spec())
+        train, panel, lambda rows: T.fit_trees(rows, X.feature_spec())
     )
-    rows = B.backtest(sup, {"ensemble": fit}, [origin])
-    return B.model_table(rows, ["baseline", "naive", "ensemble"])
+    rows = B.backtest(sup, {"ensemble": fit}, origins)
+    return B.model_table(cut(rows), ["baseline", "naive", "ensemble"])
 
 
