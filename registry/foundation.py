@@ -418,13 +418,28 @@ def combine_uploads(spark, d):
     with_sql("style", "panel", "SELECT year(week_start) AS year, count(*) AS rows, sum(units) AS units FROM panel WHERE week_start >= DATE '1998-01-01' GROUP BY 1"),
 )
 def write_and_read_tables(spark, d):
+    return _by_year(_panel_back(spark, d).filter(F.col("week_start") >= F.lit(dt.date(1998, 1, 1))))
+
+
+def _panel_back(spark, d):
     R = style(spark, d)
     folder = scratch_path(spark, "tables")
     store.write_outputs({"weekly_panel": R.panel, "calendar": R.calendar}, folder)
-    panel = store.read_artifacts(spark, folder, ("weekly_panel",), ("marketing_clean",))["weekly_panel"]
-    return panel.filter(F.col("week_start") >= F.lit(dt.date(1998, 1, 1))).groupBy(
-        F.year("week_start").alias("year")
-    ).agg(F.count(F.lit(1)).alias("rows"), F.sum("units").alias("units"))
+    return store.read_artifacts(spark, folder, ("weekly_panel",), ("marketing_clean",))["weekly_panel"]
+
+
+def _by_year(panel):
+    return panel.groupBy(F.year("week_start").alias("year")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("units").alias("units")
+    )
+
+
+@query(
+    "write_and_read_all_years",
+    with_sql("style", "panel", "SELECT year(week_start) AS year, count(*) AS rows, sum(units) AS units FROM panel GROUP BY 1"),
+)
+def write_and_read_all_years(spark, d):
+    return _by_year(_panel_back(spark, d))
 
 
 @query(

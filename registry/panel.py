@@ -199,10 +199,13 @@ def supervised_parts(spark, d):
   {q('least(greatest((coalesce(mk.media_spend, 0.0)+1e-6)/(media_spend_roll_13+1e-6), 0.0), 20.0)', 4)} AS target_media_ratio, coalesce(w.planned_discount, 0.0::DOUBLE) AS target_planned_discount
   FROM df d LEFT JOIN mk ON mk.sku_id = d.sku_id AND mk.week_start = d.week_start + 28 LEFT JOIN weeks w ON w.week_start = d.week_start + 28""", _DF_SQL))
 def target_week_drivers(spark, d):
-    R = style(spark, d)
+    return _target_drivers(style(spark, d), [4])
+
+
+def _target_drivers(R, horizons):
     panel, plan = with_drivers(R)
     f = X.add_driver_features(X.add_rolling(panel))
-    rows = X.expand_horizons(f, [4], labelled=False)
+    rows = X.expand_horizons(f, horizons, labelled=False)
     out = X.attach_target_drivers(rows, plan, R.weeks).select(
         "sku_id", "week_start", "horizon", "target_media_spend_log", "target_media_ratio",
         "target_planned_discount",
@@ -210,6 +213,13 @@ def target_week_drivers(spark, d):
     return rounded(out, target_media_spend_log=4, target_media_ratio=4)
 
 
+@query("target_week_drivers_all_horizons", with_sql("style", ("panel", "weeks"), f"""SELECT d.sku_id, d.week_start, h.horizon, {q('ln(1+coalesce(mk.media_spend, 0.0))', 4)} AS target_media_spend_log,
+  {q('least(greatest((coalesce(mk.media_spend, 0.0)+1e-6)/(media_spend_roll_13+1e-6), 0.0), 20.0)', 4)} AS target_media_ratio, coalesce(w.planned_discount, 0.0::DOUBLE) AS target_planned_discount
+  FROM df d CROSS JOIN (SELECT unnest(range(1, 9))::INT AS horizon) h LEFT JOIN mk ON mk.sku_id = d.sku_id AND mk.week_start = d.week_start + 7*h.horizon LEFT JOIN weeks w ON w.week_start = d.week_start + 7*h.horizon""", _DF_SQL))
+def target_week_drivers_all_horizons(spark, d):
+    return _target_drivers(style(spark, d), H)
+
+
 @query("inference_frame", with_sql("part", ("feat", "weeks"), f"""SELECT f.sku_id, f.week_start, h.horizon, f.week_start + 7*h.horizon AS target_week, {q('units_roll_mean_13', 4)} AS units_roll_mean_13, s.units AS units_seasonal_lag, w.holiday_days AS target_holiday_days
   FROM feat f CROSS JOIN (SELECT unnest(range(1, 9))::INT AS horizon) h LEFT JOIN panel s ON s.sku_id = f.sku_id AND s.week_start = f.week_start - 7*(52-h.horizon) LEFT JOIN weeks w ON w.week_start = f.week_start + 7*h.horizon
   WHERE f.week_start = (SELECT max(week_start) FROM panel)"""))
