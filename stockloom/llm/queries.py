@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, fingerprint, licenses, lines, mixing, neardup, quality, toxicity
+from . import ann, bpe, chat, fingerprint, licenses, lines, merkle, mixing, neardup, private, quality, toxicity, vectorcodes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,82 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", "turn", F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     rest = turns.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", "text")
     return chat.format_calls(rest, calls, results)
+
+
+_CRC_SQL = """list_reduce(list_prepend(4294967295, list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT)),
+   lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"""
+_FIELD_SQL = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}) || ':' || {0} END"
+_LEAF_SQL = "sha256(" + " || ".join(_FIELD_SQL.format(c) for c in ("(doc_id::VARCHAR)", "source", "lang", "(n_chars::VARCHAR)", "{text}")) + ")"
+_MERKLE_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, '') AS tree, {_LEAF_SQL.format(text="text")} AS leaf,
+   {_LEAF_SQL.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered,
+   xor({_CRC_SQL.format("(doc_id::VARCHAR)")}, 4294967295) % 5 = 0 AS tampered FROM documents),
+ l AS MATERIALIZED (SELECT doc_id, tree, leaf, CASE WHEN tampered THEN lowered ELSE leaf END AS shown,
+   row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM d),
+ t(lv, tree, p, n, h) AS (SELECT 0, tree, p, n, leaf FROM l UNION ALL
+   SELECT lv + 1, tree, p // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY p)) FROM t WHERE n > 1 GROUP BY lv, tree, p // 16, n),
+ g AS MATERIALIZED (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS p, count(*) OVER () AS n FROM t WHERE n = 1),
+ u(lv, p, n, h) AS (SELECT 0, p, n, h FROM g UNION ALL
+   SELECT lv + 1, p // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY p)) FROM u WHERE n > 1 GROUP BY lv, p // 16, n),
+ a AS MATERIALIZED (SELECT x.lv, x.tree, x.p, x.n, coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (WHERE y.p < x.p), '') AS lft,
+   coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (WHERE y.p > x.p), '') AS rgt
+   FROM t x JOIN t y ON x.lv = y.lv AND x.tree = y.tree AND x.p // 16 = y.p // 16 WHERE x.n > 1 GROUP BY x.lv, x.tree, x.p, x.n),
+ b AS MATERIALIZED (SELECT x.lv, x.p, x.n, coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (WHERE y.p < x.p), '') AS lft,
+   coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (WHERE y.p > x.p), '') AS rgt
+   FROM u x JOIN u y ON x.lv = y.lv AND x.p // 16 = y.p // 16 WHERE x.n > 1 GROUP BY x.lv, x.p, x.n),
+ f(leaf_no, tree, lv, p, shown, proof, nodes) AS (SELECT p, tree, 0, p, shown, '', n FROM l UNION ALL
+   SELECT f.leaf_no, f.tree, f.lv + 1, f.p // 16, sha256(lft || shown || rgt), proof || lft || rgt, (n + 15) // 16
+   FROM f JOIN a ON a.tree = f.tree AND a.lv = f.lv AND a.p = f.p),
+ k(leaf_no, tree, lv, p, shown, proof, nodes) AS (SELECT f.leaf_no, f.tree, 0, g.p, f.shown, f.proof, g.n FROM f JOIN g USING (tree) WHERE f.nodes = 1 UNION ALL
+   SELECT k.leaf_no, k.tree, k.lv + 1, k.p // 16, sha256(lft || shown || rgt), proof || lft || rgt, (n + 15) // 16
+   FROM k JOIN b ON b.lv = k.lv AND b.p = k.p)
+ SELECT l.doc_id, l.leaf, g.h AS subroot, r.h AS root, sha256(k.proof) AS proof_sha256, k.shown AS folded_root, k.shown = r.h AS verified
+ FROM l JOIN k ON k.leaf_no = l.p AND k.tree = l.tree AND k.nodes = 1 JOIN g ON g.tree = l.tree CROSS JOIN (SELECT h FROM u WHERE n = 1) r"""
+
+
+@query("op11_merkle_manifest", _MERKLE_SQL)
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a leaf of its source's tree; of one id in five by checksum, the text is shown with A-Z lowered."""
+    docs = table(spark, folder, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select("doc_id", "source", merkle.leaf_hash("doc_id", "source", "lang", "n_chars", "text").alias("leaf"),
+                         F.when(tampered, merkle.leaf_hash("doc_id", "source", "lang", "n_chars", lowered)).alias("shown"))
+    return merkle.manifest(leaves, "doc_id", "source", "leaf", "shown")
+
+
+def _codes_sql(parts: int = vectorcodes.PARTS, entries: int = vectorcodes.ENTRIES, rounds: int = vectorcodes.ROUNDS) -> str:
+    """Integer k-means of every part, its rounds written out one after the other."""
+    out = [f"""WITH f AS MATERIALIZED (SELECT vec_id, label, embedding AS e FROM embeddings
+   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+ r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, e) - 1 AS r, vec_id, label, list_transform(e, lambda x: floor({vectorcodes.SCALE} * x::DOUBLE)::BIGINT) AS v, len(e) // {parts} AS w FROM f),
+ q AS MATERIALIZED (SELECT r, p, v[p * w + 1 : (p + 1) * w] AS v FROM r, range({parts}) t(p)),
+ b0 AS MATERIALIZED (SELECT p, r AS c, v FROM q WHERE r < {entries})"""]
+    for i in range(rounds + 1):
+        out.append(f"""s{i} AS MATERIALIZED (SELECT r, p, min(d) AS d, arg_min(c, (d, c)) AS c FROM (SELECT q.r, q.p, b.c,
+   list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM q JOIN b{i} b USING (p)) GROUP BY r, p)""")
+        if i < rounds:
+            out.append(f"""m{i} AS MATERIALIZED (SELECT p, c, list((t - ((t % n) + n) % n) // n ORDER BY j) AS v FROM (SELECT p, c, j, sum(x)::BIGINT AS t, count(*) AS n
+   FROM (SELECT p, c, unnest(v) AS x, unnest(range(len(v))) AS j FROM q JOIN s{i} USING (r, p)) GROUP BY p, c, j) GROUP BY p, c),
+ b{i + 1} AS MATERIALIZED (SELECT p, c, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m USING (p, c))""")
+    out.append(f"""o AS MATERIALIZED (SELECT r, string_agg(printf('%02x', c), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM s{rounds} GROUP BY r)
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, c)) FROM b{rounds}) AS codebooks_sha256 FROM r JOIN o USING (r)""")
+    return ",\n ".join(out)
+
+
+@query("op12_vector_codes", _codes_sql())
+def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Product code of every vector, its squared error, and the error of its label."""
+    coded, _ = vectorcodes.compress(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op13_personal_data")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every whole text: counts and digest of the patterns' spans, and all spans with those the field adds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = private.find(docs, private.fit(docs), keep_text=False)
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in private.KINDS]
+    return found.select("doc_id", *count, F.sha2(private.joined(F.col("base")), 256).alias("base_sha256"),
+                        private.joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
