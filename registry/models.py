@@ -6,9 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from registry.core import part, q, query, rounded, style
+from registry.core import fx, part, q, query, rounded, style
 from registry.panel import H, test_rows
 from registry.sql import bias_sql, wape_sql, with_sql
+from stockloom.functions import metrics as M
+from stockloom.models import bands as BD
 from stockloom.models import baseline as BL
 from stockloom.models import conformal as CF
 from stockloom.models import ensemble as E
@@ -19,6 +21,7 @@ from stockloom.operators.lookup import union_all
 from stockloom.plans import backtest as B
 from stockloom.plans import evaluate as EV
 from stockloom.session import cut
+from stockloom.sources.shelf import Shelf, side_by_side
 
 _REGIME = "CASE WHEN weeks_since_launch < 26 THEN 'new' WHEN coalesce(zero_frac_26, 0) >= 0.35 THEN 'intermittent' WHEN coalesce(cv_13, 0) >= 0.8 THEN 'volatile' ELSE 'steady' END"
 
@@ -406,32 +409,56 @@ def scenario_promo(spark, d):
 
 
 # --------------------------------------------------------------------------- #
-# Fitted models (checked by rows and by tests, not by SQL)
+# Fitted models: what SQL can give of them stands in the SQL of their own queries and of fold_checks
 # --------------------------------------------------------------------------- #
-def _folds(R):
-    """Supervised rows, written once, and the origins of every backtest fold."""
-    return cut(X.supervised_frame(X.base_features(R.panel), R.weeks, H)), B.backtest_origins(R.week_list)
+#: The forest of the benchmark; the published one has 300 trees of depth 12 on all rows (see the README).
+FOREST = {"trees": 40, "depth": 7, "leaf": 5, "share": 0.3}
 
 
-class _Banded:
-    """Trees with an interval; the last twelve target weeks are kept from the fit for calibration."""
+class Backtest:
+    """Supervised rows written once, the origins of every fold, and the shelf that the queries share."""
+
+    def __init__(self, R):
+        self.panel = cut(R.panel)
+        self.rows, self.origins = cut(X.supervised_frame(X.base_features(self.panel), R.weeks, H)), B.backtest_origins(R.week_list)
+        self.shelf, self.spec = Shelf.of(self.rows), X.feature_spec()
+
+    def scores(self, candidates: dict):
+        return B.backtest(self.rows, candidates, self.origins, shelf=self.shelf, spec=self.spec)
+
+
+def _trees(fold, part="train", **named):
+    name = "_".join(["trees", *[f"{k}-{v}" for k, v in sorted(named.items())]])
+    return fold.model(name, lambda rows, prepared: T.fit_trees(rows, fold.spec, prepared=prepared, **named), part)
 
-    by = ["regime", "horizon"]
 
-    def __init__(self, train):
-        early, late = E.validation_split(train)
-        self.model = T.fit_trees(early, X.feature_spec())
-        self.quantiles = cut(T.residual_quantiles(cut(E.assign_regime(self.model.predict(late))), self.by))
+class _Banded:
+    """Trees fitted before the last twelve target weeks; these weeks give the interval."""
+
+    def __init__(self, fold):
+        self.model = _trees(fold, "early")
+        self.bands = BD.fit_bands(cut(self.model.predict(fold.rows("late"))), fold.prepared("early"))
 
     def predict(self, rows):
-        return T.residual_interval(cut(E.assign_regime(self.model.predict(rows))), self.quantiles, self.by)
+        return self.bands.interval(self.model.predict(rows))
+
+
+_BENCHMARKS = {
+    "linear_regression": lambda fold: fold.model("linear", lambda rows, prepared: T.fit_linear(rows, fold.spec, prepared)),
+    "random_forest": lambda fold: fold.model("forest_" + "_".join(map(str, FOREST.values())),
+                                             lambda rows, prepared: T.fit_forest(rows, fold.spec, prepared=prepared, **FOREST)),
+    "squared_trees": lambda fold: _trees(fold, squared=True),
+}
+
+
+def _ensemble(panel):
+    return lambda fold: E.fit_ensemble(fold.train, panel, None, point=_trees(fold), scoring=_trees(fold, "early"))
 
 
 @query("gbt_forecast")
 def gbt_forecast(spark, d):
     """Forecast and interval at the origin of every fold."""
-    sup, origins = _folds(style(spark, d))
-    out = B.backtest(sup, {"gbt": _Banded}, origins)
+    out = Backtest(style(spark, d)).scores({"gbt": _Banded})
     return out.select("sku_id", "week_start", "target_week", "horizon", "y", F.col("gbt").alias("prediction"),
                       F.col("gbt_lower").alias("prediction_lower"), F.col("gbt_upper").alias("prediction_upper"))
 
@@ -439,43 +466,77 @@ def gbt_forecast(spark, d):
 @query("feature_importance")
 def feature_importance(spark, d):
     """Importance per feature for the trees of every fold."""
-    sup, origins = _folds(style(spark, d))
-    parts = []
-    for fold, origin in enumerate(origins, start=1):
-        fitted = T.fit_trees(B.split_fold(sup, origin)[0], X.feature_spec())
-        parts.append(T.feature_importance(fitted, spark).select(F.lit(fold).alias("fold"), F.lit(origin).alias("origin_week"), "feature", "importance"))
-    return union_all(parts)
+    bt = Backtest(style(spark, d))
+
+    def weigh(numbered):
+        fold = B.Fold(*numbered, bt.rows, bt.shelf, bt.spec)
+        return T.feature_importance(_trees(fold), spark).select(
+            F.lit(fold.number).alias("fold"), F.lit(fold.origin).alias("origin_week"), "feature", "importance")
+
+    return union_all(side_by_side(weigh, list(enumerate(bt.origins, start=1)), spark))
+
+
+def _smoothed(bt):
+    return union_all([
+        BL.damped_smoothing(bt.panel, o, H).select("sku_id", "week_start", "horizon", F.col("prediction").alias("damped_smoothing"))
+        for o in bt.origins
+    ])
 
 
 @query("benchmark_models")
 def benchmark_models(spark, d):
-    R = style(spark, d)
-    sup, origins = _folds(R)
-    spec = X.feature_spec()
-    fits = {
-        "linear_regression": lambda train: T.fit_linear(train, spec),
-        "random_forest": lambda train: T.fit_forest(train, spec),
-        "squared_trees": lambda train: T.fit_trees(train, spec, squared=True),
-    }
-    out = B.backtest(sup, fits, origins)
-    panel = cut(R.panel)
-    smooth = union_all([
-        BL.damped_smoothing(panel, o, H).select("sku_id", "week_start", "horizon", F.col("prediction").alias("damped_smoothing"))
-        for o in origins
-    ])
-    return B.model_table(cut(out.join(smooth, ["sku_id", "week_start", "horizon"])), [*fits, "damped_smoothing"])
+    bt = Backtest(style(spark, d))
+    out = bt.scores(_BENCHMARKS).join(_smoothed(bt), B.KEY)
+    return B.model_table(cut(out), [*_BENCHMARKS, "damped_smoothing"])
 
 
 @query("ensemble_backtest")
 def ensemble_backtest(spark, d):
-    """Every fold of the ensemble, with the trees as its point model."""
-    R = style(spark, d)
-    panel = cut(R.panel)
-    sup, origins = _folds(R)
-    fit = lambda train: E.fit_ensemble(
-        train, panel, lambda rows: T.fit_trees(rows, X.feature_spec())
-    )
-    rows = B.backtest(sup, {"ensemble": fit}, origins)
-    return B.model_table(cut(rows), ["baseline", "naive", "ensemble"])
-
-
+    """Every fold of the ensemble and of its point model, the trees."""
+    bt = Backtest(style(spark, d))
+    rows = bt.scores({"trees": _trees, "ensemble": _ensemble(bt.panel)})
+    return B.model_table(rows, ["baseline", "naive", "trees", "ensemble"])
+
+
+_SMOOTH = """gd AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b, d::DOUBLE AS d FROM (SELECT unnest([0.1, 0.3, 0.5, 0.8]) AS a), (SELECT unnest([0.05, 0.2]) AS b), (SELECT unnest([0.85, 0.98]) AS d)),
+ sv AS MATERIALIZED (SELECT p.sku_id, o.week_start, list(p.units::DOUBLE ORDER BY p.week_start) AS v FROM panel p JOIN origins o ON p.week_start <= o.week_start GROUP BY 1, 2),
+ sr AS (SELECT sku_id, week_start, v, d, list_reduce(list_prepend([v[1], 0.0::DOUBLE, 0.0::DOUBLE], list_transform(v[2:], lambda x: [x, 0.0::DOUBLE, 0.0::DOUBLE])),
+   lambda s, x: [s[1] + d*s[2] + a*(x[1] - (s[1] + d*s[2])), d*s[2] + (a*b)*(x[1] - (s[1] + d*s[2])), s[3] + (x[1] - (s[1] + d*s[2]))*(x[1] - (s[1] + d*s[2]))]) AS s FROM sv CROSS JOIN gd),
+ sb AS MATERIALIZED (SELECT sku_id, week_start, any_value(v) AS v, min({'e': s[3], 'd': d, 'l': s[1], 't': s[2]}) AS m FROM sr GROUP BY 1, 2),
+ al AS (SELECT t.fold, t.y, t.baseline, t.naive, greatest(CASE WHEN len(v) < 10 THEN v[-1] ELSE m.l + m.t*(m.d*(1.0::DOUBLE - pow(m.d, t.horizon))/(1.0::DOUBLE - m.d)) END, 0) AS damped_smoothing
+   FROM test t JOIN sb USING (sku_id, week_start)),
+ lg AS (SELECT fold, y, unnest(['baseline', 'naive', 'damped_smoothing']) AS model, unnest([baseline, naive, damped_smoothing]) AS p FROM al),
+ fw AS (SELECT fold, model, count(*) AS test_rows, sum(y) AS demand, sum(abs(y - p))/sum(abs(y)) AS wape FROM lg GROUP BY 1, 2),
+ nv AS (SELECT fold, wape AS naive_wape, test_rows, demand FROM fw WHERE model = 'naive')"""
+
+
+@query("backtest_checks", with_sql("style", ("panel", "sup", "origins", "test"), f"""SELECT fw.fold, model, fw.test_rows, fw.demand, {q('wape', 5)} AS wape, wape <= naive_wape AS no_worse_than_naive, NULL::BOOLEAN AS ordered, NULL::BOOLEAN AS covers FROM fw JOIN nv USING (fold)
+ UNION ALL SELECT fold, 'linear_regression', test_rows, demand, NULL, true, NULL, NULL FROM nv
+ UNION ALL SELECT fold, 'gbt', test_rows, demand, NULL, true, true, NULL FROM nv
+ UNION ALL SELECT 0, 'gbt', sum(test_rows)::BIGINT, sum(demand), NULL, true, true, true FROM nv""", _SMOOTH))
+def backtest_checks(spark, d):
+    """Every fold: what closed forms give exactly, and what must hold of fitted models.
+
+    All models score identical rows; the fitted ones are no worse than the last value, their bounds
+    are ordered and, over all folds (fold 0), hold 80 % of outcomes to within three points.
+    """
+    bt = Backtest(style(spark, d))
+    fitted = {"linear_regression": _BENCHMARKS["linear_regression"], "gbt": _Banded}
+    rows = cut(bt.scores(fitted).join(_smoothed(bt), B.KEY))
+    exact = ["baseline", "naive", "damped_smoothing"]
+    ordered = (F.col("gbt_lower") >= 0) & (F.col("gbt_lower") <= F.col("gbt")) & (F.col("gbt") <= F.col("gbt_upper"))
+    inside = F.avg(F.col("y").between(F.col("gbt_lower"), F.col("gbt_upper")).cast("double"))
+    wape = {m: M.wape("y", m) for m in [*exact, *fitted]}
+
+    def table(by, names, covers):
+        facts = by.agg(F.count(F.lit(1)).alias("test_rows"), F.sum("y").alias("demand"), F.every(ordered).alias("_ordered"),
+                       (F.abs(inside - 0.8) <= 0.03).alias("_covers"), *[w.alias(f"_{m}") for m, w in wape.items()])
+        entries = [F.struct(
+            F.lit(m).alias("model"), (fx(f"_{m}", 5) if m in exact else F.lit(None).cast("double")).alias("wape"),
+            (F.col(f"_{m}") <= F.col("_naive")).alias("no_worse_than_naive"),
+            (F.col("_ordered") if m == "gbt" else F.lit(None).cast("boolean")).alias("ordered"),
+            (F.col("_covers") if m == "gbt" and covers else F.lit(None).cast("boolean")).alias("covers")) for m in names]
+        return facts.select("fold", "test_rows", "demand", F.inline(F.array(*entries)))
+
+    pooled = rows.withColumn("fold", F.lit(0))
+    return table(rows.groupBy("fold"), [*exact, *fitted], False).unionByName(table(pooled.groupBy("fold"), ["gbt"], True))

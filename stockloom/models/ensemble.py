@@ -329,29 +329,45 @@ class Ensemble:
         )
 
 
-def fit_ensemble(train: DataFrame, panel: DataFrame, fit_point,
-                 settings: Settings = DEFAULTS) -> Ensemble:
-    """ENS-8: fit everything on a training window."""
+def fit_ensemble(train: DataFrame, panel: DataFrame, fit_point, settings: Settings = DEFAULTS,
+                 point=None, scoring=None) -> Ensemble:
+    """ENS-8: fit everything on a training window.
+
+    ``point`` is a point model already fitted on all of ``train`` and ``scoring`` one fitted on
+    its part before the validation weeks; a backtest that has them hands them over, so the
+    ensemble is judged on exactly the models that its own row reports.  Without a validation
+    window, or with nothing before it, the point model alone is served at its own width.
+    """
     from stockloom.models.trees import residual_quantiles
 
     fit_rows, held = validation_split(train)
-    last = train.agg(F.max("target_week").alias("m")).first()["m"]
-    known = panel.filter(F.col("week_start") <= F.lit(last))
-    levels = cut(tsb_levels(known))
-    profile = tuple(t.persist() for t in fit_seasonal_profile(fit_rows))
-    scoring = fit_point(fit_rows)
+    bare = fit_rows.isEmpty() or held.isEmpty()
+    if bare:
+        fit_rows = held = train
+    last = train.agg(F.max("week_start").alias("m")).first()["m"]
+    levels = cut(tsb_levels(panel.filter(F.col("week_start") <= F.lit(last))))
+    # At most 53 weeks for each category: written, so nothing stays in memory after the fit.
+    profile = tuple(cut(t) for t in fit_seasonal_profile(fit_rows))
+    point = point or fit_point(train)
+    scoring = point if bare else scoring or fit_point(fit_rows)
     seen = cut(assign_regime(scoring.predict(held)))
-    quantiles = residual_quantiles(seen, ["regime", "horizon"], settings.interval_coverage)
-    draft = Ensemble(scoring, profile, levels, None, 1.0, quantiles.persist())
-    parts = draft.components(held, seen).persist()
-    weights = fit_blend(parts, by="regime", barred=BARRED).persist()
-    mixed = blend(parts, weights)
-    gaps = mixed.withColumns(
+    quantiles = cut(residual_quantiles(seen, ["regime", "horizon"], settings.interval_coverage))
+    if bare:
+        return Ensemble(point, profile, levels, _no_weights(train.sparkSession), 1.0, quantiles)
+    draft = Ensemble(scoring, profile, levels, None, 1.0, quantiles)
+    parts = cut(draft.components(held, seen))
+    weights = cut(fit_blend(parts, by="regime", barred=BARRED))
+    gaps = blend(parts, weights).withColumns(
         {
             "low_gap": F.greatest(F.col("gbm") - F.col("prediction_lower"), F.lit(0.0)),
             "high_gap": F.greatest(F.col("prediction_upper") - F.col("gbm"), F.lit(0.0)),
         }
     )
     scale = interval_scale(gaps, settings.interval_coverage).first()["interval_scale"]
-    parts.unpersist()
-    return Ensemble(fit_point(train), profile, levels, weights, scale, draft.quantiles)
+    return Ensemble(point, profile, levels, weights, scale, quantiles)
+
+
+def _no_weights(spark) -> DataFrame:
+    """No group has weights of its own, so :func:`blend` gives every row the default."""
+    columns = ", ".join(f"{c} double" for c in (*COMPONENTS, "wape"))
+    return spark.createDataFrame([], f"group string, rows long, {columns}")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
@@ -12,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.contracts import DEFAULTS, Settings
-from stockloom.functions import metrics as M
 from stockloom.operators.features import FeatureSpec
 from stockloom.operators.lookup import POOLED
 from stockloom.operators.ranking import exact_percentile
@@ -31,42 +29,61 @@ def _inputs(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     )
 
 
-def _stages(spec: FeatureSpec, one_hot: bool) -> list:
-    numeric = list(spec.numeric)
-    filled = [f"{c}_filled" for c in numeric]
-    index = [f"{c}_index" for c in spec.categorical]
-    stages = [
-        Imputer(strategy="median", inputCols=numeric, outputCols=filled),
-        StringIndexer(inputCols=list(spec.categorical), outputCols=index, handleInvalid="keep"),
-    ]
-    labels = index
-    if one_hot:
-        labels = [f"{c}_hot" for c in spec.categorical]
-        stages.append(OneHotEncoder(inputCols=index, outputCols=labels))
-    flags = [] if one_hot else [f"{c}_missing" for c in numeric]
-    stages.append(
-        VectorAssembler(inputCols=[*filled, *flags, *labels], outputCol="features",
-                        handleInvalid="keep")
-    )
-    return stages
+class Prepared:
+    """The preprocessing of one training window, fitted once and shared by every model on it.
+
+    Medians fill gaps, categories become numbers.  Trees see the filled numbers, a flag for each
+    number that had gaps in training, and the category numbers; linear models see the filled
+    numbers and one-hot categories.
+    """
+
+    def __init__(self, train: DataFrame, spec: FeatureSpec):
+        counts = train.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in spec.numeric]).first().asDict()
+        # A column without any value has no median; one without gaps needs no flag.
+        self.spec = FeatureSpec(tuple(c for c in spec.numeric if counts[c]), spec.categorical)
+        gaps = [c for c in self.spec.numeric if counts[c] < counts["_rows"]]
+        numeric, labels = list(self.spec.numeric), list(self.spec.categorical)
+        filled, index, hot = ([f"{c}_{k}" for c in names] for names, k in ((numeric, "filled"), (labels, "index"), (labels, "hot")))
+        self.stages = list(
+            Pipeline(stages=[
+                Imputer(strategy="median", inputCols=numeric, outputCols=filled),
+                StringIndexer(inputCols=labels, outputCols=index, handleInvalid="keep"),
+            ]).fit(_inputs(train, self.spec)).stages
+        )
+        self.for_trees = [VectorAssembler(inputCols=[*filled, *[f"{c}_missing" for c in gaps], *index], outputCol="features", handleInvalid="keep")]
+        one_hot = OneHotEncoder(inputCols=index, outputCols=hot)
+        self.for_lines = [self._encoder(one_hot, train), VectorAssembler(inputCols=[*filled, *hot], outputCol="features", handleInvalid="keep")]
+
+    def _encoder(self, one_hot: OneHotEncoder, train: DataFrame):
+        # The encoder only reads how many categories the indexer knows, which its output states.
+        return one_hot.fit(self.stages[1].transform(train.limit(1)))
 
+    def steps(self, one_hot: bool) -> list:
+        return [*self.stages, *(self.for_lines if one_hot else self.for_trees)]
 
-def _present(train: DataFrame, spec: FeatureSpec) -> FeatureSpec:
-    """Numeric features with at least one value: an all-null column has no median."""
-    counts = train.agg(*[F.count(c).alias(c) for c in spec.numeric]).first().asDict()
-    return FeatureSpec(tuple(c for c in spec.numeric if counts[c]), spec.categorical)
+    def vectors(self, df: DataFrame, one_hot: bool = False) -> DataFrame:
+        """``y`` and ``features`` of every row."""
+        return PipelineModel(self.steps(one_hot)).transform(_inputs(df, self.spec)).select("y", "features")
 
 
 class Fitted:
     """A fitted pipeline with the feature contract it was trained on."""
 
-    def __init__(self, model: PipelineModel, spec: FeatureSpec):
-        self.model, self.spec = model, spec
+    def __init__(self, model: PipelineModel, spec: FeatureSpec, trained_to=None):
+        self.model, self.spec, self.trained_to = model, spec, trained_to
+
+    def problems(self, df: DataFrame) -> list[str]:
+        """What keeps this model from scoring ``df``: missing features and features of another kind."""
+        kinds = dict(df.dtypes)
+        missing = [c for c in self.spec.columns if c not in kinds]
+        text = [c for c in self.spec.numeric if kinds.get(c) in ("string", "date", "timestamp", "binary")]
+        return ([f"missing feature column(s): {', '.join(missing)}"] if missing else []) + (
+            [f"feature column(s) that are not numbers: {', '.join(text)}"] if text else [])
 
     def predict(self, df: DataFrame) -> DataFrame:
-        missing = [c for c in self.spec.columns if c not in df.columns]
-        if missing:
-            raise ValueError("missing feature column(s): " + ", ".join(missing))
+        problems = self.problems(df)
+        if problems:
+            raise ValueError("; ".join(problems))
         scored = self.model.transform(_inputs(df, self.spec).withColumnRenamed("y", "_y"))
         # MLlib's own columns go; the input's columns come back as they were.
         out = scored.withColumnRenamed("_y", "y")
@@ -74,50 +91,56 @@ class Fitted:
         return out.select(*keep, F.greatest("prediction", F.lit(0.0)).alias("prediction"))
 
     def save(self, path: str) -> None:
+        """The model, then its contract beside it."""
         self.model.write().overwrite().save(f"{path}/model")
-        text = json.dumps({"numeric": self.spec.numeric, "categorical": self.spec.categorical})
-        SparkSession.active().createDataFrame([(text,)], "value string").write.mode(
-            "overwrite"
-        ).text(f"{path}/contract")
+        rows = [(i, c, kind) for kind, names in (("numeric", self.spec.numeric), ("categorical", self.spec.categorical)) for i, c in enumerate(names)]
+        contract = SparkSession.active().createDataFrame(rows, "place int, feature string, kind string")
+        contract.withColumn("trained_to", F.lit(self.trained_to).cast("date")).coalesce(1).write.mode("overwrite").parquet(f"{path}/contract")
 
     @classmethod
     def load(cls, spark, path: str) -> "Fitted":
-        """GATE-5: serve with the contract the model carries."""
-        stored = json.loads(spark.read.text(f"{path}/contract").first()["value"])
-        spec = FeatureSpec(tuple(stored["numeric"]), tuple(stored["categorical"]))
-        return cls(PipelineModel.load(f"{path}/model"), spec)
-
-
-def _fit(train: DataFrame, spec: FeatureSpec, estimator, one_hot: bool = False) -> Fitted:
-    spec = _present(train, spec)
-    stages = [*_stages(spec, one_hot), estimator]
-    return Fitted(Pipeline(stages=stages).fit(_inputs(train, spec)), spec)
-
-
-def fit_trees(train: DataFrame, spec: FeatureSpec, params: dict | None = None,
-              squared: bool = False, settings: Settings = DEFAULTS) -> Fitted:
+        """GATE-5: serve with the contract the model carries, never with one from configuration."""
+        rows = spark.read.parquet(f"{path}/contract").orderBy("place").collect()  # one row a feature
+        names = {k: tuple(r["feature"] for r in rows if r["kind"] == k) for k in ("numeric", "categorical")}
+        spec = FeatureSpec(names["numeric"], names["categorical"])
+        return cls(PipelineModel.load(f"{path}/model"), spec, rows[0]["trained_to"] if rows else None)
+
+
+def _fit(train: DataFrame, spec: FeatureSpec, estimator, one_hot: bool = False, prepared: Prepared | None = None) -> Fitted:
+    prepared = prepared or Prepared(train, spec)
+    rows = prepared.vectors(train, one_hot).persist()
+    try:
+        model = estimator.fit(rows)
+    finally:
+        rows.unpersist()
+    last = train.agg(F.max("target_week").alias("w")).first()["w"] if "target_week" in train.columns else None
+    return Fitted(PipelineModel([*prepared.steps(one_hot), model]), prepared.spec, last)
+
+
+def fit_trees(train: DataFrame, spec: FeatureSpec, params: dict | None = None, squared: bool = False,
+              settings: Settings = DEFAULTS, prepared: Prepared | None = None) -> Fitted:
     """FC-3 (absolute error) and FC-8 (squared error)."""
     chosen = {**TREE_DEFAULTS, **(params or {})}
     trees = GBTRegressor(
         featuresCol="features", labelCol="y", lossType="squared" if squared else "absolute",
-        seed=settings.random_seed, maxBins=64, **chosen,
+        seed=settings.random_seed, maxBins=32, **chosen,
     )
-    return _fit(train, spec, trees)
+    return _fit(train, spec, trees, prepared=prepared)
 
 
-def fit_linear(train: DataFrame, spec: FeatureSpec) -> Fitted:
+def fit_linear(train: DataFrame, spec: FeatureSpec, prepared: Prepared | None = None) -> Fitted:
     """FC-6."""
-    return _fit(train, spec, LinearRegression(labelCol="y", regParam=1e-6), one_hot=True)
+    return _fit(train, spec, LinearRegression(labelCol="y", regParam=1e-6), one_hot=True, prepared=prepared)
 
 
-def fit_forest(train: DataFrame, spec: FeatureSpec, trees: int = 300, depth: int = 12,
-               leaf: int = 5, settings: Settings = DEFAULTS) -> Fitted:
-    """FC-7."""
+def fit_forest(train: DataFrame, spec: FeatureSpec, trees: int = 300, depth: int = 12, leaf: int = 5,
+               share: float = 1.0, settings: Settings = DEFAULTS, prepared: Prepared | None = None) -> Fitted:
+    """FC-7; ``share`` of the rows is drawn for each tree."""
     forest = RandomForestRegressor(
-        labelCol="y", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, maxBins=64,
-        seed=settings.random_seed,
+        labelCol="y", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, maxBins=32,
+        subsamplingRate=share, maxMemoryInMB=512, seed=settings.random_seed,
     )
-    return _fit(train, spec, forest)
+    return _fit(train, spec, forest, prepared=prepared)
 
 
 def feature_importance(fitted: Fitted, spark) -> DataFrame:
@@ -169,27 +192,3 @@ def residual_interval(df: DataFrame, quantiles: DataFrame, groups: Sequence[str]
     return out.withColumns(
         {"prediction_lower": F.least(low, p, high), "prediction_upper": F.greatest(low, p, high)}
     ).drop("cell", "_l", "_h", "_pl", "_ph")
-
-
-def tune(supervised: DataFrame, spec: FeatureSpec, grid: Sequence[dict], origins: Sequence,
-         fit: Callable = fit_trees) -> DataFrame:
-    """FC-10: every candidate on the rolling folds, best WAPE first.
-
-    Folds are split by target week, never at random.
-    """
-    from stockloom.plans.backtest import split_fold
-
-    rows = []
-    for params in grid:
-        parts = None
-        for origin in origins:
-            train, test = split_fold(supervised, origin)
-            scored = fit(train, spec, params).predict(test).select("y", "prediction")
-            parts = scored if parts is None else parts.unionByName(scored)
-        _, relative = M.bias("y", "prediction")
-        got = parts.agg(M.wape("y", "prediction").alias("w"), relative.alias("b")).first()
-        rows.append((json.dumps(params, sort_keys=True), got["w"], got["b"]))
-    out = supervised.sparkSession.createDataFrame(
-        rows, "params string, wape double, bias_relative double"
-    )
-    return out.orderBy("wape")

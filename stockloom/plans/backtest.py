@@ -5,14 +5,18 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.contracts import DEFAULTS, InsufficientHistoryError, Settings
 from stockloom.functions import metrics as M
 from stockloom.models.baseline import seasonal_naive, with_baselines
+from stockloom.models.ensemble import validation_split
+from stockloom.models.trees import Fitted, Prepared
 from stockloom.operators import features as X
 from stockloom.operators.lookup import union_all
+from stockloom.session import cut
+from stockloom.sources.shelf import Shelf, side_by_side
 
 STALE_WEEKS = 13
 ROWS = ["sku_id", "week_start", "target_week", "horizon", "category", "subcategory"]
@@ -79,32 +83,104 @@ def model_free_frame(panel: DataFrame, week_dim: DataFrame, origins: Sequence,
     return with_baselines(rows).withColumns({"fold": fold, "origin_week": F.col("week_start")})
 
 
-def backtest(supervised: DataFrame, candidates: dict[str, Callable], origins: Sequence,
-             keep: Sequence[str] = ()) -> DataFrame:
+KEY = ["sku_id", "week_start", "horizon"]
+
+
+class Fold:
+    """One origin of a backtest: its rows, one preprocessing, and a shelf for what is fitted on it."""
+
+    def __init__(self, number: int, origin, supervised: DataFrame, shelf: Shelf, spec: X.FeatureSpec):
+        self.number, self.origin, self.shelf, self.spec = number, origin, shelf, spec
+        self.train, self.test = split_fold(supervised, origin)
+        self._prepared: dict[str, Prepared] = {}
+
+    def rows(self, part: str = "train") -> DataFrame:
+        """The training rows, or (``early``) those before the validation weeks, or (``late``) these weeks."""
+        return self.train if part == "train" else validation_split(self.train)[part == "late"]
+
+    def prepared(self, part: str = "train") -> Prepared:
+        """The preprocessing of ``rows(part)``, fitted when it is first asked for."""
+        if part not in self._prepared:
+            self._prepared[part] = Prepared(self.rows(part), self.spec)
+        return self._prepared[part]
+
+    def model(self, name: str, fit: Callable, part: str = "train") -> Fitted:
+        """``fit(rows, prepared)`` on one part of the fold, or the same model from the shelf."""
+        return self.shelf.model(f"models/{name}/{part}/fold={self.number}", lambda: fit(self.rows(part), self.prepared(part)), Fitted.load)
+
+
+def backtest(supervised: DataFrame, candidates: dict[str, Callable], origins: Sequence, keep: Sequence[str] = (),
+             shelf: Shelf | None = None, spec: X.FeatureSpec | None = None, at_once: int = 3) -> DataFrame:
     """BT-1: out-of-sample predictions of every candidate on identical rows.
 
-    A candidate is ``fit(train) -> object with predict(rows)``.  The fold loop has
-    one step per origin; each fold's rows are written as they are produced by the
-    caller's sink or cached by it, nothing is collected.
+    A candidate is ``fit(fold) -> object with predict(rows)``.  Folds run ``at_once`` side by side;
+    the candidates of a fold share its preprocessing.  The scores of a (candidate, fold) are written
+    to the shelf as soon as they are there, so a run that broke off, or one with one more candidate,
+    fits only what is missing.  A candidate that does not score every test row is an error.
     """
-    parts = []
-    for i, origin in enumerate(sorted(origins), start=1):
-        train, test = split_fold(supervised, origin)
-        out = with_baselines(test).withColumns(
-            {"fold": F.lit(i), "origin_week": F.lit(origin)}
-        )
+    spark = supervised.sparkSession
+    shelf, spec = shelf or Shelf.of(supervised), spec or X.feature_spec()
+
+    def score(numbered: tuple[int, object]) -> None:
+        fold = Fold(*numbered, supervised, shelf, spec)
         for name, fit in candidates.items():
-            held = [c for c in out.columns]
-            scored = fit(train).predict(out)
-            extra = {"prediction": name, "prediction_lower": f"{name}_lower",
-                     "prediction_upper": f"{name}_upper"}
-            picks = [F.col(a).alias(b) for a, b in extra.items() if a in scored.columns]
-            if "regime" in scored.columns and "regime" not in held:
-                picks.append(F.col("regime"))
-            out = scored.select(*held, *picks)
-        names = [c for c in out.columns if c not in supervised.columns]
-        parts.append(out.select(*ROWS, "y", "weeks_since_launch", *keep, *names))
-    return union_all(parts)
+            def scored(name: str = name, fit: Callable = fit) -> DataFrame:
+                out = fit(fold).predict(fold.test)
+                own = {"prediction": name, "prediction_lower": f"{name}_lower", "prediction_upper": f"{name}_upper"}
+                picks = [F.col(a).alias(b) for a, b in own.items() if a in out.columns]
+                picks += [F.col("regime").alias(f"{name}_regime")] if "regime" in out.columns else []
+                return out.select(*KEY, *picks)
+
+            shelf.table(f"scores/{name}/fold={fold.number}", scored)
+
+    numbered = list(enumerate(sorted(origins), start=1))
+    side_by_side(score, numbered, spark, at_once)
+    parts = []
+    for number, origin in numbered:
+        rows = with_baselines(split_fold(supervised, origin)[1])
+        extra = [c for c in keep if c not in (*ROWS, "y", "weeks_since_launch")]
+        parts.append(rows.select(*ROWS, "y", "weeks_since_launch", *extra, "baseline", "naive", F.lit(number).alias("fold"), F.lit(origin).alias("origin_week")))
+    out = union_all(parts)
+    for name in candidates:
+        scores = union_all([spark.read.parquet(shelf.path(f"scores/{name}/fold={n}")) for n, _ in numbered])
+        out = out.join(scores, KEY, "left")
+    out = cut(out)
+    gaps = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in candidates]).first().asDict()
+    if any(gaps.values()):
+        raise ValueError("test rows without a score: " + ", ".join(f"{c} {n}" for c, n in gaps.items() if n))
+    regimes = [f"{c}_regime" for c in candidates if f"{c}_regime" in out.columns]
+    return out.withColumn("regime", F.coalesce(*regimes)).drop(*regimes) if regimes else out
+
+
+# --------------------------------------------------------------------------- #
+# FC-10
+# --------------------------------------------------------------------------- #
+def tune(supervised: DataFrame, candidates: dict[str, Callable], origins: Sequence, shelf: Shelf | None = None,
+         at_once: int = 3) -> DataFrame:
+    """FC-10: every candidate on the same rolling folds, best first.
+
+    Folds are split by target week, never at random.  Beside the pooled WAPE, each candidate is
+    compared with the winner fold by fold: the mean difference of their fold WAPEs and its
+    standard error say whether the difference is more than the folds' own noise.
+    """
+    return rank_candidates(backtest(supervised, candidates, origins, shelf=shelf, at_once=at_once), list(candidates))
+
+
+def rank_candidates(predictions: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(place, candidate, wape, bias_relative, folds, gap, gap_se, within_one_se) of scored folds."""
+    _, relative = M.bias("y", "prediction")
+    long = unpivot_models(predictions, names, ["fold"]).withColumnRenamed("model", "candidate")
+    pooled = long.groupBy("candidate").agg(M.wape("y", "prediction").alias("wape"), relative.alias("bias_relative"))
+    by_fold = long.groupBy("candidate", "fold").agg(M.wape("y", "prediction").alias("fold_wape"))
+    best = pooled.agg(F.min_by("candidate", F.struct("wape", "candidate")).alias("best"))  # one row
+    lead = by_fold.join(F.broadcast(best), F.col("candidate") == F.col("best")).select("fold", F.col("fold_wape").alias("best_wape"))
+    paired = by_fold.join(lead, "fold").groupBy("candidate").agg(
+        F.count(F.lit(1)).alias("folds"), F.avg(F.col("fold_wape") - F.col("best_wape")).alias("gap"),
+        (F.stddev_samp(F.col("fold_wape") - F.col("best_wape")) / F.sqrt(F.count(F.lit(1)))).alias("gap_se"),
+    )
+    place = F.row_number().over(Window.orderBy("wape", "candidate"))  # one row for each candidate of a grid
+    return pooled.join(paired, "candidate").select(
+        place.alias("place"), "candidate", "wape", "bias_relative", "folds", "gap", "gap_se", (F.col("gap") <= F.coalesce("gap_se", F.lit(0.0))).alias("within_one_se"))
 
 
 def unpivot_models(predictions: DataFrame, models: Sequence[str], keep: Sequence[str]) -> DataFrame:
