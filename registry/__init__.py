@@ -4,5 +4,5 @@ from importlib import import_module
 
 
 def load() -> None:
-    for name in ("foundation", "cleaning", "panel", "demand", "models", "hierarchy", "decisions"):
+    for name in ("foundation", "cleaning", "panel", "demand", "models", "hierarchy", "decisions", "runs"):
         import_module(f"registry.{name}")

@@ -195,3 +195,31 @@ def coherence_error(spark, d):
     leaves = tree.select(F.col("sku_id").alias("node"), "week_start", "horizon", F.col("reconciled").alias("value"))
     nodes = G.bottom_up(tree, R.master, "reconciled").select("node", "week_start", "horizon", F.col("bottom_up").alias("value"))
     return rounded(G.coherence_error(leaves.unionByName(nodes), edges), coherence_error=6)
+
+
+_CHOICE = _TREE + _BU[len(_RES):] + f""",
+ sc AS (SELECT lam, sum(abs(greatest((1-lam)*y+lam*f, 0)-actual))/sum(abs(actual)) AS wape, stddev_samp(abs(greatest((1-lam)*y+lam*f, 0)-actual)-abs(greatest(y, 0)-actual))/sqrt(count(*))*count(*)/sum(abs(actual)) AS se FROM l2 CROSS JOIN (SELECT unnest([{_LAM}]) AS lam) GROUP BY 1),
+ av AS (SELECT (sum(abs(actual-bottom_up))-sum(abs(actual-prediction)))/sum(abs(actual-bottom_up)) AS advantage FROM rs JOIN bu USING (node, week_start, horizon)),
+ be AS (SELECT *, CASE WHEN lam = 0 THEN wape ELSE wape + se END AS tolerance FROM sc ORDER BY wape, lam LIMIT 1),
+ ch AS (SELECT CASE WHEN advantage <= 0 OR (SELECT lam FROM be) = 0 THEN 0.0::DOUBLE ELSE (SELECT min(lam) FROM sc WHERE wape <= (SELECT tolerance FROM be)) END AS strength FROM av)"""
+
+
+@query("blend_choice", with_sql("part", _NEED, f"""SELECT CASE WHEN advantage <= 0 THEN 'declined' ELSE 'passed' END AS gate, {q('advantage + 10', 4)} AS advantage_plus_10, {q('(SELECT wape FROM sc WHERE lam = 0)', 5)} AS base_wape, (SELECT lam FROM be) AS best_lambda, {q('(SELECT wape FROM be)', 5)} AS best_wape, {q('(SELECT tolerance FROM be)', 5)} AS tolerance,
+  strength, {q('(SELECT wape FROM sc WHERE lam = strength)', 5)} AS wape, (SELECT count(*) FROM l2) AS reconciled_rows, {q('(SELECT sum(greatest((1-strength)*y+strength*f, 0)) FROM l2)', 1)} AS reconciled_total FROM av CROSS JOIN ch""", _CHOICE))
+def blend_choice(spark, d):
+    """The strength that the held-out origin supports, the gate, and the forecasts reconciled with it."""
+    R = part(spark, d)
+    sku, node = residuals(R)
+    table = scales(R, sku, node)
+    at = F.col("week_start") == F.lit(R.week_list[-9])
+    bottom = cut(sku.filter(at).withColumnRenamed("node", "sku_id").select("sku_id", "week_start", "horizon", "prediction", "actual"))
+    aggregates = cut(node.filter(at))
+    tree = G.tree_reconcile(bottom.withColumnRenamed("sku_id", "node").select("node", "week_start", "horizon", "prediction").unionByName(
+        aggregates.select("node", "week_start", "horizon", "prediction")), table, R.master)
+    scores = G.blend_scores(bottom.join(tree, ["sku_id", "week_start", "horizon"]))
+    choice = cut(G.choose_blend(scores, G.aggregate_advantage(node, _summed(R, sku))))
+    strength = choice.first()["strength"]
+    total = G.reconcile(bottom.drop("actual"), aggregates, table, R.master, strength).agg(
+        F.count(F.lit(1)).alias("reconciled_rows"), F.sum("reconciled").alias("reconciled_total"))
+    out = choice.crossJoin(F.broadcast(total)).withColumn("advantage_plus_10", F.col("advantage") + 10).drop("advantage")  # one row each
+    return rounded(out, advantage_plus_10=4, base_wape=5, best_wape=5, tolerance=5, wape=5, reconciled_total=1)

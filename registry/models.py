@@ -416,12 +416,12 @@ FOREST = {"trees": 40, "depth": 7, "leaf": 5, "share": 0.3}
 
 
 class Backtest:
-    """Supervised rows written once, the origins of every fold, and the shelf that the queries share."""
+    """Supervised rows written once, the origins of every fold, and the shelf that the queries of a session share."""
 
     def __init__(self, R):
         self.panel = cut(R.panel)
         self.rows, self.origins = cut(X.supervised_frame(X.base_features(self.panel), R.weeks, H)), B.backtest_origins(R.week_list)
-        self.shelf, self.spec = Shelf.of(self.rows), X.feature_spec()
+        self.shelf, self.spec = Shelf.of(self.rows, about=R.spark.sparkContext.applicationId), X.feature_spec()
 
     def scores(self, candidates: dict):
         return B.backtest(self.rows, candidates, self.origins, shelf=self.shelf, spec=self.spec)

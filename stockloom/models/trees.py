@@ -87,7 +87,7 @@ class Fitted:
         scored = self.model.transform(_inputs(df, self.spec).withColumnRenamed("y", "_y"))
         # MLlib's own columns go; the input's columns come back as they were.
         out = scored.withColumnRenamed("_y", "y")
-        keep = [c for c in df.columns if c != "prediction"]
+        keep = [F.col(f.name).cast(f.dataType) for f in df.schema.fields if f.name != "prediction"]
         return out.select(*keep, F.greatest("prediction", F.lit(0.0)).alias("prediction"))
 
     def save(self, path: str) -> None:

@@ -7,6 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,7 +244,8 @@ def shrunk_correlation(residuals: DataFrame, scales: DataFrame) -> DataFrame:
     observations (week, horizon), the squared covariances sum to the squared products of
     pairs of observations, and the squared products of two nodes to the squares of each
     observation's sum of squares; the diagonal is taken off by sums per node.  T follows
-    the weeks of the holdout, so the number of nodes is free.  Only observations at which
+    the weeks of the holdout: each node is one series of length T, the matrix that the driver
+    gets is T x T, and the number of nodes is free.  Only observations at which
     every reliable node reports count.  Returns one row: nodes, observations, intensity.
     """
     reliable = (
@@ -269,14 +274,15 @@ def shrunk_correlation(residuals: DataFrame, scales: DataFrame) -> DataFrame:
         ((F.col("x") - F.col("_m")) / F.greatest(F.col("_s"), F.lit(LEAST_SCALE))).alias("z"),
     )
     z = cut(z)
-    # sum over i, j of (sum_t z_ti z_tj)^2 is the sum over t, s of (sum_i z_ti z_si)^2.
-    at = F.struct("week_start", "horizon")
-    own = z.select("node", at.alias("t"), F.col("z").alias("zt"))
-    other = z.select("node", at.alias("s"), F.col("z").alias("zs"))
-    crossed = own.join(other, "node").groupBy("t", "s").agg(F.sum(F.col("zt") * F.col("zs")).alias("_d"))
-    c_all = crossed.agg(F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0)).alias("_c_all"))
-    norms = z.groupBy("week_start", "horizon").agg(F.sum(F.col("z") * F.col("z")).alias("_o"))
-    q_all = norms.agg(F.coalesce(F.sum(F.col("_o") * F.col("_o")), F.lit(0.0)).alias("_q_all"))
+    # sum over i, j of (sum_t z_ti z_tj)^2 is the sum over t, s of (sum_i z_ti z_si)^2: the squares
+    # of the T x T Gram matrix of the nodes' series, added up partition by partition.
+    series = z.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("week_start", "horizon", "z"))).alias("_s"))
+    vectors = series.select(array_to_vector(F.transform("_s", lambda x: x["z"])).alias("v"))
+    if nodes and not z.isEmpty():
+        gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
+    else:
+        gram = np.zeros((1, 1))
+    c_all, q_all = float((gram**2).sum()), float((gram.diagonal() ** 2).sum())
     square = F.col("z") * F.col("z")
     single = z.groupBy("node").agg(
         F.sum(square).alias("_c"), F.sum(square * square).alias("_q"), F.max("_t").alias("_t")
@@ -284,14 +290,13 @@ def shrunk_correlation(residuals: DataFrame, scales: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("_c") * F.col("_c")), F.lit(0.0)).alias("_c_own"),
         F.coalesce(F.sum("_q"), F.lit(0.0)).alias("_q_own"), F.max("_t").alias("_t"),
     )
-    sums = single.crossJoin(F.broadcast(c_all)).crossJoin(F.broadcast(q_all))  # one row each
     t = F.col("_t")
-    c2, q1 = F.col("_c_all") - F.col("_c_own"), F.col("_q_all") - F.col("_q_own")
+    c2, q1 = F.lit(c_all) - F.col("_c_own"), F.lit(q_all) - F.col("_q_own")
     variance = t / F.pow(t - 1, F.lit(3)) * (q1 - c2 / t)
     corr = c2 / F.pow(t - 1, F.lit(2))
     raw = F.when(corr > 0, S.clip(variance / corr, 0.0, 1.0)).otherwise(1.0)
     enough = F.coalesce(t, F.lit(0)) >= LEAST_CORRELATION_ROWS
-    return sums.select(
+    return single.select(
         F.lit(nodes).alias("nodes"), F.coalesce(t, F.lit(0)).alias("observations"),
         F.when(enough, raw).otherwise(1.0).alias("intensity"),
     )
@@ -416,18 +421,29 @@ def blend_scores(validation: DataFrame, lambdas=LAMBDAS) -> DataFrame:
     )
 
 
-def choose_blend(scores: DataFrame, advantage: float | None) -> float:
-    """REC-6: smallest blend within one standard error of the best; 0 if the gate declines."""
-    if advantage is not None and advantage <= 0.0:
-        return 0.0
-    rows = [r for r in scores.collect() if r["wape"] is not None]  # nine rows
-    if not rows:
-        return 0.0
-    best = min(rows, key=lambda r: (r["wape"], r["lambda"]))
-    if best["lambda"] == 0.0:
-        return 0.0
-    limit = best["wape"] + best["standard_error"]
-    return min(r["lambda"] for r in rows if r["wape"] <= limit)
+def choose_blend(scores: DataFrame, advantage: DataFrame) -> DataFrame:
+    """REC-6: how far to trust the reconciled forecasts, as one row.
+
+    ``scores`` is :func:`blend_scores` and ``advantage`` is :func:`aggregate_advantage`.  The gate
+    declines, and the strength is 0, when direct aggregate forecasts do not beat the sum of the
+    SKU forecasts.  Otherwise the smallest strength counts whose WAPE lies within one standard
+    error (of the paired errors against no blending) of the best.  Without any actuals there is
+    nothing to choose by and the strength is 0.
+    """
+    best = F.min_by(F.struct("lambda", "wape", "standard_error"), F.struct("wape", "lambda"))
+    facts = scores.agg(best.alias("_b"), F.max(F.when(F.col("lambda") == 0.0, F.col("wape"))).alias("base_wape"),
+                       F.collect_list(F.struct("lambda", "wape")).alias("_all"))  # nine rows
+    limit = F.when(F.col("_b.lambda") == 0.0, F.col("_b.wape")).otherwise(F.col("_b.wape") + F.col("_b.standard_error"))
+    near = F.filter("_all", lambda x: x["wape"] <= F.col("tolerance"))
+    declined = F.col("advantage").isNotNull() & (F.col("advantage") <= 0.0)
+    out = facts.crossJoin(F.broadcast(advantage.select("advantage"))).withColumn("tolerance", limit)  # one row each
+    pick = F.when(declined, 0.0).otherwise(F.coalesce(F.array_min(F.transform(near, lambda x: x["lambda"])), F.lit(0.0)))
+    out = out.withColumn("strength", F.when(F.col("_b.lambda") == 0.0, 0.0).otherwise(pick))
+    chosen = F.get(F.filter("_all", lambda x: x["lambda"] == F.col("strength")), F.lit(0))
+    return out.select(
+        F.when(declined, "declined").otherwise("passed").alias("gate"), "advantage", "base_wape", F.col("_b.lambda").alias("best_lambda"),
+        F.col("_b.wape").alias("best_wape"), "tolerance", "strength", chosen["wape"].alias("wape"),
+    )
 
 
 def check_bottom(bottom: DataFrame, master: DataFrame) -> None:

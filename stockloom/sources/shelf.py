@@ -14,7 +14,6 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +37,14 @@ class Shelf:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     @classmethod
-    def of(cls, df: DataFrame, folder: str | None = None) -> "Shelf":
-        """The shelf of these rows, in ``folder`` or beside the checkpoints."""
+    def of(cls, df: DataFrame, folder: str | None = None, about: str = "") -> "Shelf":
+        """The shelf of these rows, in ``folder`` or beside the checkpoints.
+
+        ``about`` names what else the results depend on: settings, a release of the code, a session.
+        """
         spark = df.sparkSession
-        return cls(spark, f"{(folder or checkpoint_dir(spark)).rstrip('/')}/shelf-{fingerprint(df)}")
+        name = "-".join(["shelf", fingerprint(df), *([hashlib.sha256(about.encode()).hexdigest()[:12]] if about else [])])
+        return cls(spark, f"{(folder or checkpoint_dir(spark)).rstrip('/')}/{name}")
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -81,10 +84,3 @@ def side_by_side(work: Callable[[T], U], items: Iterable[T], spark: SparkSession
     with ThreadPoolExecutor(at_once) as pool:
         return list(pool.map(inheritable_thread_target(spark)(run), enumerate(items)))
 
-
-def readable(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, or ``None`` where there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None

@@ -25,7 +25,7 @@ def duck():
 def test_registry_is_complete():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(ORACLES) <= set(QUERIES)
-    assert len(QUERIES) - len(ORACLES) <= 4
+    assert len(QUERIES) - len(ORACLES) <= 5  # fitted models, whose checks stand in backtest_checks
 
 
 @pytest.mark.parametrize("name", NAMES)
