@@ -112,7 +112,7 @@ def tune_smoothing(spark, d):
 
 
 #: Tree settings to choose from, on every fold.
-TREE_GRID = {f"depth{depth}_step{int(100 * step)}": {"maxDepth": depth, "stepSize": step, "maxIter": 10} for depth in (3, 5) for step in (0.1, 0.3)}
+TREE_GRID = {f"depth{depth}_step{int(100 * step)}": {"maxDepth": depth, "stepSize": step, "maxIter": 5} for depth in (3, 5) for step in (0.1, 0.3)}
 
 
 @query("tune_trees")
