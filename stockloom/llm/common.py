@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.session import cut, scratch_path, shuffle_partitions
+from stockloom.session import scratch_path, shuffle_partitions
 
 #: Bytes of text hashed at once, and bytes of text taken together from an Arrow batch.
 WINDOW = 1 << 18
@@ -173,24 +173,45 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, shuffle_partitions(spark))
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def contract(links: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(node, parent) with each node's first neighbour or itself, and the edges left between parents.
+
+    First is the least id in turn 0 and the least of a hash that changes with the turn later, so
+    that neither a star nor a chain in order of ids takes many turns.  A node and its parent are
+    in one component; edges to a common parent become loops and go, so what is left follows the
+    number of leaders and not of members.
+    """
+    ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def first(c: str):
+        return F.struct(F.xxhash64(c, F.lit(turn)).alias("h") if turn else F.col(c).alias("h"), F.col(c).alias("id"))
+
+    best = ends.groupBy(F.col("a").alias("node")).agg(F.min(first("b")).alias("near"))
+    parent = stored(best.select("node", F.least("near", first("node"))["id"].alias("parent")), "parents")
+    up = lambda side: parent.select(F.col("node").alias(side), F.col("parent").alias(f"p{side}"))
+    moved = links.join(up("a"), "a").join(up("b"), "b").where("pa <> pb")
+    return parent, stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "contracted")
+
+
+def components(links: DataFrame, turns: int = 100) -> DataFrame:
     """(node, component) of the graph with edges ``a``-``b``; a component is named by its least node.
 
-    Minimum labels spread over the edges and every round follows the label of the label, so
-    the number of rounds grows with the logarithm of the diameter in practice.  Each round is
-    two joins and an aggregation that combines on the map side; the labels are checkpointed.
+    Every turn contracts each node into one neighbour and goes on with the edges between what is
+    left, so turns grow with the logarithm of a component's size and edges shrink from turn to
+    turn.  Roots then come down again, one join of nodes a turn.
     """
-    both = links.select("a", "b").where("a <> b")
-    both = stored(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-                 .select("node", F.least("node", "low").alias("component")))
-    for _ in range(rounds):
-        near = (both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("low")))
-        stepped = (labels.join(near, F.col("node") == F.col("a"))
-                   .select("node", F.col("component").alias("was"), F.least("component", "low").alias("now")))
-        jump = labels.select(F.col("node").alias("now"), F.col("component").alias("far"))
-        new = cut(stepped.join(jump, "now").select("node", "was", F.least("now", "far").alias("component")))
-        labels = new.select("node", "component")
-        if new.where("was <> component").isEmpty():
-            return labels
-    raise RuntimeError("the components did not settle")
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    parents = []
+    while not edges.isEmpty():
+        if len(parents) == turns:
+            raise RuntimeError("the components did not settle")
+        parent, edges = contract(edges, len(parents))
+        parents.append(parent)
+    if not parents:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    root = parents[-1]
+    for parent in reversed(parents[:-1]):
+        above = root.select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+        root = stored(parent.join(above, "parent", "left").select("node", F.coalesce("far", "parent").alias("parent")), "roots")
+    least = root.groupBy("parent").agg(F.min("node").alias("component"))
+    return root.join(least, "parent").select("node", "component")

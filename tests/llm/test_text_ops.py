@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -129,7 +130,27 @@ def test_posterior_bound_keeps_true_pairs():
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(links).collect()}
-    assert all(got[i] == 0 for i in range(61)) and got[100] == got[101] == 100
+    assert all(got[i] == 0 for i in range(61)) and got[100] == got[101] == 100 and len(got) == 63
+    assert common.components(links.where("false")).count() == 0
+
+
+def test_components_of_random_graphs_and_stars(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    edges += [(1000, i) for i in range(900, 1100)] + [(-5, 2000 + i) for i in range(100)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {x: top(x) for x in root}
 
 
 def test_fingerprints_follow_the_edit_rule(docs, empty):
