@@ -9,6 +9,8 @@ graph and searches the lists whose distance ratio to the nearest is small enough
 Equal vectors are one entry with their least ids, so copies do not fill a list.  Lists of
 neighbouring centres share a shelf.  A shelf is dealt into blocks by size; a block meets the
 queries of its shelf in runs of bounded size, and each query sees only the lists it chose.
+A query's nearest shelves are searched first and give a bound on its last score; the others
+send only what reaches it.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ REPLICAS, CLOSURE = 2, 1.02
 RATIO = 1.16
 #: Links of a centre in the graph; the walk keeps this many centres for a vector, and all lists for a query.
 DEGREE, BEAM = 16, 16
-#: Neighbouring lists on one shelf: a query gets one short list of hits from each shelf.
-SHELF = 16
+#: Neighbouring lists on one shelf, and a query's nearest shelves, which are searched before the others.
+SHELF, FIRST = 16, 2
 BLOCK, QUERY_BLOCK = 4_096, 1_024
 
 
@@ -205,12 +207,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
                     # A query is lifted by 0: only its direction matters.  It is given the common length.
                     x = np.concatenate((x * np.sqrt(facts["top"] / (x**2).sum(1))[:, None], np.zeros((len(x), 1))), axis=1)
                     row, at, _ = _lists(x, index.value, len(centres), RATIO, held.value, k + 1)
-                    order = np.lexsort((at, row))
+                    order = np.lexsort((at, row))  # lists of a query come nearest first; ``order`` is their place in that
                     row, at = row[order], at[order]
                     new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] // SHELF != at[:-1] // SHELF))))
                     picked = pa.ListArray.from_arrays(pa.array(np.concatenate((new, [len(at)])), pa.int32()), pa.array(at % SHELF, pa.int32()))
-                    yield pa.record_batch([pa.array(at[new] // SHELF, pa.int32()), part.column("query").take(pa.array(row[new])),
-                                           part.column("v").take(pa.array(row[new])), picked], ["shelf", "query", "v", "lists"])
+                    # A query's shelves by the nearest of their lists.
+                    nearest_list, of = np.minimum.reduceat(order, new), row[new]
+                    by = np.lexsort((nearest_list, of))
+                    rank = np.empty(len(of), np.int64)
+                    rank[by] = np.arange(len(of)) - np.searchsorted(of, of)
+                    yield pa.record_batch([pa.array(at[new] // SHELF, pa.int32()), part.column("query").take(pa.array(of)),
+                                           part.column("v").take(pa.array(of)), picked, pa.array(rank < FIRST)], ["shelf", "query", "v", "lists", "early"])
 
     posted = stored(entries.mapInArrow(post, "list int, home boolean, entry long, v array<double>, ids array<long>"), "ann-lists")
     size = np.zeros(len(centres), np.int64)
@@ -218,14 +225,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
         size[row["list"]] = row["count"]
     held = spark.sparkContext.broadcast(size)
     question = stored(classes(asked, 1).select(F.element_at("ids", 1).alias("query"), "v"), "ann-queries")
-    probes = stored(question.mapInArrow(ask, "shelf int, query long, v array<double>, lists array<int>"), "ann-probes")
+    probes = stored(question.mapInArrow(ask, "shelf int, query long, v array<double>, lists array<int>, early boolean"), "ann-probes")
     shelved = posted.select(F.floor(F.col("list") / SHELF).cast("int").alias("shelf"), (F.col("list") % SHELF).alias("list"), "entry", "v")
     blocks = (shelved.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vb"))
               .join(probes.groupBy("shelf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qb")), "shelf"))
     left = (shelved.join(blocks, "shelf").withColumn("i", F.pmod(F.xxhash64("entry"), "vb").cast("int"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).drop("vb", "qb"))
-    right = (probes.join(blocks, "shelf").withColumn("j", F.pmod(F.xxhash64("query"), "qb").cast("int"))
-             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))).drop("vb", "qb"))
+
+    def asking(rows: DataFrame) -> DataFrame:
+        return (rows.join(blocks, "shelf").withColumn("j", F.pmod(F.xxhash64("query"), "qb").cast("int"))
+                .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))).select("shelf", "i", "j", "query", "v", "lists", "least"))
 
     def scan(entries_: pa.Table, probes_: pa.Table) -> pa.Table:
         out = {"query": [], "entry": [], "score": []}
@@ -234,6 +243,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
             q = _stack(probes_.column("v").combine_chunks(), dim)
             entry, query = entries_.column("entry").to_numpy(), probes_.column("query").to_numpy()
             place, picked = entries_.column("list").to_numpy(), probes_.column("lists").to_pylist()
+            least = probes_.column("least").to_numpy()
             score = q @ x.T
             for r in range(len(q)):
                 own = np.zeros(SHELF, bool)
@@ -247,17 +257,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
                 value = score[r, sees]
                 # The k + 1 best entries, and those that tie with the last of them.
                 edge = np.partition(value, len(sees) - top)[len(sees) - top]
-                best = sees[value >= edge - 1e-9]
+                best = sees[value >= max(edge, least[r]) - 1e-9]
                 best = best[np.lexsort((entry[best], -score[r, best]))][: top + 8]
                 out["query"] += [int(query[r])] * len(best)
                 out["entry"] += entry[best].tolist()
                 out["score"] += [float(np.dot(q[r], x[b])) for b in best]
         return pa.table({"query": pa.array(out["query"], pa.int64()), "entry": pa.array(out["entry"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    raw = left.groupBy("shelf", "i", "j").cogroup(right.groupBy("shelf", "i", "j")).applyInArrow(scan, "query long, entry long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
-    # Scores of one pair agree in every list; a query has few rows for each list it searched.
-    short = stored(raw.groupBy("query", "entry").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1), "ann-short")
+
+    def search(rows: DataFrame) -> DataFrame:
+        return left.groupBy("shelf", "i", "j").cogroup(asking(rows).groupBy("shelf", "i", "j")).applyInArrow(scan, "query long, entry long, score double")
+
+    def shortened(hits: DataFrame) -> DataFrame:
+        # Scores of one pair agree in every list; a query has few rows for each shelf it searched.
+        return hits.groupBy("query", "entry").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+
+    # The nearest shelves first: the score of the last of k + 1 entries found there is a bound that
+    # the other shelves must reach, so they send few rows however many they are.
+    early = stored(shortened(search(probes.where("early").withColumn("least", F.lit(float("-inf"))))), "ann-early")
+    bound = early.where(F.col("r") == k + 1).select("query", F.col("score").alias("bound"))
+    late = probes.where("not early").join(bound, "query", "left").withColumn("least", F.coalesce("bound", F.lit(float("-inf"))))
+    short = stored(shortened(early.select("query", "entry", "score").union(search(late))), "ann-short")
     ids = short.join(entries.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = ids.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).groupBy("query").agg(F.collect_list(F.struct("score", "vec_id")).alias("hits"))
