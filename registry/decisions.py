@@ -309,11 +309,11 @@ def live_rescore_stream(spark, d):
     wrong = now.withColumn("on_hand_units", F.col("on_hand_units") + 1000)
     early = wrong.withColumn("event_time", F.lit("2001-11-04 08:00:00").cast("timestamp"))
     late = wrong.withColumn("event_time", F.lit("2001-11-05 07:00:00").cast("timestamp"))
+    # Each comes as a folder of several files, and the stream goes on from its checkpoint.
     for k, batch in enumerate((early, now.unionByName(now), late)):
-        batch.coalesce(1).write.parquet(f"{source}/part={k}")
-    stream = (spark.readStream.schema(now.schema).option("recursiveFileLookup", "true")
-              .option("maxFilesPerTrigger", 1).parquet(source))
-    live.stream_rescore(stream, stored, rows, R.master, out, state).awaitTermination()
+        batch.repartition(4).write.parquet(f"{source}/part={k}")
+        stream = spark.readStream.schema(now.schema).option("recursiveFileLookup", "true").parquet(source)
+        live.stream_rescore(stream, stored, rows, R.master, out, state).awaitTermination()
     done = spark.read.parquet(out)
     fields = ["available_units", "stockout_score", "action"]
     last = done.groupBy("sku_id").agg(F.max_by(F.struct(*fields), "batch_id").alias("r")).select("sku_id", "r.*")
@@ -337,15 +337,15 @@ def accuracy_stream(spark, d):
         "sku_id", F.col("y").alias("units"),
         (F.col("target_week").cast("timestamp") + F.expr("interval 12 hours")).alias("event_time"),
     )
-    # A quarter of the time in each file; every actual is first stated wrong, then restated, then repeated.
+    # A quarter of the time in each folder of several files; every actual is first stated wrong, then restated, then repeated.
     first = actuals.withColumns({"units": F.col("units") * 2 + 1, "event_time": F.col("event_time") - F.expr("interval 6 hours")})
     sent = first.unionByName(actuals).unionByName(actuals)
     span = actuals.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
     edges = [span["lo"] - dt.timedelta(days=7), *(span["lo"] + (span["hi"] - span["lo"]) * k / 4 for k in (1, 2, 3)), span["hi"]]
-    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):  # one after the other: files are read by age
-        sent.filter((F.col("event_time") > F.lit(lo)) & (F.col("event_time") <= F.lit(hi))).coalesce(1).write.parquet(f"{source}/part={k}")
-    stream = spark.readStream.schema(actuals.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(source)
-    live.stream_accuracy(stream, plan, out, state).awaitTermination()
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):  # one run a folder, on one checkpoint
+        sent.filter((F.col("event_time") > F.lit(lo)) & (F.col("event_time") <= F.lit(hi))).repartition(4).write.parquet(f"{source}/part={k}")
+        stream = spark.readStream.schema(actuals.schema).option("recursiveFileLookup", "true").parquet(source)
+        live.stream_accuracy(stream, plan, out, state).awaitTermination()
     return rounded(spark.read.parquet(out), wape=5, bias_relative=5, coverage=5)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from registry.core import part, q, query, rounded, style
 from registry.panel import H
 from registry.sql import wape_sql, with_sql
+from stockloom.models import ensemble as E
 from stockloom.operators import censoring as Z
 from stockloom.operators import coldstart as C
 from stockloom.operators import features as X
@@ -251,23 +252,17 @@ def cold_season_index(spark, d):
 
 
 _NEAR = _ELA + """,
- young AS (SELECT DISTINCT sku_id FROM panel WHERE launch_date > DATE '1995-06-01'),
  pairs AS (SELECT t.sku_id, o.sku_id AS donor, sqrt(pow(o.log_list_price-t.log_list_price, 2) + pow(o.margin_rate-t.margin_rate, 2) + pow(o.price_rank-t.price_rank, 2)) + CASE WHEN o.subcategory <> t.subcategory THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
-   + CASE WHEN o.category <> t.category THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END AS distance, l.mature_level, o.list_price FROM attr t JOIN young y ON y.sku_id = t.sku_id JOIN attr o ON o.sku_id <> t.sku_id JOIN lev l ON l.sku_id = o.sku_id),
+   + CASE WHEN o.category <> t.category THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END AS distance, l.mature_level, o.list_price FROM attr t JOIN attr o ON o.sku_id <> t.sku_id JOIN lev l ON l.sku_id = o.sku_id),
  near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY distance, donor) AS donor_rank FROM pairs) WHERE donor_rank <= 12),
  prior AS (SELECT sku_id, sum(mature_level/(1+distance))/sum(1/(1+distance)) AS donor_level, sum(list_price/(1+distance))/sum(1/(1+distance)) AS donor_price FROM near GROUP BY 1)"""
 
 
-def _young(panel):
-    return panel.filter(F.col("launch_date") > F.lit("1995-06-01").cast("date"))
-
-
 @query("nearest_donors", with_sql("part", "panel", f"SELECT sku_id, donor, {q('distance', 4)} AS distance FROM near", _NEAR))
 def nearest_donors(spark, d):
     panel = part(spark, d).panel
     table, levels = cut(C.attributes(panel)), C.mature_levels(panel)
-    targets = table.join(_young(panel).select("sku_id").distinct(), "sku_id", "left_semi")
-    near = C.nearest_donors(targets, table.join(levels, "sku_id", "left_semi"))
+    near = C.nearest_donors(table, table.join(levels, "sku_id", "left_semi"))
     return rounded(near.select("sku_id", "donor", "distance"), distance=4)
 
 
@@ -275,8 +270,7 @@ def nearest_donors(spark, d):
 def donor_prior(spark, d):
     panel = part(spark, d).panel
     table, levels = cut(C.attributes(panel)), cut(C.mature_levels(panel))
-    targets = table.join(_young(panel).select("sku_id").distinct(), "sku_id", "left_semi")
-    near = C.nearest_donors(targets, table.join(levels, "sku_id", "left_semi"))
+    near = C.nearest_donors(table, table.join(levels, "sku_id", "left_semi"))
     return rounded(C.donor_prior(near, levels, table), donor_level=4, donor_price=2)
 
 
@@ -296,30 +290,25 @@ def observed_level(spark, d):
     return rounded(out, highest=3, total=2)
 
 
-# The same model in SQL at one origin early in the young products' lives.
+# The same model in SQL at every origin at which a product is young.
 _COLD = _NEAR + ",\n " + _OWN + ",\n " + _SEAS + """,
- og AS (SELECT DATE '1995-08-28' AS o),
- cs AS (SELECT p.sku_id, p.category, p.weeks_since_launch, h.horizon, p.week_start + 7*h.horizon AS target_week, own_level, own_weeks, CASE WHEN a.list_price/donor_price > 0 THEN donor_level*pow(a.list_price/donor_price, elasticity) ELSE donor_level END AS borrowed
-   FROM panel p JOIN og ON p.week_start = og.o JOIN young y ON y.sku_id = p.sku_id CROSS JOIN (SELECT unnest(range(1,9))::INT AS horizon) h CROSS JOIN ela LEFT JOIN own ON own.sku_id = p.sku_id AND own.week_start = p.week_start LEFT JOIN prior ON prior.sku_id = p.sku_id JOIN attr a ON a.sku_id = p.sku_id),
+ cs AS (SELECT p.sku_id, p.category, p.week_start, p.weeks_since_launch, h.horizon, p.week_start + 7*h.horizon AS target_week, own_level, own_weeks, CASE WHEN a.list_price/donor_price > 0 THEN donor_level*pow(a.list_price/donor_price, elasticity) ELSE donor_level END AS borrowed
+   FROM panel p CROSS JOIN (SELECT unnest(range(1,9))::INT AS horizon) h CROSS JOIN ela LEFT JOIN own ON own.sku_id = p.sku_id AND own.week_start = p.week_start LEFT JOIN prior ON prior.sku_id = p.sku_id JOIN attr a ON a.sku_id = p.sku_id WHERE p.weeks_since_launch < 26),
  cf AS (SELECT cs.*, coalesce(own_weeks/(own_weeks+8.0::DOUBLE)*own_level + (1-own_weeks/(own_weeks+8.0::DOUBLE))*borrowed, own_level, borrowed) * CASE WHEN cs.weeks_since_launch + horizon > 26 THEN 1.0::DOUBLE ELSE k.curve END * coalesce(idx, 1.0) AS f
    FROM cs LEFT JOIN curve k ON k.category = cs.category AND k.age = least(cs.weeks_since_launch + horizon, 26) LEFT JOIN sea ON sea.category = cs.category AND sea.iw = weekofyear(target_week))"""
 
 
 def _cold(R):
-    import datetime as dt
-
-    panel = R.panel
-    rows = X.expand_horizons(_young(panel), H, labelled=False).filter(
-        F.col("week_start") == F.lit(dt.date(1995, 8, 28))
-    )
+    panel = cut(R.panel)
+    rows = X.expand_horizons(panel.where(F.col("weeks_since_launch") < E.NEW_WEEKS), H, labelled=False)
     rows = rows.select("sku_id", "category", "week_start", "horizon", "target_week",
                        "weeks_since_launch", "y")
     return C.cold_start(rows, panel, C.fit_cold_start(panel))
 
 
-@query("cold_start_forecast", with_sql("part", "panel", f"SELECT sku_id, horizon, {q('greatest(f, 0)', 3)} AS cold_start FROM cf", _COLD))
+@query("cold_start_forecast", with_sql("part", "panel", f"SELECT sku_id, week_start, horizon, {q('greatest(f, 0)', 3)} AS cold_start FROM cf", _COLD))
 def cold_start_forecast(spark, d):
-    return rounded(_cold(part(spark, d)).select("sku_id", "horizon", "cold_start"), cold_start=3)
+    return rounded(_cold(part(spark, d)).select("sku_id", "week_start", "horizon", "cold_start"), cold_start=3)
 
 
 @query("accuracy_by_age", with_sql("part", "sup", f"""SELECT CASE WHEN weeks_since_launch <= 4 THEN '0-4 weeks' WHEN weeks_since_launch <= 8 THEN '5-8 weeks' WHEN weeks_since_launch <= 13 THEN '9-13 weeks' WHEN weeks_since_launch <= 26 THEN '14-26 weeks' ELSE '27+ weeks' END AS age_band,

@@ -195,13 +195,6 @@ def supervised_parts(spark, d):
     )
 
 
-@query("target_week_drivers", with_sql("style", ("panel", "weeks"), f"""SELECT d.sku_id, d.week_start, 4 AS horizon, {q('ln(1+coalesce(mk.media_spend, 0.0))', 4)} AS target_media_spend_log,
-  {q('least(greatest((coalesce(mk.media_spend, 0.0)+1e-6)/(media_spend_roll_13+1e-6), 0.0), 20.0)', 4)} AS target_media_ratio, coalesce(w.planned_discount, 0.0::DOUBLE) AS target_planned_discount
-  FROM df d LEFT JOIN mk ON mk.sku_id = d.sku_id AND mk.week_start = d.week_start + 28 LEFT JOIN weeks w ON w.week_start = d.week_start + 28""", _DF_SQL))
-def target_week_drivers(spark, d):
-    return _target_drivers(style(spark, d), [4])
-
-
 def _target_drivers(R, horizons):
     panel, plan = with_drivers(R)
     f = X.add_driver_features(X.add_rolling(panel))
@@ -213,9 +206,13 @@ def _target_drivers(R, horizons):
     return rounded(out, target_media_spend_log=4, target_media_ratio=4)
 
 
-@query("target_week_drivers_all_horizons", with_sql("style", ("panel", "weeks"), f"""SELECT d.sku_id, d.week_start, h.horizon, {q('ln(1+coalesce(mk.media_spend, 0.0))', 4)} AS target_media_spend_log,
+_DRIVERS_SQL = with_sql("style", ("panel", "weeks"), f"""SELECT d.sku_id, d.week_start, h.horizon, {q('ln(1+coalesce(mk.media_spend, 0.0))', 4)} AS target_media_spend_log,
   {q('least(greatest((coalesce(mk.media_spend, 0.0)+1e-6)/(media_spend_roll_13+1e-6), 0.0), 20.0)', 4)} AS target_media_ratio, coalesce(w.planned_discount, 0.0::DOUBLE) AS target_planned_discount
-  FROM df d CROSS JOIN (SELECT unnest(range(1, 9))::INT AS horizon) h LEFT JOIN mk ON mk.sku_id = d.sku_id AND mk.week_start = d.week_start + 7*h.horizon LEFT JOIN weeks w ON w.week_start = d.week_start + 7*h.horizon""", _DF_SQL))
+  FROM df d CROSS JOIN (SELECT unnest(range(1, 9))::INT AS horizon) h LEFT JOIN mk ON mk.sku_id = d.sku_id AND mk.week_start = d.week_start + 7*h.horizon LEFT JOIN weeks w ON w.week_start = d.week_start + 7*h.horizon""", _DF_SQL)
+
+
+@query("target_week_drivers", _DRIVERS_SQL)
+@query("target_week_drivers_all_horizons", _DRIVERS_SQL)
 def target_week_drivers_all_horizons(spark, d):
     return _target_drivers(style(spark, d), H)
 

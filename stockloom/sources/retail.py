@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from stockloom.contracts import CATEGORY_CODES
 from stockloom.functions import scalar as S
 from stockloom.operators import panel as P
+from stockloom.session import cut
 
 # Part types stand for the six categories, in this order.
 TYPE_TO_CATEGORY = {
@@ -121,14 +122,22 @@ class Retail:
             fixed(price * 0.6, 2).alias("unit_cost"), price.alias("list_price"),
         )
 
+    @cached_property
+    def days(self) -> DataFrame:
+        """Every day from the first sale to 140 days past the last: the days with sales, each with
+        the days to the next one.  A few thousand rows, whatever the table."""
+        sold = self.table("lineitem").select(F.col("l_shipdate").cast("date").alias("_s")).where("_s is not null").distinct()
+        ahead = F.lead("_s").over(Window.orderBy("_s"))
+        until = F.coalesce(F.date_sub(ahead, 1), F.date_add("_s", CALENDAR_AHEAD_DAYS))
+        first = F.min("_s").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))
+        runs = sold.select("_s", first.alias("_first"), until.alias("_until"))
+        every = runs.select("_first", F.explode(F.sequence("_s", "_until")).alias("_d"))
+        return cut(every.select("_d", F.datediff("_d", "_first").cast("long").alias("id")))
+
     @property
     def calendar_raw(self) -> DataFrame:
         """Text calendar to 140 days past the last sale, with repeated dates."""
-        first, last = self.span
-        days = (last - first).days + 1 + CALENDAR_AHEAD_DAYS
-        base = self.spark.range(days).select(
-            F.date_add(F.lit(first), F.col("id").cast("int")).alias("_d"), "id"
-        )
+        base = self.days
         week = F.weekofyear("_d")
         day, month = F.dayofmonth("_d"), F.month("_d")
         holiday = ((month == 1) & day.isin(1, 26)) | ((month == 12) & (day == 25))

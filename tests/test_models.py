@@ -123,3 +123,24 @@ def test_intervals_are_ordered_and_weights_sum_to_one(spark):
         assert r["gbm"] + r["tsb"] + r["seasonal_profile"] == pytest.approx(1.0)
         if r["group"] == "new":
             assert r["tsb"] == 0.0
+
+
+def test_nearest_donors_in_a_dense_cell(spark):
+    rng = np.random.default_rng(9)
+    n = 3000
+    frame = pd.DataFrame({
+        "sku_id": [f"s{i:04d}" for i in range(n)], "category": "a", "subcategory": np.where(np.arange(n) % 500 == 7, "rare", "x"),
+        **{c: np.where(np.arange(n) < 2800, 1e-3, 1.0) * rng.normal(size=n) for c in C.SHAPE},  # nearly all in one small spot
+    })
+    frame.loc[5, C.SHAPE[0]] = None
+    df = spark.createDataFrame(frame).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in C.SHAPE})
+    targets = df.where(F.col("sku_id").isin("s0000", "s0005", "s0007", "s1500", "s2990"))
+    got = C.nearest_donors(targets, df, 12).toPandas()
+    v = frame[list(C.SHAPE)].to_numpy(dtype=float)
+    assert "s0005" not in set(got["sku_id"])
+    for i in (0, 7, 1500, 2990):
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1)) + (frame["subcategory"] != frame["subcategory"][i])
+        order = sorted((x, s) for x, s in zip(d, frame["sku_id"]) if s != frame["sku_id"][i] and not np.isnan(x))[:12]
+        mine = got[got["sku_id"] == frame["sku_id"][i]].sort_values("donor_rank")
+        assert mine["donor"].tolist() == [s for _, s in order]
+    assert C.nearest_donors(targets, df.where("false"), 3).count() == 0
