@@ -6,6 +6,11 @@ then share a word among the first |x| - ceil(t|x|) + 1 of each.  Classes meet on
 words and are pruned by length, by position and by parity bitmaps (the bits in which two
 bitmaps differ bound the symmetric difference from below), none of which loses a match.
 Survivors are verified on their full sets.  A line goes if an earlier line matches it.
+
+One earlier match is enough, so not all pairs of a family of near copies are looked at.  Classes
+that share two of their three rarest words first meet the earliest of them alone; only classes
+without such a leader, and then those that their leaders turned out not to match, go through the
+prefix join.  Every class ends with a verified earlier match or with all its candidates refuted.
 """
 
 from __future__ import annotations
@@ -100,14 +105,16 @@ def _needed(n, percent: int):
 
 
 def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, firsts, links) of ``docs`` with columns _row (long), _id and ``text``.
+    """(lines, firsts, matched) of ``docs`` with columns _row (long), _id and ``text``.
 
     lines: every line with words, its class and place; firsts: the earliest line of each
-    class by (_id null last, _row, line); links: the firsts (_row, line) that an earlier
-    line with another set matches, one row for each such pair.
+    class by (_id null last, _row, line); matched: the firsts (_row, line) that an earlier
+    line with another set matches.
     """
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_rarity(docs, text))
+    # Sets of fewer words match equal ones only: one word more or less is already too much.
+    least = -(-percent // max(1, 100 - percent))
 
     def sets(batches):
         for batch in batches:
@@ -129,29 +136,65 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
                 at_word = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(begin, size)
                 token = (words[at_word] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(token))
+                able = n >= max(3, least)
+                many = np.flatnonzero(able)
+                w = [words[begin[many] + i] for i in range(3)]
+                keys = np.stack([mix(w[i] * _U(0x9E3779B97F4A7C15) + w[j]) for i, j in ((0, 1), (0, 2), (1, 2))], 1) if len(many) else np.zeros((0, 3), np.uint64)
+                lead = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(able, 3, 0)))), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.record_batch([batch.column("_id").take(pa.array(i + rows[has])), pa.array(ids[i:j][rows[has]]), pa.array(number[has].astype(np.int32)), pa.array(k1.view(np.int64)),
-                                       pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), prefix],
-                                      ["_id", "_row", "line", "k1", "k2", "n", "bits", "prefix"])
+                                       pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), prefix, lead],
+                                      ["_id", "_row", "line", "k1", "k2", "n", "bits", "prefix", "lead"])
 
-    rest = StructType.fromDDL("_row long, line int, k1 long, k2 long, n int, bits long, prefix array<int>")
+    rest = StructType.fromDDL("_row long, line int, k1 long, k2 long, n int, bits long, prefix array<int>, lead array<long>")
     shape = StructType([docs.schema["_id"], *rest])
     lines = stored(docs.select("_id", "_row", text).mapInArrow(sets, shape), "lines")
-    earliest = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line", "n", "bits", "prefix")
-    firsts = stored(lines.groupBy("k1", "k2").agg(F.min(earliest).alias("f")).select("k1", "k2", "f._row", "f.line", "f.n", "f.bits", "f.prefix"), "firsts")
-    # One long for the size, the place in the order of words and the line number keeps a posting small.
-    post = firsts.select(F.posexplode("prefix").alias("pos", "token"), "_row", "line", "n", "bits") \
-        .select("token", "_row", "line", F.expr("(cast(n as long) << 32) | pos").alias("np"), "bits")
-    post = post.repartition(parts(spark), "token")
-    a, b = post.alias("a"), post.alias("b")
-    na, nb, pa_, pb = "(a.np >> 32)", "(b.np >> 32)", "(a.np & 4294967295L)", "(b.np & 4294967295L)"
-    # Each pair once, `a` the smaller set: it needs a shorter prefix.  Then length, parity, and position at the first shared word.
-    near = (a.join(b, (F.col("a.token") == F.col("b.token"))
-                   & F.expr(f"({na} < {nb} or ({na} = {nb} and (a._row < b._row or (a._row = b._row and a.line < b.line))))")
-                   & F.expr(f"100 * {na} >= {percent} * {nb}")
-                   & F.expr(f"{100 + percent} * bit_count(a.bits ^ b.bits) <= {100 - percent} * ({na} + {nb})")
-                   & F.expr(f"{100 + percent} * least({na} - {pa_}, {nb} - {pb}) >= {percent} * ({na} + {nb})"))
-            .select(F.col("b._row").alias("row_b"), F.col("b.line").alias("line_b"), F.col("a._row").alias("row_a"), F.col("a.line").alias("line_a")))
-    pairs = stored(near.distinct(), "line-pairs")
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line")
+    facts = F.struct(place.alias("place"), "n", "bits", "prefix", "lead")
+    firsts = stored(lines.groupBy("k1", "k2").agg(F.min(facts).alias("f"))
+                    .select("k1", "k2", "f.place", "f.place._row", "f.place.line", "f.n", "f.bits", "f.prefix", "f.lead"), "firsts")
+    large = firsts.where(F.col("n") >= least)
+    pair = [F.col("b._row").alias("row_b"), F.col("b.line").alias("line_b"), F.col("a._row").alias("row_a"), F.col("a.line").alias("line_a")]
+
+    def alike(na: str, nb: str) -> str:
+        """Length and parity: what two sets at the threshold cannot fail."""
+        return (f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})"
+                f" and {100 + percent} * bit_count(a.bits ^ b.bits) <= {100 - percent} * ({na} + {nb})")
+
+    # Each class meets the earliest one that shares two of its three rarest words: three pairs at most.
+    keyed = large.select(F.explode("lead").alias("key"), "place", "n", "bits")
+    leaders = keyed.groupBy("key").agg(F.min(F.struct("place", "n", "bits")).alias("f"), F.count(F.lit(1)).alias("many")) \
+        .where("many > 1").select("key", "f.place", "f.place._row", "f.place.line", "f.n", "f.bits")
+    led = stored(leaders.alias("a").join(keyed.select("key", "place", "place._row", "place.line", "n", "bits").alias("b"), F.col("a.key") == F.col("b.key"))
+                 .where("a.place < b.place").where(alike("a.n", "b.n")).select(*pair).distinct(), "line-led")
+    with_leader = stored(led.select(F.col("row_b").alias("_row"), F.col("line_b").alias("line")).distinct(), "line-with-leader")
+
+    def postings(of: DataFrame) -> DataFrame:
+        # One long for the size and the place in the order of words keeps a posting small.
+        return of.select(F.posexplode("prefix").alias("pos", "token"), "place", "_row", "line", F.expr("(cast(n as long) << 32)").alias("np"), "bits") \
+            .withColumn("np", F.expr("np | pos")).drop("pos")
+
+    def candidates(later: DataFrame) -> DataFrame:
+        """Pairs of every class of ``later`` with the earlier classes that no filter rules out."""
+        na, nb, at_a, at_b = "(a.np >> 32)", "(b.np >> 32)", "(a.np & 4294967295L)", "(b.np & 4294967295L)"
+        return (postings(large).alias("a").join(postings(later).alias("b"), (F.col("a.token") == F.col("b.token")) & F.expr("a.place < b.place")
+                & F.expr(alike(na, nb)) & F.expr(f"{100 + percent} * least({na} - {at_a}, {nb} - {at_b}) >= {percent} * ({na} + {nb})"))
+                .select(*pair).distinct())
+
+    key = ["_row", "line"]
+    fresh = candidates(large.join(with_leader, key, "left_anti"))
+    matched = _verify(docs, stored(led.unionByName(fresh), "line-pairs"), firsts, order, percent, text)
+    refuted = stored(with_leader.join(matched, key, "left_anti"), "line-refuted")
+    if not refuted.isEmpty():
+        again = candidates(large.join(refuted, key, "left_semi"))
+        tested = led.select("row_b", "line_b", "row_a", "line_a")
+        rest_ = stored(again.join(tested, ["row_b", "line_b", "row_a", "line_a"], "left_anti"), "line-pairs")
+        matched = stored(matched.unionByName(_verify(docs, rest_, firsts, order, percent, text)), "line-matched")
+    return lines, firsts, matched
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, order, percent: int, text: str) -> DataFrame:
+    """The later lines (_row, line) of the pairs that reach the threshold on their full sets."""
+    spark = docs.sparkSession
     wanted = stored(pairs.select(F.col("row_a").alias("_row"), F.col("line_a").alias("line")).union(pairs.select("row_b", "line_b")).distinct()
                     .join(firsts.select("_row", "line", "k1"), ["_row", "line"]), "line-wanted")
     rows_wanted = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("_row").alias("h")), "h"))
@@ -172,16 +215,12 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
                         row_at.append(i + int(rows[k]))
                         line_at.append(int(number[k]))
                         out.append(_digests(words[bounds[k] : bounds[k + 1]]))
-            yield pa.record_batch([batch.column("_id").take(pa.array(row_at, pa.int64())), pa.array(ids[row_at] if row_at else [], pa.int64()),
-                                   pa.array(line_at, pa.int32()), pa.array(out, pa.binary())], ["_id", "_row", "line", "words"])
+            yield pa.record_batch([pa.array(ids[row_at] if row_at else [], pa.int64()), pa.array(line_at, pa.int32()), pa.array(out, pa.binary())], ["_row", "line", "words"])
 
-    shape = StructType([docs.schema["_id"], *StructType.fromDDL("_row long, line int, words binary")])
     # The bitmaps spare a shuffle of the texts; what they let through by chance is dropped by the joins.
-    whole = docs.select("_id", "_row", F.xxhash64("_row").alias("_h"), text).mapInArrow(full, shape)
-    whole = whole.join(wanted.select("_row", "line"), ["_row", "line"], "left_semi").select("_row", "line", F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line").alias("place"), "words") \
-        .repartition(parts(spark), "_row", "line")
-    left = whole.select(F.col("_row").alias("row_a"), F.col("line").alias("line_a"), F.col("place").alias("place_a"), F.col("words").alias("words_a"))
-    right = whole.select(F.col("_row").alias("row_b"), F.col("line").alias("line_b"), F.col("place").alias("place_b"), F.col("words").alias("words_b"))
+    whole = docs.select("_row", F.xxhash64("_row").alias("_h"), text).mapInArrow(full, "_row long, line int, words binary")
+    whole = stored(whole.join(wanted.select("_row", "line"), ["_row", "line"], "left_semi"), "line-words")
+    left, right = (whole.select(F.col("_row").alias(f"row_{x}"), F.col("line").alias(f"line_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
 
     def verify(batches):
         for batch in batches:
@@ -191,38 +230,35 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
                 yield rows.select(["_row", "line"]).filter(pa.array((100 + percent) * shared >= percent * total))
 
     both = pairs.join(left, ["row_a", "line_a"]).join(right, ["row_b", "line_b"])
-    later = F.col("place_a") > F.col("place_b")
-    sure = both.select(F.when(later, F.col("row_a")).otherwise(F.col("row_b")).alias("_row"),
-                       F.when(later, F.col("line_a")).otherwise(F.col("line_b")).alias("line"), "words_a", "words_b") \
-        .mapInArrow(verify, "_row long, line int")
-    return lines, firsts, stored(sure, "line-links")
+    sure = both.select(F.col("row_b").alias("_row"), F.col("line_b").alias("line"), "words_a", "words_b").mapInArrow(verify, "_row long, line int")
+    return stored(sure.distinct(), "line-sure")
 
 
 def dedup_lines(docs: DataFrame, percent: int = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the lines that an earlier line matches, and lines_in, lines_out, line_links (longs).
+    """``docs`` without the lines that an earlier line matches, and lines_in, lines_out, lines_near (longs).
 
     Lines end at LF.  They are ordered by (doc_id, null last; then the table's own order; line
     number).  A line without words never matches and stays.  Null text stays null, with no
     lines; empty text is one blank line.  A document that loses every line stays, with empty
     text.  Repeated rows are documents of their own: the later one loses its lines.
-    line_links counts the earlier classes with another set that match lines of the document
-    which are first of their class.  Columns of these names are replaced; others pass through.
+    lines_near counts the lines that went for an earlier line with another set; the others that
+    went repeat an earlier set.  Columns of these names are replaced; others pass through.
     ``docs`` must be a stored table: it is scanned more than once and its rows are told apart
     by scan order.
     """
     spark = docs.sparkSession
-    made = ["lines_in", "lines_out", "line_links", "_row", "_id", "_gone", "_links", "_h"]
+    made = ["lines_in", "lines_out", "lines_near", "_row", "_id", "_gone", "_links", "_h"]
     base = docs.drop(*made).withColumn("_row", F.monotonically_increasing_id()).withColumn("_id", F.col(doc_id))
-    lines, firsts, links = matches(base.select("_row", "_id", text), percent, text)
+    lines, firsts, matched = matches(base.select("_row", "_id", text), percent, text)
     repeats = lines.select("_row", "line", "k1", "k2").join(
         firsts.select("k1", "k2", F.col("_row").alias("first_row"), F.col("line").alias("first_line")), ["k1", "k2"]) \
         .where("_row <> first_row or line <> first_line").select("_row", "line", F.lit(0).alias("links"))
-    found = links.groupBy("_row", "line").agg(F.count("*").alias("links"))
+    found = matched.select("_row", "line", F.lit(1).alias("links"))
     gone = stored(repeats.union(found).groupBy("_row").agg(F.collect_list("line").alias("_gone"), F.sum("links").alias("_links")), "line-gone")
 
     names = base.drop("_row", "_id").columns
     shape = StructType(list(base.drop("_row", "_id").schema))
-    for name in ("lines_in", "lines_out", "line_links"):
+    for name in ("lines_in", "lines_out", "lines_near"):
         shape = shape.add(name, "long")
 
     def rewrite(batches):
@@ -237,7 +273,7 @@ def dedup_lines(docs: DataFrame, percent: int = THRESHOLD, text: str = "text", d
                 after.append(len(kept))
             columns = [pa.array(out, pa.string()) if c == text else batch.column(c) for c in names]
             yield pa.record_batch([*columns, pa.array(before, pa.int64()), pa.array(after, pa.int64()), batch.column("_links")],
-                                  [*names, "lines_in", "lines_out", "line_links"])
+                                  [*names, "lines_in", "lines_out", "lines_near"])
 
     # Texts that lose no line are not shuffled: the bitmap shows which rows cannot be in ``gone``.
     losing = spark.sparkContext.broadcast(bitmap(gone.select(F.xxhash64("_row").alias("h")), "h"))

@@ -43,7 +43,7 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the lines that an earlier line of the table matches."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", "lines_in", "lines_out", "line_links", F.sha2("text", 256).alias("text_sha256"),
+    return lines.dedup_lines(docs).select("doc_id", "lines_in", "lines_out", "lines_near", F.sha2("text", 256).alias("text_sha256"),
                                           F.length("text").cast("long").alias("n_chars"))
 
 

@@ -59,23 +59,54 @@ def test_bpe_is_the_merges_and_round_trips(docs, empty):
 
 def test_line_dedup_is_brute_force(docs, empty):
     order = sorted(rows(), key=lambda r: (r[0] is None, r[0] or 0))
-    seen, want, links = [], [], 0
+    seen, want, near = [], [], 0
     for i, text, _ in order:
         kept = []
         for line in [] if text is None else text.split("\n"):
             s = frozenset(word_list(line))
             if not s or not any(100 * len(s & t) >= 80 * len(s | t) for t in seen):
                 kept.append(line)
+            elif s not in seen:
+                near += 1
             if s:
                 seen.append(s)
         want.append((i, None if text is None else "\n".join(kept)))
     got = lines.dedup_lines(docs).collect()
     assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(want)
-    assert all(r["lines_in"] >= r["lines_out"] for r in got) and sum(r["line_links"] for r in got) > 0
+    assert all(r["lines_in"] >= r["lines_out"] for r in got) and sum(r["lines_near"] for r in got) == near > 0
     assert {"source", "n_tokens"} <= set(got[0].asDict())
     assert lines.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_lines_of_large_families(spark, tmp_path, percent):
+    """Families whose earliest member does not match all others, with rare words coming and going."""
+    rng = random.Random(percent)
+    common_words, out = [f"w{i}" for i in range(40)], []
+    for family in range(6):
+        base = rng.sample(common_words, 14) + [f"rare{family}x{j}" for j in range(4)]
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = rng.choice(common_words + [f"odd{rng.randrange(200)}"])
+            out.append(" ".join(words[: rng.randint(14, 18)]))
+    out += [" ".join(rng.sample(common_words, rng.randint(1, 6))) for _ in range(200)]
+    rng.shuffle(out)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, "\n".join(out[i * 4 : i * 4 + 4])) for i in range(140)], "doc_id long, text string").repartition(3).write.parquet(path)
+    seen, want = [], {}
+    for i in range(140):
+        kept = []
+        for line in out[i * 4 : i * 4 + 4]:
+            s = frozenset(line.split())
+            if not any(100 * len(s & t) >= percent * len(s | t) for t in seen):
+                kept.append(line)
+            seen.append(s)
+        want[i] = "\n".join(kept)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.read.parquet(path), percent).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates_are_brute_force(docs, empty, width):
     sets = [(i, shingles(t, width)) for i, t, _ in rows() if i is not None]
