@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from stockloom.session import small_side
+
 from .common import bitmap, column, hash_words, may_hold, mix, parts, slices, stored
 
 THRESHOLD = 80
@@ -150,10 +152,13 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
     lines = stored(docs.select("_id", "_row", text).mapInArrow(sets, shape), "lines")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line")
     facts = F.struct(place.alias("place"), "n", "bits", "prefix", "lead")
-    firsts = stored(lines.groupBy("k1", "k2").agg(F.min(facts).alias("f"))
-                    .select("k1", "k2", "f.place", "f.place._row", "f.place.line", "f.n", "f.bits", "f.prefix", "f.lead"), "firsts")
+    earliest = lines.groupBy("k1", "k2").agg(F.min(facts).alias("f")).select("k1", "k2", "f.place", "f.n", "f.bits", "f.prefix", "f.lead")
+    # One long stands for a class and for its place: it grows along the range sort.
+    by = [F.col(f"place.{c}") for c in ("none", "_id", "_row", "line")]
+    firsts = stored(earliest.repartitionByRange(parts(spark), *by).sortWithinPartitions(*by).withColumn("seq", F.monotonically_increasing_id())
+                    .select("seq", "k1", "k2", "place._row", "place.line", "n", "bits", "prefix", "lead"), "firsts")
     large = firsts.where(F.col("n") >= least)
-    pair = [F.col("b._row").alias("row_b"), F.col("b.line").alias("line_b"), F.col("a._row").alias("row_a"), F.col("a.line").alias("line_a")]
+    pair = [F.col("b.seq").alias("seq_b"), F.col("a.seq").alias("seq_a")]
 
     def alike(na: str, nb: str) -> str:
         """Length and parity: what two sets at the threshold cannot fail."""
@@ -161,42 +166,44 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
                 f" and {100 + percent} * bit_count(a.bits ^ b.bits) <= {100 - percent} * ({na} + {nb})")
 
     # Each class meets the earliest one that shares two of its three rarest words: three pairs at most.
-    keyed = large.select(F.explode("lead").alias("key"), "place", "n", "bits")
-    leaders = keyed.groupBy("key").agg(F.min(F.struct("place", "n", "bits")).alias("f"), F.count(F.lit(1)).alias("many")) \
-        .where("many > 1").select("key", "f.place", "f.place._row", "f.place.line", "f.n", "f.bits")
-    led = stored(leaders.alias("a").join(keyed.select("key", "place", "place._row", "place.line", "n", "bits").alias("b"), F.col("a.key") == F.col("b.key"))
-                 .where("a.place < b.place").where(alike("a.n", "b.n")).select(*pair).distinct(), "line-led")
-    with_leader = stored(led.select(F.col("row_b").alias("_row"), F.col("line_b").alias("line")).distinct(), "line-with-leader")
-
-    def postings(of: DataFrame) -> DataFrame:
+    keyed = large.select(F.explode("lead").alias("key"), "seq", "n", "bits")
+    leaders = keyed.groupBy("key").agg(F.min("seq").alias("seq"), F.min_by("n", "seq").alias("n"), F.min_by("bits", "seq").alias("bits"), F.max("seq").alias("last")) \
+        .where("seq < last").drop("last")
+    led = stored(leaders.alias("a").join(keyed.alias("b"), F.col("a.key") == F.col("b.key"))
+                 .where("a.seq < b.seq").where(alike("a.n", "b.n")).select(*pair).distinct(), "line-led")
+    with_leader = stored(led.select(F.col("seq_b").alias("seq")).distinct(), "line-with-leader")
+
+    def postings(of: DataFrame, *more: str) -> DataFrame:
         # One long for the size and the place in the order of words keeps a posting small.
-        return of.select(F.posexplode("prefix").alias("pos", "token"), "place", "_row", "line", F.expr("(cast(n as long) << 32)").alias("np"), "bits") \
-            .withColumn("np", F.expr("np | pos")).drop("pos")
+        return of.select(F.posexplode("prefix").alias("pos", "token"), "seq", "n", "bits", *more) \
+            .select("token", "seq", F.expr("(cast(n as long) << 32) | pos").alias("np"), "bits", *more)
 
-    def candidates(later: DataFrame) -> DataFrame:
-        """Pairs of every class of ``later`` with the earlier classes that no filter rules out."""
+    def candidates(earlier: DataFrame, later: DataFrame, more: str = "true") -> DataFrame:
+        """Pairs of the classes of ``later`` with the earlier classes that no filter rules out."""
         na, nb, at_a, at_b = "(a.np >> 32)", "(b.np >> 32)", "(a.np & 4294967295L)", "(b.np & 4294967295L)"
-        return (postings(large).alias("a").join(postings(later).alias("b"), (F.col("a.token") == F.col("b.token")) & F.expr("a.place < b.place")
+        return (earlier.alias("a").join(later.alias("b"), (F.col("a.token") == F.col("b.token")) & F.expr(f"a.seq < b.seq and {more}")
                 & F.expr(alike(na, nb)) & F.expr(f"{100 + percent} * least({na} - {at_a}, {nb} - {at_b}) >= {percent} * ({na} + {nb})"))
                 .select(*pair).distinct())
 
-    key = ["_row", "line"]
-    fresh = candidates(large.join(with_leader, key, "left_anti"))
-    matched = _verify(docs, stored(led.unionByName(fresh), "line-pairs"), firsts, order, percent, text)
-    refuted = stored(with_leader.join(matched, key, "left_anti"), "line-refuted")
+    marked = large.join(with_leader.withColumn("open", F.lit(False)), "seq", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    # Both sides read one shuffle: the mark is tested with a column of the other side, or Spark would
+    # filter one side before it and shuffle twice.
+    post = postings(marked, "open").repartition(parts(spark), "token")
+    fresh = candidates(post, post, "(b.open or a.seq < 0)")
+    found = _verify(docs, stored(led.unionByName(fresh), "line-pairs"), firsts, order, percent, text)
+    refuted = stored(with_leader.join(found, "seq", "left_anti"), "line-refuted")
     if not refuted.isEmpty():
-        again = candidates(large.join(refuted, key, "left_semi"))
-        tested = led.select("row_b", "line_b", "row_a", "line_a")
-        rest_ = stored(again.join(tested, ["row_b", "line_b", "row_a", "line_a"], "left_anti"), "line-pairs")
-        matched = stored(matched.unionByName(_verify(docs, rest_, firsts, order, percent, text)), "line-matched")
-    return lines, firsts, matched
+        later = postings(large.join(refuted, "seq", "left_semi"))
+        earlier = postings(large).join(small_side(later.select("token").distinct()), "token", "left_semi")
+        again = candidates(earlier, later).join(led, ["seq_b", "seq_a"], "left_anti")
+        found = found.unionByName(_verify(docs, stored(again, "line-pairs"), firsts, order, percent, text))
+    return lines, firsts, stored(firsts.join(found, "seq", "left_semi").select("_row", "line"), "line-matched")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, order, percent: int, text: str) -> DataFrame:
-    """The later lines (_row, line) of the pairs that reach the threshold on their full sets."""
+    """The later class (seq) of each pair (seq_b, seq_a) that reaches the threshold on the full sets."""
     spark = docs.sparkSession
-    wanted = stored(pairs.select(F.col("row_a").alias("_row"), F.col("line_a").alias("line")).union(pairs.select("row_b", "line_b")).distinct()
-                    .join(firsts.select("_row", "line", "k1"), ["_row", "line"]), "line-wanted")
+    wanted = stored(firsts.select("seq", "_row", "line", "k1").join(pairs.select(F.col("seq_a").alias("seq")).union(pairs.select("seq_b")).distinct(), "seq"), "line-wanted")
     rows_wanted = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("_row").alias("h")), "h"))
     lines_wanted = spark.sparkContext.broadcast(bitmap(wanted, "k1"))
 
@@ -219,18 +226,18 @@ def _verify(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, order, percent
 
     # The bitmaps spare a shuffle of the texts; what they let through by chance is dropped by the joins.
     whole = docs.select("_row", F.xxhash64("_row").alias("_h"), text).mapInArrow(full, "_row long, line int, words binary")
-    whole = stored(whole.join(wanted.select("_row", "line"), ["_row", "line"], "left_semi"), "line-words")
-    left, right = (whole.select(F.col("_row").alias(f"row_{x}"), F.col("line").alias(f"line_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
+    whole = stored(whole.join(wanted.select("seq", "_row", "line"), ["_row", "line"]).select("seq", "words"), "line-words")
+    left, right = (whole.select(F.col("seq").alias(f"seq_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
 
     def verify(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 rows = batch.slice(i, 4096)
                 shared, total = _overlaps(rows.column("words_a"), rows.column("words_b"))
-                yield rows.select(["_row", "line"]).filter(pa.array((100 + percent) * shared >= percent * total))
+                yield rows.select(["seq"]).filter(pa.array((100 + percent) * shared >= percent * total))
 
-    both = pairs.join(left, ["row_a", "line_a"]).join(right, ["row_b", "line_b"])
-    sure = both.select(F.col("row_b").alias("_row"), F.col("line_b").alias("line"), "words_a", "words_b").mapInArrow(verify, "_row long, line int")
+    both = pairs.join(left, "seq_a").join(right, "seq_b")
+    sure = both.select(F.col("seq_b").alias("seq"), "words_a", "words_b").mapInArrow(verify, "seq long")
     return stored(sure.distinct(), "line-sure")
 
 
