@@ -7,10 +7,10 @@ words and are pruned by length, by position and by parity bitmaps (the bits in w
 bitmaps differ bound the symmetric difference from below), none of which loses a match.
 Survivors are verified on their full sets.  A line goes if an earlier line matches it.
 
-One earlier match is enough, so not all pairs of a family of near copies are looked at.  Classes
-that share two of their three rarest words first meet the earliest of them alone; only classes
-without such a leader, and then those that their leaders turned out not to match, go through the
-prefix join.  Every class ends with a verified earlier match or with all its candidates refuted.
+One earlier match is enough, so the pairs of a family of near copies are not all verified, nor
+written.  Of all earlier classes that pass the filters each class first keeps the one whose
+bitmap agrees best; only classes that this one turns out not to match get all their candidates
+verified.  Every class ends with a verified earlier match or with all its candidates refuted.
 """
 
 from __future__ import annotations
@@ -138,64 +138,48 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
                 at_word = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(begin, size)
                 token = (words[at_word] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(token))
-                able = n >= max(3, least)
-                many = np.flatnonzero(able)
-                w = [words[begin[many] + i] for i in range(3)]
-                keys = np.stack([mix(w[i] * _U(0x9E3779B97F4A7C15) + w[j]) for i, j in ((0, 1), (0, 2), (1, 2))], 1) if len(many) else np.zeros((0, 3), np.uint64)
-                lead = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(able, 3, 0)))), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.record_batch([batch.column("_id").take(pa.array(i + rows[has])), pa.array(ids[i:j][rows[has]]), pa.array(number[has].astype(np.int32)), pa.array(k1.view(np.int64)),
-                                       pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), prefix, lead],
-                                      ["_id", "_row", "line", "k1", "k2", "n", "bits", "prefix", "lead"])
+                                       pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), prefix],
+                                      ["_id", "_row", "line", "k1", "k2", "n", "bits", "prefix"])
 
-    rest = StructType.fromDDL("_row long, line int, k1 long, k2 long, n int, bits long, prefix array<int>, lead array<long>")
+    rest = StructType.fromDDL("_row long, line int, k1 long, k2 long, n int, bits long, prefix array<int>")
     shape = StructType([docs.schema["_id"], *rest])
     lines = stored(docs.select("_id", "_row", text).mapInArrow(sets, shape), "lines")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line")
-    facts = F.struct(place.alias("place"), "n", "bits", "prefix", "lead")
-    earliest = lines.groupBy("k1", "k2").agg(F.min(facts).alias("f")).select("k1", "k2", "f.place", "f.n", "f.bits", "f.prefix", "f.lead")
+    facts = F.struct(place.alias("place"), "n", "bits", "prefix")
+    earliest = lines.groupBy("k1", "k2").agg(F.min(facts).alias("f")).select("k1", "k2", "f.place", "f.n", "f.bits", "f.prefix")
     # One long stands for a class and for its place: it grows along the range sort.
     by = [F.col(f"place.{c}") for c in ("none", "_id", "_row", "line")]
     firsts = stored(earliest.repartitionByRange(parts(spark), *by).sortWithinPartitions(*by).withColumn("seq", F.monotonically_increasing_id())
-                    .select("seq", "k1", "k2", "place._row", "place.line", "n", "bits", "prefix", "lead"), "firsts")
+                    .select("seq", "k1", "k2", "place._row", "place.line", "n", "bits", "prefix"), "firsts")
     large = firsts.where(F.col("n") >= least)
-    pair = [F.col("b.seq").alias("seq_b"), F.col("a.seq").alias("seq_a")]
-
-    def alike(na: str, nb: str) -> str:
-        """Length and parity: what two sets at the threshold cannot fail."""
-        return (f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})"
-                f" and {100 + percent} * bit_count(a.bits ^ b.bits) <= {100 - percent} * ({na} + {nb})")
-
-    # Each class meets the earliest one that shares two of its three rarest words: three pairs at most.
-    keyed = large.select(F.explode("lead").alias("key"), "seq", "n", "bits")
-    leaders = keyed.groupBy("key").agg(F.min("seq").alias("seq"), F.min_by("n", "seq").alias("n"), F.min_by("bits", "seq").alias("bits"), F.max("seq").alias("last")) \
-        .where("seq < last").drop("last")
-    led = stored(leaders.alias("a").join(keyed.alias("b"), F.col("a.key") == F.col("b.key"))
-                 .where("a.seq < b.seq").where(alike("a.n", "b.n")).select(*pair).distinct(), "line-led")
-    with_leader = stored(led.select(F.col("seq_b").alias("seq")).distinct(), "line-with-leader")
-
-    def postings(of: DataFrame, *more: str) -> DataFrame:
+
+    def postings(of: DataFrame) -> DataFrame:
         # One long for the size and the place in the order of words keeps a posting small.
-        return of.select(F.posexplode("prefix").alias("pos", "token"), "seq", "n", "bits", *more) \
-            .select("token", "seq", F.expr("(cast(n as long) << 32) | pos").alias("np"), "bits", *more)
-
-    def candidates(earlier: DataFrame, later: DataFrame, more: str = "true") -> DataFrame:
-        """Pairs of the classes of ``later`` with the earlier classes that no filter rules out."""
-        na, nb, at_a, at_b = "(a.np >> 32)", "(b.np >> 32)", "(a.np & 4294967295L)", "(b.np & 4294967295L)"
-        return (earlier.alias("a").join(later.alias("b"), (F.col("a.token") == F.col("b.token")) & F.expr(f"a.seq < b.seq and {more}")
-                & F.expr(alike(na, nb)) & F.expr(f"{100 + percent} * least({na} - {at_a}, {nb} - {at_b}) >= {percent} * ({na} + {nb})"))
-                .select(*pair).distinct())
-
-    marked = large.join(with_leader.withColumn("open", F.lit(False)), "seq", "left").withColumn("open", F.coalesce("open", F.lit(True)))
-    # Both sides read one shuffle: the mark is tested with a column of the other side, or Spark would
-    # filter one side before it and shuffle twice.
-    post = postings(marked, "open").repartition(parts(spark), "token")
-    fresh = candidates(post, post, "(b.open or a.seq < 0)")
-    found = _verify(docs, stored(led.unionByName(fresh), "line-pairs"), firsts, order, percent, text)
-    refuted = stored(with_leader.join(found, "seq", "left_anti"), "line-refuted")
+        return of.select(F.posexplode("prefix").alias("pos", "token"), "seq", "n", "bits") \
+            .select("token", "seq", F.expr("(cast(n as long) << 32) | pos").alias("np"), "bits")
+
+    na, nb, at_a, at_b = "(a.np >> 32)", "(b.np >> 32)", "(a.np & 4294967295L)", "(b.np & 4294967295L)"
+    apart = "bit_count(a.bits ^ b.bits)"
+
+    def candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
+        """(seq_a, seq_b, apart) of the classes of ``later`` with the earlier ones that length, parity and
+        the position of a shared word do not rule out."""
+        return earlier.alias("a").join(
+            later.alias("b"), (F.col("a.token") == F.col("b.token")) & F.expr("a.seq < b.seq")
+            & F.expr(f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})")
+            & F.expr(f"{100 + percent} * {apart} <= {100 - percent} * ({na} + {nb})")
+            & F.expr(f"{100 + percent} * least({na} - {at_a}, {nb} - {at_b}) >= {percent} * ({na} + {nb})")) \
+            .select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), F.expr(f"{apart} / ({na} + {nb})").alias("apart"))
+
+    post = postings(large).repartition(parts(spark), "token")
+    best = stored(candidates(post, post).groupBy("seq_b").agg(F.min_by("seq_a", "apart").alias("seq_a")), "line-best")
+    found = _verify(docs, best, firsts, order, percent, text)
+    refuted = stored(best.join(found.withColumnRenamed("seq", "seq_b"), "seq_b", "left_anti"), "line-refuted")
     if not refuted.isEmpty():
-        later = postings(large.join(refuted, "seq", "left_semi"))
+        later = postings(large.join(refuted.select(F.col("seq_b").alias("seq")), "seq", "left_semi"))
         earlier = postings(large).join(small_side(later.select("token").distinct()), "token", "left_semi")
-        again = candidates(earlier, later).join(led, ["seq_b", "seq_a"], "left_anti")
+        again = candidates(earlier, later).select("seq_a", "seq_b").distinct().join(refuted, ["seq_a", "seq_b"], "left_anti")
         found = found.unionByName(_verify(docs, stored(again, "line-pairs"), firsts, order, percent, text))
     return lines, firsts, stored(firsts.join(found, "seq", "left_semi").select("_row", "line"), "line-matched")
 
