@@ -100,47 +100,61 @@ def _arcs(ch: str, before: str) -> list[tuple[str, float]]:
 
 
 def restore(token: str, costs: np.ndarray) -> str:
-    """The most likely lower-case text behind ``token``; a separator that stays becomes a blank."""
-    chars = token.lower()
-    beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    before = ""
-    for ch in [*chars, " "]:
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (p, q), (cost, made) in beams.items():
-            for letter, price in _arcs(ch, before) if ch != " " or before != "" else [(" ", 0.0)]:
-                now, a, b = cost + price, p, q
-                if letter:
-                    shown = " " if letter in SEPARATORS else letter
-                    for byte in shown.encode():
-                        c = int(_CLASS[byte])
-                        now += float(costs[a, b, c])
-                        a, b = b, c
-                    text = made + shown
-                else:
-                    text = made
-                old = step.get((a, b))
+    """The most likely lower-case text behind ``token``; a separator that stays becomes a blank.
+
+    The decode is exact: a state is the pair of classes shown last, at most 4,096 of them, and
+    all are kept.  A path is a chain of shown characters that paths share.  Wherever one state
+    is left, what leads to it is settled and written out.
+    """
+    price_of = memoryview(costs.reshape(-1))
+    here: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    settled, before = [], ""
+    for ch in [*token.lower(), " "]:
+        step: dict[int, tuple[float, tuple | None]] = {}
+        arcs = [(" " if letter in SEPARATORS else letter, [int(_CLASS[byte]) for byte in (" " if letter in SEPARATORS else letter).encode()], price)
+                if letter else ("", (), price) for letter, price in _arcs(ch, before)]
+        for state, (cost, path) in here.items():
+            for shown, classes, price in arcs:
+                now, to = cost + price, state
+                for c in classes:
+                    now += price_of[to << 6 | c]
+                    to = (to << 6 | c) & 4095
+                old = step.get(to)
                 if old is None or now < old[0]:
-                    step[(a, b)] = (now, text)
-        if len(step) > 64:
-            step = dict(sorted(step.items(), key=lambda kv: kv[1][0])[:64])
-        beams, before = step, ch
-    return min(beams.values())[1].strip()
+                    step[to] = (now, (path, shown) if shown else path)
+        if len(step) == 1:
+            (to, (_, path)), = step.items()
+            settled.append(_written(path))
+            step[to] = (0.0, None)
+        here, before = step, ch
+    _, path = min(here.values(), key=lambda x: x[0])
+    return ("".join(settled) + _written(path)).strip()
+
+
+def _written(path: tuple | None) -> str:
+    out = []
+    while path is not None:
+        path, shown = path
+        out.append(shown)
+    return "".join(reversed(out))
 
 
 class Restorer:
-    """Restores whole texts; remembers the hidden words of a task, up to a bound."""
+    """Restores whole texts; remembers the hidden words of a task, up to ``room`` characters."""
 
-    def __init__(self, costs: np.ndarray, room: int = 50_000):
-        self.costs, self.room, self.known = costs, room, {}
+    def __init__(self, costs: np.ndarray, room: int = 4_000_000):
+        self.costs, self.room, self.known, self.held = costs, room, {}, 0
 
     def _one(self, match: re.Match) -> str:
         token = match.group(0)
         got = self.known.get(token)
         if got is None:
-            if len(self.known) >= self.room:
+            got = restore(token, self.costs)
+            self.held += len(token) + len(got)
+            if self.held > self.room:
                 self.known.clear()
-            # Long runs are restored piece by piece: the model looks back two characters only.
-            got = self.known[token] = "".join(restore(token[i : i + 64], self.costs) for i in range(0, len(token), 64))
+                self.held = len(token) + len(got)
+            self.known[token] = got
         return got
 
     def words(self, text: str) -> tuple[set[str], set[str]]:

@@ -1,6 +1,7 @@
 """Nearest neighbours, quality, toxicity, licences, chat formatting and the pipeline."""
 
 import collections
+import itertools
 import json
 import math
 import re
@@ -105,6 +106,35 @@ def test_restored_words(spark):
     assert made.words("") == (set(), set())
 
 
+def _cheapest(token: str, costs: np.ndarray) -> str:
+    """The text of the cheapest of all paths through the lattice, each one priced on its own."""
+    chars = [*token.lower(), " "]
+    found = []
+    for path in itertools.product(*(toxicity._arcs(ch, before) for ch, before in zip(chars, ["", *chars]))):
+        shown = "".join(" " if letter in toxicity.SEPARATORS and letter else letter for letter, _ in path)
+        classes = [0, 0, *toxicity._CLASS[list(shown.encode())].tolist()]
+        cost = sum(price for _, price in path) + sum(float(costs[t]) for t in zip(classes, classes[1:], classes[2:]))
+        found.append((cost, shown.strip()))
+    return min(found)[1]
+
+
+def test_the_decode_is_the_cheapest_path():
+    rng = np.random.default_rng(3)
+    costs = rng.gamma(2.0, 1.0, (64, 64, 64)).astype(np.float32)
+    for _ in range(150):
+        token = "".join(rng.choice(list("ab1!0.-ll€"), rng.integers(1, 8)))
+        assert toxicity.restore(token, costs) == _cheapest(token, costs), token
+    assert toxicity.restore("", costs) == ""
+
+
+def test_a_long_run_is_decoded_as_one(spark):
+    costs = toxicity.trigram_costs(spark.read.parquet(f"{SF}/documents.parquet"))
+    for at in range(50, 70):  # no place in a run is a seam
+        assert "idiot" in toxicity.restore("x" * at + ".1d10t.", costs).split()
+    whole = toxicity.restore("1d10t-" * 40_000, costs)
+    assert whole.count("idiot") == 40_000
+
+
 def test_toxicity_is_learnt_and_held_out_rows_are_not_read(spark, docs, empty):
     rng = np.random.default_rng(3)
     calm = ["river", "stone", "window", "garden", "letter", "bridge", "summer", "market"]
