@@ -22,6 +22,8 @@ from .common import column, hash_words, mix, slices, word_ends
 
 FEATURES = 1 << 17
 KEEP_FROM = 0.5
+#: A word is new if it is not among so many words before it, so long texts are judged like short ones.
+WINDOW = 200
 
 # Frequent function words.
 FUNCTION_WORDS = ("the of and to in is that for it was on are as with be by this from or an at "
@@ -52,6 +54,14 @@ def _function_hashes() -> np.ndarray:
     return _known
 
 
+def _new(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Whether each value is not among the WINDOW values before it in its row; sorted by row."""
+    order = np.lexsort((values, rows))  # stable: equal values of a row by position
+    new = np.ones(len(values), bool)
+    new[1:] = (values[order][1:] != values[order][:-1]) | (rows[order][1:] != rows[order][:-1]) | (np.diff(order) > WINDOW)
+    return new
+
+
 def _read(data: np.ndarray, at: np.ndarray):
     """Votes (rows x labellers: 1 good, 0 bad, -1 none), word features, and each row's word bounds."""
     starts, words = hash_words(data, at)
@@ -75,9 +85,7 @@ def _read(data: np.ndarray, at: np.ndarray):
     place = np.minimum(np.searchsorted(known, words), len(known) - 1)
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     stop = (last == 46) | (last == 33) | (last == 63)
-    order = np.lexsort((words, rows))
-    new = np.ones(len(words), bool)
-    new[1:] = (words[order][1:] != words[order][:-1]) | (rows[order][1:] != rows[order][:-1])
+    new = _new(words, rows)
     size = np.maximum(n, 1)
     letters = np.maximum(total(_LETTER[data]), 1)
     share = {"symbols": total(_SYMBOL[data]) / size, "capitals": total(_UPPER[data]) / letters, "repeats": total(again, bounds) / size,
@@ -97,7 +105,6 @@ def _read(data: np.ndarray, at: np.ndarray):
     vote("word_length", lambda x: (x > 2.5) & (x < 12), lambda x: (x < 1.5) | (x > 20), 3)
     vote("sentences", lambda x: (x > 0.02) & (x < 0.35), lambda x: (x < 0.003) | (x > 0.6), 30)
     vote("wordless", lambda x: x < 0.05, lambda x: x > 0.2, 3)
-    votes[:, LABELLERS.index("variety")] = np.where(n > 3000, -1, votes[:, LABELLERS.index("variety")])  # long texts repeat words anyway
     capital = _UPPER[data[starts]].astype(np.uint64) if len(starts) else np.zeros(0, np.uint64)
     full = (np.concatenate(([0], np.cumsum(_UPPER[data], dtype=np.int64)))[ends] - np.concatenate(([0], np.cumsum(_UPPER[data], dtype=np.int64)))[starts]) > 1 if len(starts) else capital
     shape = (np.minimum(marked, 3).astype(np.uint64) | capital << _U(2) | again.astype(np.uint64) << _U(3) | np.asarray(full).astype(np.uint64) << _U(4)

@@ -97,6 +97,25 @@ def test_quality_shares_by_definition():
     assert by["repeats"] == 0 and by["symbols"] == 0 and by["variety"] == -1
 
 
+def test_variety_judges_long_texts_like_short_ones():
+    rng = np.random.default_rng(4)
+    k = quality.LABELLERS.index("variety")
+
+    def vote(words: list[str]) -> int:
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        return int(quality._read(data, np.array([0, len(data)]))[0][0, k])
+
+    for n in (100, 3_000, 3_001, 60_000):
+        words = [f"w{x}" for x in rng.zipf(1.3, n) % 5000]
+        last, new = {}, 0
+        for i, word in enumerate(words):  # the definition, word by word
+            new += i - last.get(word, -quality.WINDOW - 1) > quality.WINDOW
+            last[word] = i
+        assert vote(words) == (1 if new / n > 0.35 else 0 if new / n < 0.15 else -1)
+        assert vote([f"w{i % 10}" for i in range(n)]) == 0
+        assert vote([f"w{i % 5000}" for i in range(n)]) == 1
+
+
 def test_restored_words(spark):
     costs = toxicity.trigram_costs(spark.read.parquet(f"{SF}/documents.parquet"))
     made = toxicity.Restorer(costs)
