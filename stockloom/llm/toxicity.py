@@ -241,8 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = TRA
     share = min(1.0, limit / max(1, count))
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     train = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")  # about ``limit`` ids, whatever the input
-    # Copies of one text would make all its words telling: near copies count once for each label.
-    train = stored(_with_look(train, text).dropDuplicates(["_look", "_label"]).drop("_look"), "toxic-train")
+    # Copies of one text would make all its words telling: near copies count once for each label, by the least of them.
+    least = F.min_by(text, F.struct("doc_id", text)).alias(text)
+    train = stored(_with_look(train, text).groupBy("_look", "_label").agg(least).drop("_look"), "toxic-train")
     shared = spark.sparkContext.broadcast(costs)
     blocks = 64
     width = 2 * LEVELS * FEATURES // blocks
