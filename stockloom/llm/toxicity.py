@@ -192,7 +192,7 @@ def text_evidence(words: set[str], weights: dict[int, list[float]], keys: dict[s
     The most specific known feature speaks for a word: a harmless word that begins like a
     telling one is cleared by its own beginning.  ``keys`` remembers it, up to a bound.
     """
-    if len(keys) > 500_000:
+    if len(keys) > 100_000:
         keys.clear()
     count: dict[int, int] = {}
     for word in words:
