@@ -5,7 +5,9 @@ global order, rarest first, by a table of counts of fixed size; two sets of Jacc
 then share a word among the first |x| - ceil(t|x|) + 1 of each.  Classes meet on those prefix
 words and are pruned by length, by position and by parity bitmaps (the bits in which two
 bitmaps differ bound the symmetric difference from below), none of which loses a match.
-Survivors are verified on their full sets.  A line goes if an earlier line matches it.
+What is left only joins classes into clusters, by as few links as connect them, so rows follow
+the classes and not their pairs.  Within a cluster, dealt into blocks if it is large, full sets
+are compared and each class counts the earlier ones that match.  A line goes if one does.
 """
 
 from __future__ import annotations
@@ -16,11 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bitmap, column, hash_words, may_hold, mix, parts, slices, stored
+from .common import bitmap, column, components, hash_words, may_hold, mix, parts, slices, stored
 
 THRESHOLD = 80
 #: Counts that decide the order of words; a word falls into one of these buckets by its hash.
 ORDER_BUCKETS = 1 << 18
+#: Rows of a group on one prefix word up to which all its pairs are made at once, and pairs made at once.
+GROUP, PAIRS = 4096, 1 << 18
+#: Most 64-bit words in a parity bitmap.
+PARITY = 4
+#: Classes and words of one block of a cluster; shared words counted at once.
+BLOCK, BLOCK_WORDS, COLUMNS = 1024, 1 << 18, 2048
 
 _U = np.uint64
 
@@ -82,16 +90,121 @@ def _digests(words: np.ndarray) -> bytes:
     return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
-def _overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(shared words, sum of sizes) of each pair of digest strings: one sort for all pairs."""
-    left, right = a.to_pylist(), b.to_pylist()
-    size = np.array([len(x) // 5 for x in left] + [len(x) // 5 for x in right], np.int64)
-    raw = np.zeros((int(size.sum()), 8), np.uint8)
-    raw[:, :5] = np.frombuffer(b"".join(left + right), np.uint8).reshape(-1, 5)
-    pair = np.concatenate((np.arange(len(left)), np.arange(len(left)))).astype(np.uint64)
-    key = np.sort(raw.reshape(-1).view("<u8") | np.repeat(pair, size) << _U(40))
-    twice = key[1:][key[1:] == key[:-1]] >> _U(40)
-    return np.bincount(twice.astype(np.int64), minlength=len(left)), size[: len(left)] + size[len(left) :]
+def _whole_groups(batches, keys: list[str], rows: int):
+    """(table, starts of its groups): runs of rows sorted by ``keys``, cut only between groups.
+
+    A table holds ``rows`` rows or more, but for the last; a larger group stays in one.
+    """
+    held, count, limit = [], 0, rows
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for key in keys:
+            values = table.column(key).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= limit:
+            table = pa.Table.from_batches(held).combine_chunks()
+            begin = starts(table)
+            cut = int(begin[-1])
+            if cut:
+                yield table.slice(0, cut), begin[:-1]
+            held, count = table.slice(cut).to_batches(), count - cut
+            limit = max(rows, 2 * count)
+    if count:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, starts(table)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of every node to the least of its component in the graph with edges ``a``-``b``."""
+    ids, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = flat[: len(a)], flat[len(a) :]
+    root = np.arange(len(ids))
+    while len(u):
+        u, v = root[u], root[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
+
+
+def _parity_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words in the parity bitmap of a set: one of 64 bits says little of sets of more than 60 words."""
+    return np.where(n <= 32, 1, np.where(n <= 96, 2, PARITY))
+
+
+def _candidates(n: np.ndarray, pos: np.ndarray, bits: list[np.ndarray], starts: np.ndarray, percent: int):
+    """Pairs of indices that connect what length, parity and position leave, within groups sorted by ``n``."""
+    left, width = n - pos, _parity_words(n)
+    # A wider bitmap folds to a narrower one.
+    folds = {1: [bits[0] ^ bits[1] ^ bits[2] ^ bits[3]], 2: [bits[0] ^ bits[2], bits[1] ^ bits[3]], 4: bits}
+
+    def alike(x, y):
+        total = n[x] + n[y]
+        most = (100 - percent) * total // (100 + percent)
+        ok = (100 + percent) * np.minimum(left[x], left[y]) >= percent * total
+        for words in (1, 2, 4):
+            at = np.flatnonzero(ok)
+            at = at[np.minimum(width[x[at]], width[y[at]]) >= words]
+            ok[at] = sum(np.bitwise_count(b[x[at]] ^ b[y[at]]).astype(np.int64) for b in folds[words]) <= most[at]
+        return ok
+
+    size = np.diff(np.append(starts, len(n)))
+    group = np.repeat(np.arange(len(starts)), size)
+    # All pairs of small groups at once: each row with those after it up to the greatest length that fits.
+    reach = np.searchsorted((group << 40) | n, (group << 40) | (100 * n // percent), "right")
+    mates = np.where(size[group] <= GROUP, reach - np.arange(len(n)) - 1, 0)
+    ends = np.cumsum(mates)
+    # No longer set fits, so this many bits may differ at most; what passes is looked at closely.
+    bound = np.minimum((100 - percent) * (n + 100 * n // percent) // (100 + percent), 64).astype(np.uint8)
+    i = 0
+    while i < len(n) and ends[-1] > (done := ends[i - 1] if i else 0):
+        j = max(i + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        times = mates[i:j]
+        y = np.arange(done, ends[j - 1]) + np.repeat(np.arange(i, j) + 1 - ends[i:j] + times, times)
+        near = np.flatnonzero(np.bitwise_count(folds[1][0][y] ^ np.repeat(folds[1][0][i:j], times)) <= np.repeat(bound[i:j], times))
+        x, y = i + np.searchsorted(ends[i:j], done + near, "right"), y[near]
+        good = alike(x, y)
+        yield x[good], y[good]
+        i = j
+    # In a large group a row that is reached already is not compared again.
+    for g in np.flatnonzero(size > GROUP).tolist():
+        rest = np.arange(starts[g], starts[g] + size[g])
+        while len(rest):
+            queue, rest = [int(rest[0])], rest[1:]
+            sizes = n[rest]
+            while queue and len(rest):
+                x = queue.pop()
+                lo, hi = np.searchsorted(sizes, _needed(n[x], percent)), np.searchsorted(sizes, 100 * n[x] // percent, "right")
+                hit = lo + np.flatnonzero(alike(np.full(hi - lo, x), rest[lo:hi]))
+                if len(hit):
+                    yield np.full(len(hit), x), rest[hit]
+                    queue.extend(rest[hit].tolist())
+                    rest, sizes = np.delete(rest, hit), np.delete(sizes, hit)
+
+
+def _shared(words: np.ndarray, member: np.ndarray, members: int) -> np.ndarray:
+    """Words that each two of the members share, from the words and their members."""
+    _, col, uses = np.unique(words, return_inverse=True, return_counts=True)
+    twice = uses > 1
+    keep = twice[col]
+    member, col = member[keep], (np.cumsum(twice) - 1)[col[keep]]
+    out = np.zeros((members, members), np.float32)  # exact up to 2**24 words of a line
+    for c in range(0, int(twice.sum()), COLUMNS):
+        part = (col >= c) & (col < c + COLUMNS)
+        has = np.zeros((members, int(col[part].max()) - c + 1), np.float32)
+        has[member[part], col[part] - c] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
 
 
 def _needed(n, percent: int):
@@ -103,11 +216,12 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
     """(lines, firsts, links) of ``docs`` with columns _row (long), _id and ``text``.
 
     lines: every line with words, its class and place; firsts: the earliest line of each
-    class by (_id null last, _row, line); links: the firsts (_row, line) that an earlier
-    line with another set matches, one row for each such pair.
+    class by (_id null last, _row, line); links: the firsts (_row, line) that earlier classes
+    match, and how many (links); the rows of one line are to be added up.
     """
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_rarity(docs, text))
+    parity = [f"bits{k}" for k in range(PARITY)]
 
     def sets(batches):
         for batch in batches:
@@ -122,7 +236,9 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
                     continue
                 k1 = np.add.reduceat(mix(words), begin)
                 k2 = np.add.reduceat(mix(words ^ _U(0x5851F42D4C957F2D)), begin)
-                bits = np.bitwise_xor.reduceat(_U(1) << (mix(words + _U(7)) & _U(63)), begin)
+                place = mix(words + _U(7))
+                bit, word = _U(1) << (place & _U(63)), (place >> _U(6)) & (np.repeat(_parity_words(n), n) - 1).astype(_U)
+                bits = [pa.array(np.bitwise_xor.reduceat(np.where(word == _U(k), bit, _U(0)), begin).view(np.int64)) for k in range(PARITY)]
                 size = np.where(_needed(n + 1, percent) > n, np.where(_needed(n, percent) >= n, 0, 1), 1)
                 size = size * (n - _needed(n, percent) + 1)
                 ends = np.cumsum(size)
@@ -130,30 +246,39 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
                 token = (words[at_word] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(token))
                 yield pa.record_batch([batch.column("_id").take(pa.array(i + rows[has])), pa.array(ids[i:j][rows[has]]), pa.array(number[has].astype(np.int32)), pa.array(k1.view(np.int64)),
-                                       pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), prefix],
-                                      ["_id", "_row", "line", "k1", "k2", "n", "bits", "prefix"])
+                                       pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)), *bits, prefix],
+                                      ["_id", "_row", "line", "k1", "k2", "n", *parity, "prefix"])
 
-    rest = StructType.fromDDL("_row long, line int, k1 long, k2 long, n int, bits long, prefix array<int>")
+    rest = StructType.fromDDL(f"_row long, line int, k1 long, k2 long, n int, {' long, '.join(parity)} long, prefix array<int>")
     shape = StructType([docs.schema["_id"], *rest])
     lines = stored(docs.select("_id", "_row", text).mapInArrow(sets, shape), "lines")
-    earliest = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line", "n", "bits", "prefix")
-    firsts = stored(lines.groupBy("k1", "k2").agg(F.min(earliest).alias("f")).select("k1", "k2", "f._row", "f.line", "f.n", "f.bits", "f.prefix"), "firsts")
-    # One long for the size, the place in the order of words and the line number keeps a posting small.
-    post = firsts.select(F.posexplode("prefix").alias("pos", "token"), "_row", "line", "n", "bits") \
-        .select("token", "_row", "line", F.expr("(cast(n as long) << 32) | pos").alias("np"), "bits")
-    post = post.repartition(parts(spark), "token")
-    a, b = post.alias("a"), post.alias("b")
-    na, nb, pa_, pb = "(a.np >> 32)", "(b.np >> 32)", "(a.np & 4294967295L)", "(b.np & 4294967295L)"
-    # Each pair once, `a` the smaller set: it needs a shorter prefix.  Then length, parity, and position at the first shared word.
-    near = (a.join(b, (F.col("a.token") == F.col("b.token"))
-                   & F.expr(f"({na} < {nb} or ({na} = {nb} and (a._row < b._row or (a._row = b._row and a.line < b.line))))")
-                   & F.expr(f"100 * {na} >= {percent} * {nb}")
-                   & F.expr(f"{100 + percent} * bit_count(a.bits ^ b.bits) <= {100 - percent} * ({na} + {nb})")
-                   & F.expr(f"{100 + percent} * least({na} - {pa_}, {nb} - {pb}) >= {percent} * ({na} + {nb})"))
-            .select(F.col("b._row").alias("row_b"), F.col("b.line").alias("line_b"), F.col("a._row").alias("row_a"), F.col("a.line").alias("line_a")))
-    pairs = stored(near.distinct(), "line-pairs")
-    wanted = stored(pairs.select(F.col("row_a").alias("_row"), F.col("line_a").alias("line")).union(pairs.select("row_b", "line_b")).distinct()
-                    .join(firsts.select("_row", "line", "k1"), ["_row", "line"]), "line-wanted")
+    earliest = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line", "n", *parity, "prefix")
+    firsts = stored(lines.groupBy("k1", "k2").agg(F.min(earliest).alias("f")).select("k1", "k2", "f._row", "f.line", "f.n", *[f"f.{c}" for c in parity], "f.prefix"), "firsts")
+    # One long for the size and the place in the order of words keeps a posting small.  A class goes by
+    # k1 alone: two that share it by chance are in one cluster, which loses nothing.
+    post = firsts.select(F.posexplode("prefix").alias("pos", "token"), "k1", "n", *parity) \
+        .select("token", "k1", F.expr("(cast(n as long) << 32) | pos").alias("np"), *parity)
+
+    def connect(batches):
+        for table, starts in _whole_groups(batches, ["token"], 1 << 17):
+            many = np.diff(np.append(starts, table.num_rows)) > 1
+            if not many.any():
+                continue
+            rows = np.repeat(many, np.diff(np.append(starts, table.num_rows)))
+            token, k1, place, *bits = (table.column(c).to_numpy()[rows] for c in ("token", "k1", "np", *parity))
+            begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            a, b, found = k1[:0], k1[:0], []
+            for x, y in _candidates(place >> 32, place & 0xFFFFFFFF, [w.view(np.uint64) for w in bits], begin, percent):
+                found.append((k1[x], k1[y]))
+                if sum(len(side) for side, _ in found) > PAIRS:
+                    a, b = _forest(*(np.concatenate(side) for side in zip((a, b), *found)))
+                    found = []
+            a, b = _forest(*(np.concatenate(side) for side in zip((a, b), *found)))
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    near = post.repartition(parts(spark), "token").sortWithinPartitions("token", "np").mapInArrow(connect, "a long, b long")
+    member = components(near).select(F.col("node").alias("k1"), F.col("component").alias("cluster"))
+    wanted = stored(firsts.select("_row", "line", "k1", "n").join(member, "k1"), "line-wanted")
     rows_wanted = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("_row").alias("h")), "h"))
     lines_wanted = spark.sparkContext.broadcast(bitmap(wanted, "k1"))
 
@@ -178,24 +303,37 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
     shape = StructType([docs.schema["_id"], *StructType.fromDDL("_row long, line int, words binary")])
     # The bitmaps spare a shuffle of the texts; what they let through by chance is dropped by the joins.
     whole = docs.select("_id", "_row", F.xxhash64("_row").alias("_h"), text).mapInArrow(full, shape)
-    whole = whole.join(wanted.select("_row", "line"), ["_row", "line"], "left_semi").select("_row", "line", F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line").alias("place"), "words") \
-        .repartition(parts(spark), "_row", "line")
-    left = whole.select(F.col("_row").alias("row_a"), F.col("line").alias("line_a"), F.col("place").alias("place_a"), F.col("words").alias("words_a"))
-    right = whole.select(F.col("_row").alias("row_b"), F.col("line").alias("line_b"), F.col("place").alias("place_b"), F.col("words").alias("words_b"))
+    blocks = wanted.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = wanted.join(blocks, "cluster", "left").select("_row", "line", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks")) \
+        .withColumn("side", F.pmod(F.xxhash64("_row", "line"), "blocks").cast("int"))
+    # Each two blocks of a cluster are one group, its lines in order.
+    whole = whole.join(dealt, ["_row", "line"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "_id", "_row", "line", "words") \
+        .repartition(parts(spark), "cluster", "i", "j") \
+        .sortWithinPartitions("cluster", "i", "j", F.col("_id").asc_nulls_last(), "_row", "line") \
+        .select("cluster", "i", "j", "side", "_row", "line", "words")
 
-    def verify(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                rows = batch.slice(i, 4096)
-                shared, total = _overlaps(rows.column("words_a"), rows.column("words_b"))
-                yield rows.select(["_row", "line"]).filter(pa.array((100 + percent) * shared >= percent * total))
-
-    both = pairs.join(left, ["row_a", "line_a"]).join(right, ["row_b", "line_b"])
-    later = F.col("place_a") > F.col("place_b")
-    sure = both.select(F.when(later, F.col("row_a")).otherwise(F.col("row_b")).alias("_row"),
-                       F.when(later, F.col("line_a")).otherwise(F.col("line_b")).alias("line"), "words_a", "words_b") \
-        .mapInArrow(verify, "_row long, line int")
-    return lines, firsts, stored(sure, "line-links")
+    def count(batches):
+        for table, starts in _whole_groups(batches, ["cluster", "i", "j"], 2048):
+            words = table.column("words").to_pylist()
+            size = np.array([len(x) // 5 for x in words], np.int64)
+            raw = np.zeros((int(size.sum()), 8), np.uint8)
+            raw[:, :5] = np.frombuffer(b"".join(words), np.uint8).reshape(-1, 5)
+            digest, at = raw.reshape(-1).view("<u8"), np.concatenate(([0], np.cumsum(size)))
+            owner = np.repeat(np.arange(len(words)), size)
+            i, j, side = (table.column(c).to_numpy() for c in ("i", "j", "side"))
+            links = np.zeros(len(words), np.int64)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(words)]):
+                shared = _shared(digest[at[s] : at[e]], owner[at[s] : at[e]] - s, e - s)
+                good = (100 + percent) * shared >= percent * (size[s:e, None] + size[s:e])
+                if i[s] != j[s]:
+                    good &= side[s:e, None] != side[s:e]
+                links[s:e] = np.triu(good, 1).sum(axis=0)
+            some = pa.array(np.flatnonzero(links))
+            yield pa.record_batch([table.column("_row").combine_chunks().take(some), table.column("line").combine_chunks().take(some), pa.array(links).take(some)],
+                                  ["_row", "line", "links"])
+
+    return lines, firsts, stored(whole.mapInArrow(count, "_row long, line int, links long"), "line-links")
 
 
 def dedup_lines(docs: DataFrame, percent: int = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -217,7 +355,7 @@ def dedup_lines(docs: DataFrame, percent: int = THRESHOLD, text: str = "text", d
     repeats = lines.select("_row", "line", "k1", "k2").join(
         firsts.select("k1", "k2", F.col("_row").alias("first_row"), F.col("line").alias("first_line")), ["k1", "k2"]) \
         .where("_row <> first_row or line <> first_line").select("_row", "line", F.lit(0).alias("links"))
-    found = links.groupBy("_row", "line").agg(F.count("*").alias("links"))
+    found = links.groupBy("_row", "line").agg(F.sum("links").alias("links"))
     gone = stored(repeats.union(found).groupBy("_row").agg(F.collect_list("line").alias("_gone"), F.sum("links").alias("_links")), "line-gone")
 
     names = base.drop("_row", "_id").columns

@@ -105,6 +105,39 @@ def test_lines_of_large_families(spark, tmp_path, percent):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_links_of_a_family_follow_its_lines(spark, tmp_path, monkeypatch, block):
+    """200 lines that nearly all match each other: no row for each pair, but every pair counted once."""
+    monkeypatch.setattr(lines, "BLOCK", block)
+    rng = random.Random(block)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:i] + [f"odd{k}"] + base[i + 1 :]) if k % 50 else " ".join(base[: 90 + k // 10]) for k in range(200) for i in [rng.randrange(120)]]
+    sets = [frozenset(t.split()) for t in texts]
+    want = [sum(s != t and 100 * len(s & t) >= 80 * len(s | t) for t in sets[:k]) for k, s in enumerate(sets)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert [r["line_links"] for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == want
+    blocks = -(-200 // block)
+    _, _, links = lines.matches(docs.selectExpr("doc_id as _row", "doc_id as _id", "text"))
+    assert links.count() <= 200 * blocks < sum(want) and links.groupBy().sum("links").first()[0] == sum(want)
+
+
+def test_rows_on_one_word_are_connected_alike(monkeypatch):
+    """All pairs at once and row by row connect the same rows, with bitmaps of every width."""
+    rng = np.random.default_rng(3)
+    n = np.sort(rng.integers(1, 200, 400))
+    few = [np.bitwise_and.reduce(rng.integers(0, 1 << 62, (4, 400), dtype=np.uint64)) for _ in range(4)]
+    bits = [np.where(lines._parity_words(n) > k, b, np.uint64(0)) for k, b in enumerate(few)]
+    got = []
+    for group in (1, 50, 1000):
+        monkeypatch.setattr(lines, "GROUP", group)
+        pairs = list(lines._candidates(n, rng.integers(0, 1, 400), bits, np.array([0, 40, 300]), 80))
+        node, least = lines._forest(*(np.concatenate(side) for side in zip(*pairs)))
+        got.append(dict(zip(node.tolist(), least.tolist())))
+    assert len(got[0]) > 50 and got[0] == got[1] == got[2]
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates_are_brute_force(docs, empty, width):
     sets = [(i, shingles(t, width)) for i, t, _ in rows() if i is not None]
