@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,6 +30,8 @@ GROUP, PAIRS = 4096, 1 << 18
 PARITY = 4
 #: Classes and words of one block of a cluster; shared words counted at once.
 BLOCK, BLOCK_WORDS, COLUMNS = 1024, 1 << 18, 2048
+#: Rows that follow each other in the table and are shuffled as one, as a power of two.
+RUN_BITS = 9
 
 _U = np.uint64
 
@@ -90,8 +93,8 @@ def _digests(words: np.ndarray) -> bytes:
     return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
-def _whole_groups(batches, keys: list[str], rows: int):
-    """(table, starts of its groups): runs of rows sorted by ``keys``, cut only between groups.
+def _whole_groups(batches, keys: list[str], rows: int, shift: int = 0):
+    """(table, starts of its groups): runs of rows sorted by ``keys`` less their low ``shift`` bits, cut only between groups.
 
     A table holds ``rows`` rows or more, but for the last; a larger group stays in one.
     """
@@ -101,7 +104,7 @@ def _whole_groups(batches, keys: list[str], rows: int):
         new = np.zeros(table.num_rows, bool)
         new[:1] = True
         for key in keys:
-            values = table.column(key).to_numpy()
+            values = table.column(key).to_numpy() >> shift
             new[1:] |= values[1:] != values[:-1]
         return np.flatnonzero(new)
 
@@ -212,6 +215,19 @@ def _needed(n, percent: int):
     return -(-percent * n // 100)
 
 
+def _packed(batch: pa.RecordBatch) -> bytes:
+    """The rows as one compressed Arrow stream, about half the size of rows that Spark shuffles one by one."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(rows) as stream:
+        return stream.read_next_batch()
+
+
 def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, firsts, links) of ``docs`` with columns _row (long), _id and ``text``.
 
@@ -254,21 +270,22 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
     lines = stored(docs.select("_id", "_row", text).mapInArrow(sets, shape), "lines")
     earliest = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "line", "n", *parity, "prefix")
     firsts = stored(lines.groupBy("k1", "k2").agg(F.min(earliest).alias("f")).select("k1", "k2", "f._row", "f.line", "f.n", *[f"f.{c}" for c in parity], "f.prefix"), "firsts")
-    # One long for the size and the place in the order of words keeps a posting small.  A class goes by
-    # k1 alone: two that share it by chance are in one cluster, which loses nothing.
+    # One long for the word and the size keeps a posting small, and one column is sorted without comparing
+    # rows.  A class goes by k1 alone: two that share it by chance are in one cluster, which loses nothing.
     post = firsts.select(F.posexplode("prefix").alias("pos", "token"), "k1", "n", *parity) \
-        .select("token", "k1", F.expr("(cast(n as long) << 32) | pos").alias("np"), *parity)
+        .select(F.expr("(cast(token as long) << 32) | cast(n as long)").alias("tn"), "k1", "pos", *parity)
 
     def connect(batches):
-        for table, starts in _whole_groups(batches, ["token"], 1 << 17):
+        for table, starts in _whole_groups(batches, ["tn"], 1 << 17, 32):
             many = np.diff(np.append(starts, table.num_rows)) > 1
             if not many.any():
                 continue
             rows = np.repeat(many, np.diff(np.append(starts, table.num_rows)))
-            token, k1, place, *bits = (table.column(c).to_numpy()[rows] for c in ("token", "k1", "np", *parity))
+            tn, k1, pos, *bits = (table.column(c).to_numpy()[rows] for c in ("tn", "k1", "pos", *parity))
+            token = tn >> 32
             begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             a, b, found = k1[:0], k1[:0], []
-            for x, y in _candidates(place >> 32, place & 0xFFFFFFFF, [w.view(np.uint64) for w in bits], begin, percent):
+            for x, y in _candidates(tn & 0xFFFFFFFF, pos, [w.view(np.uint64) for w in bits], begin, percent):
                 found.append((k1[x], k1[y]))
                 if sum(len(side) for side, _ in found) > PAIRS:
                     a, b = _forest(*(np.concatenate(side) for side in zip((a, b), *found)))
@@ -276,7 +293,7 @@ def matches(docs: DataFrame, percent: int = THRESHOLD, text: str = "text") -> tu
             a, b = _forest(*(np.concatenate(side) for side in zip((a, b), *found)))
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-    near = post.repartition(parts(spark), "token").sortWithinPartitions("token", "np").mapInArrow(connect, "a long, b long")
+    near = post.repartition(parts(spark), F.shiftright("tn", 32)).sortWithinPartitions("tn").mapInArrow(connect, "a long, b long")
     member = components(near).select(F.col("node").alias("k1"), F.col("component").alias("cluster"))
     wanted = stored(firsts.select("_row", "line", "k1", "n").join(member, "k1"), "line-wanted")
     rows_wanted = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("_row").alias("h")), "h"))
@@ -358,38 +375,56 @@ def dedup_lines(docs: DataFrame, percent: int = THRESHOLD, text: str = "text", d
     found = links.groupBy("_row", "line").agg(F.sum("links").alias("links"))
     gone = stored(repeats.union(found).groupBy("_row").agg(F.collect_list("line").alias("_gone"), F.sum("links").alias("_links")), "line-gone")
 
-    names = base.drop("_row", "_id").columns
+    names, counts = base.drop("_row", "_id").columns, ["lines_in", "lines_out", "line_links"]
     shape = StructType(list(base.drop("_row", "_id").schema))
-    for name in ("lines_in", "lines_out", "line_links"):
+    for name in counts:
         shape = shape.add(name, "long")
 
-    def rewrite(batches):
-        for batch in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
-            out, before, after = [], [], []
-            for value, gone in zip(batch.column(text).to_pylist(), batch.column("_gone").to_pylist()):
-                parts_of = [] if value is None else value.split("\n")
-                drop = set(gone or ())
-                kept = [x for i, x in enumerate(parts_of) if i not in drop]
-                out.append(None if value is None else "\n".join(kept))
-                before.append(len(parts_of))
-                after.append(len(kept))
-            columns = [pa.array(out, pa.string()) if c == text else batch.column(c) for c in names]
-            yield pa.record_batch([*columns, pa.array(before, pa.int64()), pa.array(after, pa.int64()), batch.column("_links")],
-                                  [*names, "lines_in", "lines_out", "line_links"])
-
     # Texts that lose no line are not shuffled: the bitmap shows which rows cannot be in ``gone``.
     losing = spark.sparkContext.broadcast(bitmap(gone.select(F.xxhash64("_row").alias("h")), "h"))
 
-    def part(hit: bool):
-        def run(batches):
-            for batch in batches:
-                mask = may_hold(losing.value, batch.column("_h").to_numpy(zero_copy_only=False)) == hit
-                yield batch.filter(pa.array(mask)).select(columns)
-        return run
-
-    passed = base.drop("_id")
-    columns = passed.columns
-    hashed = passed.withColumn("_h", F.xxhash64("_row"))
-    touched = hashed.mapInArrow(part(True), passed.schema).join(gone, "_row", "left")
-    others = hashed.mapInArrow(part(False), passed.schema).withColumn("_gone", F.lit(None).cast("array<int>")).withColumn("_links", F.lit(0).cast("long"))
-    return touched.unionByName(others).withColumn("_links", F.coalesce("_links", F.lit(0))).drop("_row").mapInArrow(rewrite, shape)
+    def rest(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(~may_hold(losing.value, batch.column("_h").to_numpy(zero_copy_only=False))))
+            number = pc.fill_null(pc.add(pc.count_substring(batch.column(text), "\n").cast(pa.int64()), 1), 0)
+            yield pa.record_batch([*(batch.column(c) for c in names), number, number, pa.array(np.zeros(batch.num_rows, np.int64))],
+                                  [*names, *counts])
+
+    def pack(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(may_hold(losing.value, batch.column("_h").to_numpy(zero_copy_only=False)))).select([*names, "_row"])
+            run = batch.column("_row").to_numpy(zero_copy_only=False) >> RUN_BITS
+            for rows in np.split(np.arange(len(run)), np.flatnonzero(run[1:] != run[:-1]) + 1):
+                if len(rows):
+                    yield pa.record_batch([pa.array(run[rows[:1]]), pa.array([_packed(batch.slice(int(rows[0]), len(rows)))], pa.binary())], ["run", "rows"])
+
+    def rewrite(batches):
+        now, lost = None, {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                run, rows, row, lines_of, links_of = (batch.column(c)[at].as_py() for c in ("run", "rows", "_row", "_gone", "_links"))
+                if run != now:
+                    now, lost = run, {}
+                if rows is None:
+                    lost[row] = set(lines_of), links_of
+                    continue
+                held = _unpacked(rows)
+                out, before, after, links = [], [], [], []
+                for value, row in zip(held.column(text).to_pylist(), held.column("_row").to_pylist()):
+                    drop, many = lost.get(row, ((), 0))
+                    parts_of = [] if value is None else value.split("\n")
+                    kept = [x for i, x in enumerate(parts_of) if i not in drop] if drop else parts_of
+                    out.append(None if value is None else "\n".join(kept))
+                    before.append(len(parts_of))
+                    after.append(len(kept))
+                    links.append(many)
+                columns = [pa.array(out, pa.string()) if c == text else held.column(c) for c in names]
+                yield pa.record_batch([*columns, *(pa.array(x, pa.int64()) for x in (before, after, links))], [*names, *counts])
+
+    hashed = base.drop("_id").withColumn("_h", F.xxhash64("_row"))
+    packed = hashed.mapInArrow(pack, "run long, rows binary")
+    lost = gone.select(F.shiftright("_row", RUN_BITS).alias("run"), "_row", "_gone", "_links")
+    # What a run loses comes before its rows.
+    touched = packed.unionByName(lost, allowMissingColumns=True).repartition(parts(spark), "run") \
+        .sortWithinPartitions("run", F.col("rows").isNotNull()).mapInArrow(rewrite, shape)
+    return touched.unionByName(hashed.mapInArrow(rest, shape))

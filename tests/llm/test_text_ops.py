@@ -4,9 +4,11 @@ import base64
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from llm_fixtures import rows, shingles, word_list
@@ -123,6 +125,37 @@ def test_links_of_a_family_follow_its_lines(spark, tmp_path, monkeypatch, block)
     assert links.count() <= 200 * blocks < sum(want) and links.groupBy().sum("links").first()[0] == sum(want)
 
 
+def test_one_python_worker_for_each_task_of_line_dedup(spark, tmp_path, capsys):
+    """No Python node reads another one in the same stage, which would take two workers for each task."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"a b c d e f g h i j\nline {i}") for i in range(40)], "doc_id long, text string").write.parquet(path)
+    lines.dedup_lines(spark.read.parquet(path)).explain()
+    nodes = [n for n in re.findall(r"^[ :+*()\d-]*([A-Z]\w*)", capsys.readouterr().out, re.M) if re.search("Exchange|Arrow|Pandas", n)]
+    assert nodes.count("MapInArrow") == 3
+    assert not any("Exchange" not in a + b for a, b in zip(nodes[:2], nodes[1:]))
+
+
+def test_rows_are_shuffled_packed(spark, tmp_path, capsys, monkeypatch):
+    """Texts that lose lines cross the shuffle as compressed runs, whatever their size, and come back whole."""
+    words = [f"w{i:03}" for i in range(300)]
+    rng = random.Random(5)
+    texts = [None, "", *(" ".join(rng.choices(words, k=rng.randint(1, 400))) for _ in range(300))]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["_row", "text"])
+    packed = lines._packed(batch)
+    assert lines._unpacked(packed).equals(batch) and len(packed) < 0.5 * sum(len(t or "") for t in texts)
+    assert lines._unpacked(lines._packed(batch.slice(3, 4))).equals(batch.slice(3, 4))
+
+    monkeypatch.setattr(lines, "RUN_BITS", 2)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"left {i}\nthe same line again\n\n{i} right", i % 3) for i in range(100)], "doc_id long, text string, other int").repartition(3).write.parquet(path)
+    found = lines.dedup_lines(spark.read.parquet(path))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(run" in plan and "Join" not in plan
+    got = {r["doc_id"]: (r["text"], r["other"], r["lines_in"], r["lines_out"], r["line_links"]) for r in found.collect()}
+    assert got == {i: (f"left {i}\n" + "the same line again\n" * (i == 0) + f"\n{i} right", i % 3, 4, 3 + (i == 0), 0) for i in range(100)}
+
+
 def test_rows_on_one_word_are_connected_alike(monkeypatch):
     """All pairs at once and row by row connect the same rows, with bitmaps of every width."""
     rng = np.random.default_rng(3)
