@@ -22,8 +22,9 @@ from stockloom.streaming import live
 # --------------------------------------------------------------------------- #
 # Risk: a 13-week mean forecast with one standard deviation either side
 # --------------------------------------------------------------------------- #
-def forecast(R):
-    rows = X.inference_frame(X.base_features(R.panel), R.weeks, R.last_week, H, check=False)
+def forecast(R, panel=None):
+    panel = R.panel if panel is None else panel
+    rows = X.inference_frame(X.base_features(panel), R.weeks, R.last_week, H, check=False)
     spread = F.coalesce("units_roll_std_13", F.lit(1.0))
     point = F.coalesce("units_roll_mean_13", F.lit(0.0))
     return rows.select(
@@ -36,10 +37,11 @@ def forecast(R):
 
 
 def risk_inputs(R):
-    # Forecast, stock and prices all read these two; they are built and written once.
-    R.master = cut(R.master)
-    R.panel = cut(R.panel)
-    rows = cut(forecast(R))
+    # The last origin's features look back a year at most, and the latest snapshot of each SKU a month;
+    # every series ends in the last week, so both read only the weeks that they can reach.
+    near = R.panel_since(R.last_week - dt.timedelta(weeks=X.SEASON_WEEKS))
+    R.inventory = R.inventory_of(near)
+    rows = cut(forecast(R, near))
     features = rows.select("sku_id", "week_start", "weeks_since_launch", "cv_13").distinct()
     return rows, features
 

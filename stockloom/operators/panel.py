@@ -3,16 +3,16 @@
 The panel needs a row for every SKU and week, priced with the *offered* price of
 each day (carried from the last sale).  Building every SKU-day first would cost
 seven times the rows, so sales are turned into **price segments**: each sale opens
-a segment that lasts until the day before the next one.  Segments explode straight
-into weeks (with the number of days they cover) or, where the daily table itself is
-wanted, into days.  Both need one shuffle on ``sku_id`` and no join with a grid.
+a segment that lasts until the day before the next one.  Segments become runs of
+weeks that read alike and these unfold into weeks, or, where the daily table itself is
+wanted, they explode into days.  Both need one shuffle on ``sku_id`` and no join with a grid.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.contracts import DataQualityError
@@ -161,48 +161,90 @@ def _with_age(weekly: DataFrame) -> DataFrame:
     return weekly.withColumns({"weeks_since_launch": age, "is_post_launch": launched})
 
 
+def week_runs(sales: DataFrame, master: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """The weekly panel with the weeks that sell nothing folded up.
+
+    Only a week with a sale, and the weeks at the two ends of a price segment, can hold more than
+    one segment; these are added up, one row each.  All weeks between lie within one segment and
+    sell nothing, so the row before them names the last one (``until``) and their price.  That is
+    about as many rows as there are days with a sale, whatever the length of history.
+    """
+    monday = S.week_start
+    segments = price_segments(sales, master, first, last)
+    # Ahead of its first sale a segment may reach back to the launch: cut it before the sale's week.
+    split = F.coalesce(monday("date") > monday("seg_from"), F.lit(False))
+    kinds = {"units_sold": F.lit(0.0), "revenue": F.lit(0.0), "promo_flag": F.lit(0)}
+    bought = F.col("date").isNotNull()
+    sold = [F.when(bought, F.col(c)).otherwise(z).alias(c) for c, z in kinds.items()]
+    unsold = [z.alias(c) for c, z in kinds.items()]
+    whole = F.array(F.struct(F.col("seg_from").alias("a"), F.col("seg_to").alias("b"), *sold))
+    halves = F.array(
+        F.struct(F.col("seg_from").alias("a"), F.date_sub(monday("date"), 1).alias("b"), *unsold),
+        F.struct(monday("date").alias("a"), F.col("seg_to").alias("b"), *sold),
+    )
+    pieces = segments.select(
+        "sku_id", *ATTRIBUTES, "offered_price", F.explode(F.when(split, halves).otherwise(whole)).alias("_p")
+    ).select("sku_id", *ATTRIBUTES, "offered_price", "_p.*", monday("_p.a").alias("_wa"), monday("_p.b").alias("_wb"))
+
+    def cell(week: str, days: Column, until: Column, values: list) -> Column:
+        return F.struct(F.col(week).alias("week_start"), days.alias("_days"), until.alias("until"), *values)
+
+    apart = F.datediff("_wb", "_wa")
+    between = F.when(apart >= 2 * WEEK_DAYS, F.date_sub("_wb", 7))
+    head = cell("_wa", F.datediff(F.least("b", F.date_add("_wa", 6)), "a") + 1, between, list(kinds))
+    tail = cell("_wb", F.datediff("b", "_wb") + 1, F.lit(None).cast("date"), unsold)
+    cells = pieces.select(
+        "sku_id", *ATTRIBUTES, "offered_price",
+        F.explode(F.when(apart > 0, F.array(head, tail)).otherwise(F.array(head))).alias("_c"),
+    ).select("sku_id", *ATTRIBUTES, "offered_price", "_c.*")
+    return cells.groupBy("sku_id", "week_start", *ATTRIBUTES).agg(
+        F.sum("units_sold").alias("units"),
+        F.sum("revenue").alias("revenue"),
+        (F.sum(F.col("offered_price") * F.col("_days")) / F.sum("_days")).alias("avg_price"),
+        F.sum("promo_flag").cast("double").alias("promo_days"),
+        F.sum("_days").alias("_days"),
+        F.max("until").alias("until"),
+        F.max(F.when(F.col("until").isNotNull(), F.col("offered_price"))).alias("_then"),
+    )
+
+
+def unfold_runs(runs: DataFrame, week_dim: DataFrame, since: dt.date | None = None) -> DataFrame:
+    """One row for every whole week of :func:`week_runs`, from the Monday ``since`` on."""
+    one, after = F.expr("interval 7 day"), F.date_add("week_start", 7)
+    at_hand = F.col("_days") == WEEK_DAYS
+    follow = F.col("until")
+    if since is not None:
+        at_hand = at_hand & (F.col("week_start") >= F.lit(since))
+        after = F.greatest(after, F.lit(since))
+        follow = F.when(F.col("until") >= F.lit(since), F.col("until"))
+    none = F.array().cast("array<date>")
+    weeks = F.concat(
+        F.when(at_hand, F.array("week_start")).otherwise(none),
+        F.when(follow.isNotNull(), F.sequence(after, follow, one)).otherwise(none),
+    )
+    own = F.col("_w") == F.col("week_start")
+    full = runs.withColumn("_w", F.explode(weeks)).select(
+        "sku_id", F.col("_w").alias("week_start"), *ATTRIBUTES,
+        *[F.when(own, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in ("units", "revenue", "promo_days")],
+        F.when(own, F.col("avg_price")).otherwise(F.col("_then") * WEEK_DAYS / F.lit(WEEK_DAYS)).alias("avg_price"),
+    )
+    holidays = small_side(week_dim.select("week_start", "holiday_days"))
+    return _with_age(full.join(holidays, "week_start", "left")).select(*PANEL)
+
+
 def weekly_panel(sales: DataFrame, master: DataFrame, week_dim: DataFrame,
                  span: tuple[dt.date, dt.date] | None = None,
                  audit: AuditTrail | None = None) -> DataFrame:
     """PNL-4: the weekly panel, straight from price segments."""
     first, last = span or date_span(sales)
-    segments = price_segments(sales, master, first, last)
-    covered = segments.withColumn(
-        "week_start",
-        F.explode(
-            F.sequence(S.week_start("seg_from"), F.col("seg_to"), F.expr("interval 7 day"))
-        ),
-    )
-    own = F.coalesce(S.week_start("date") == F.col("week_start"), F.lit(False))
-    days = (
-        F.datediff(
-            F.least("seg_to", F.date_add("week_start", 6)), F.greatest("seg_from", "week_start")
-        )
-        + 1
-    )
-    zero = F.lit(0.0)
-    weekly = (
-        covered.withColumn("_days", days)
-        .groupBy("sku_id", "week_start", *ATTRIBUTES)
-        .agg(
-            F.sum(F.when(own, F.col("units_sold")).otherwise(zero)).alias("units"),
-            F.sum(F.when(own, F.col("revenue")).otherwise(zero)).alias("revenue"),
-            (F.sum(F.col("offered_price") * F.col("_days")) / F.sum("_days")).alias("avg_price"),
-            F.sum(F.when(own, F.col("promo_flag")).otherwise(F.lit(0)))
-            .cast("double")
-            .alias("promo_days"),
-            F.sum("_days").alias("_days"),
-        )
-    )
+    runs = week_runs(sales, master, first, last)
     if audit is not None:
         audit.add(
-            "weekly_panel", "{n} SKU-week(s) cover fewer than seven days", weekly,
+            "weekly_panel", "{n} SKU-week(s) cover fewer than seven days", runs,
             F.count_if(F.col("_days") < WEEK_DAYS), "days per SKU-week", "dropped",
             "a part-week reads as a demand collapse", "warning",
         )
-    full = weekly.filter(F.col("_days") == WEEK_DAYS).drop("_days")
-    holidays = small_side(week_dim.select("week_start", "holiday_days"))
-    return _with_age(full.join(holidays, "week_start", "left")).select(*PANEL)
+    return unfold_runs(runs, week_dim)
 
 
 def attach_drivers(panel: DataFrame, marketing: DataFrame | None = None,

@@ -8,6 +8,7 @@ that a lost executor does not replay it, and is a side small enough to broadcast
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,10 +68,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_setting = threading.Lock()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder and continue from the written rows.
+
+    The shuffles that led to them are not read again, so Spark is told to drop their files at once
+    and not when the driver happens to collect garbage.  Only this plan is: the setting is taken
+    over when a frame is made.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    with _setting:
+        before = spark.conf.get(_CLEAN, None)
+        spark.conf.set(_CLEAN, "true")
+        try:
+            own = df.select("*")
+        finally:
+            spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return own.checkpoint(eager=True)
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stockloom.contracts import CATEGORY_CODES
 from stockloom.functions import scalar as S
 from stockloom.operators import panel as P
-from stockloom.session import cut
+from stockloom.session import cut, shuffle_partitions
 
 # Part types stand for the six categories, in this order.
 TYPE_TO_CATEGORY = {
@@ -117,10 +117,10 @@ class Retail:
             F.min("date").alias("launch_date"),
         )
         price = fixed(F.col("_cents") / (F.col("_units") * F.lit(100.0)), 2)
-        return per_sku.select(
+        return cut(per_sku.select(  # one row per SKU, read by nearly every step
             "sku_id", "category", "subcategory", "launch_date",
             fixed(price * 0.6, 2).alias("unit_cost"), price.alias("list_price"),
-        )
+        ))
 
     @cached_property
     def days(self) -> DataFrame:
@@ -174,9 +174,23 @@ class Retail:
     def weeks(self) -> DataFrame:
         return P.weekly_calendar(self.calendar)
 
+    @cached_property
+    def _runs(self) -> DataFrame:
+        """The panel before it is unfolded, written once: a row per day with a sale, not per week."""
+        runs = P.week_runs(self.sales, self.master, *self.span)
+        return cut(runs.sortWithinPartitions("sku_id", "week_start"))
+
+    def panel_since(self, since: dt.date | None) -> DataFrame:
+        """The panel from the Monday ``since`` on; weeks before it are not unfolded.  A partition
+        holds whole series, as the runs are dealt out by SKU before they grow."""
+        runs = self._runs
+        if since is not None:
+            runs = runs.filter(F.greatest("week_start", "until") >= F.lit(since))
+        return P.unfold_runs(runs.repartition(shuffle_partitions(self.spark), "sku_id"), self.weeks, since)
+
     @cached_property
     def panel(self) -> DataFrame:
-        return P.weekly_panel(self.sales, self.master, self.weeks, self.span)
+        return self.panel_since(None)
 
     @property
     def last_week(self) -> dt.date:
