@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from registry.core import fx, part, q, query, rounded
@@ -54,10 +56,13 @@ class _Fit:
 
 
 def residuals(R):
-    panel = cut(R.panel.select("sku_id", "category", "subcategory", "week_start", "units", "revenue", "list_price",
-                               "unit_cost", "promo_days", "holiday_days", "weeks_since_launch", "launch_date",
-                               "is_post_launch", "avg_price"))
+    """Residuals of SKUs, worked out where they are read, and of nodes, which are few and written."""
     cutoff = R.week_list[-32]
+    # No feature of an origin looks back further than a year.
+    reach = cutoff - dt.timedelta(weeks=X.SEASON_WEEKS)
+    panel = R.panel_since(reach).select(
+        "sku_id", "category", "subcategory", "week_start", "units", "revenue", "list_price", "unit_cost", "promo_days",
+        "holiday_days", "weeks_since_launch", "launch_date", "is_post_launch", "avg_price")
     sku = G.harvest_residuals(
         X.expand_horizons(X.add_rolling(panel), H, True), cutoff,
         _Fit(F.coalesce("units_roll_mean_13", F.lit(0.0))), least=False,
@@ -66,7 +71,7 @@ def residuals(R):
         X.expand_horizons(X.add_rolling(G.aggregate_panel(panel)), H, True), cutoff,
         _Fit(BL.seasonal_naive()), least=False,
     )
-    return cut(sku), cut(node)
+    return sku, cut(node)
 
 
 _ROLL4 = "CASE WHEN count(units) OVER (PARTITION BY sku_id ORDER BY week_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) >= 2 THEN avg(units) OVER (PARTITION BY sku_id ORDER BY week_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END"
@@ -126,8 +131,9 @@ def _tree(R):
     table = scales(R, sku, node)
     origin = R.week_list[-9]
     at = F.col("week_start") == F.lit(origin)
-    base = sku.filter(at).unionByName(node.filter(at)).select("node", "week_start", "horizon", "prediction")
-    return sku.filter(at), node.filter(at), table, cut(G.tree_reconcile(base, table, R.master))
+    now = cut(sku.filter(at))
+    base = now.unionByName(node.filter(at)).select("node", "week_start", "horizon", "prediction")
+    return now, node.filter(at), table, cut(G.tree_reconcile(base, table, R.master))
 
 
 @query("tree_reconcile", with_sql("part", _NEED, f"SELECT sku_id, horizon, {q('f+1000', 4)} AS reconciled FROM l2", _TREE))

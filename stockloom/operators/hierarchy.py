@@ -214,9 +214,10 @@ def residual_scales(residuals: DataFrame, edges: DataFrame,
     A node with fewer than eight residuals takes twice the median scale of its
     level: unknown reliability must read as low reliability.
     """
-    own = residuals.groupBy("node", "horizon").agg(
+    # A row per node and horizon, read by the medians and by the scales.
+    own = cut(residuals.groupBy("node", "horizon").agg(
         F.count("residual").alias("observations"), F.stddev_samp("residual").alias("_own")
-    )
+    ))
     grid = edges.select(
         "node", "level", F.explode(F.array(*[F.lit(int(h)) for h in horizons])).alias("horizon")
     )
