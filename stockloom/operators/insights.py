@@ -9,6 +9,7 @@ from stockloom.functions import metrics as M
 from stockloom.functions import scalar as S
 from stockloom.operators.lookup import page
 from stockloom.operators.ranking import exact_percentile, ordered
+from stockloom.session import cut
 
 DEAD_WEEKS = 8
 MOVER_WEEKS = 8
@@ -203,9 +204,10 @@ def headline_figures(panel: DataFrame) -> DataFrame:
 
 def tail_profile(panel: DataFrame) -> DataFrame:
     """AGG-9: median share of zero weeks per SKU and SKUs at or above 35%."""
-    zero = panel.groupBy("sku_id").agg(
+    # One number per SKU, read by the median's sort and by the counts.
+    zero = cut(panel.groupBy("sku_id").agg(
         F.avg(F.when(F.col("units") <= 0, 1.0).otherwise(0.0)).alias("zero_share")
-    )
+    ))
     median = exact_percentile(zero, [], "zero_share", 0.5, "median_zero_share")
     heavy = zero.agg(
         F.count_if(F.col("zero_share") >= 0.35).alias("skus_heavy"),
@@ -305,7 +307,7 @@ def product_table(panel: DataFrame, risk: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy("sku_id").orderBy(F.desc("week_start"))
     rn = F.col("_rn")
     n = MOVER_WEEKS
-    totals = (
+    totals = cut(  # a row per SKU, read for itself and for the grand total
         panel.withColumn("_rn", F.row_number().over(w))
         .groupBy("sku_id", "category", "subcategory")
         .agg(
