@@ -67,7 +67,8 @@ def availability(spark, d):
 @query("blackout_fallback", with_sql("part", ("panel", "inventory"), f"SELECT category, year(week_start) AS year, count(*) AS rows, {q('sum(fallback)', 2)} AS fallback FROM fb1 GROUP BY 1,2", _REC))
 def blackout_fallback(spark, d):
     R = part(spark, d)
-    out = Z.blackout_fallback(cut(Z.attach_availability(R.panel, _stock(R))))
+    seen = Z.attach_availability(R.panel, _stock(R)).select("sku_id", "category", "week_start", "units", "availability")
+    out = Z.blackout_fallback(seen)
     return rounded(
         out.groupBy("category", F.year("week_start").alias("year")).agg(
             F.count(F.lit(1)).alias("rows"), F.sum("fallback").alias("fallback")
@@ -299,7 +300,7 @@ _COLD = _NEAR + ",\n " + _OWN + ",\n " + _SEAS + """,
 
 
 def _cold(R):
-    panel = cut(R.panel)
+    panel = R.panel
     rows = X.expand_horizons(panel.where(F.col("weeks_since_launch") < E.NEW_WEEKS), H, labelled=False)
     rows = rows.select("sku_id", "category", "week_start", "horizon", "target_week",
                        "weeks_since_launch", "y")

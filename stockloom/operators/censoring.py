@@ -66,12 +66,14 @@ def blackout_fallback(df: DataFrame) -> DataFrame:
     0.25-4).  The shape table has at most 53 rows per category; its means are
     computed by grouping, not by windows over whole categories.
     """
-    served = df.filter(F.col("availability") >= SERVED)
-    level = served.groupBy("sku_id").agg(F.avg("units").alias("_level"))
-    overall = served.agg(F.avg("units").alias("_overall"))
-    cells = served.groupBy("category", S.iso_week("week_start").alias("_week")).agg(
-        F.sum("units").alias("_s"), F.count(F.lit(1)).alias("_n")
-    )
+    is_served = F.col("availability") >= SERVED
+    # A row per category and week of the year: all that other SKUs say to a row.
+    cells = cut(df.filter(is_served).groupBy("category", S.iso_week("week_start").alias("_week")).agg(
+        F.sum("units").alias("_s"), F.count("units").alias("_known"), F.count(F.lit(1)).alias("_n")
+    ))
+    overall = cells.agg(F.try_divide(F.sum("_s"), F.sum("_known")).alias("_overall"))
+    whole = Window.partitionBy("sku_id")
+    level = F.when(F.col("sku_id").isNotNull(), F.avg(F.when(is_served, F.col("units"))).over(whole))
     means = cells.groupBy("category").agg((F.sum("_s") / F.sum("_n")).alias("_mean"))
     shape = cells.join(small_side(means), "category").select(
         "category", "_week",
@@ -79,14 +81,14 @@ def blackout_fallback(df: DataFrame) -> DataFrame:
     )
     return (
         df.withColumn("_week", S.iso_week("week_start"))
-        .join(level, "sku_id", "left")
+        .withColumn("_level", level)
         .join(small_side(shape), ["category", "_week"], "left")
         .crossJoin(F.broadcast(overall))  # one row
         .withColumn(
             "fallback",
             F.coalesce(
                 F.col("_level"), F.col("_overall"),
-                F.avg("units").over(Window.partitionBy("sku_id")),
+                F.avg("units").over(whole),
             )
             * F.coalesce("_shape", F.lit(1.0)),
         )
