@@ -10,6 +10,7 @@ from registry.sql import with_sql
 from stockloom.operators import audit as A
 from stockloom.operators import cleaning as K
 from stockloom.operators.audit import AuditTrail
+from stockloom.session import cut
 
 # Steps S1..S9 in SQL.  `typed` is the frame after S4 and S5.
 _STEPS = RAW_SALES + """,
@@ -92,7 +93,9 @@ def clean_price_repair(spark, d):
 )
 def clean_revenue_and_flag(spark, d):
     R = style(spark, d)
-    sales = K.clean_promo_flag(K.repair_revenue(K.repair_price(_typed(R), R.master)))
+    # The repair reads the typed rows several times; their text is parsed once.
+    typed = cut(_typed(R).select("sku_id", "units_sold", "revenue", "unit_price", "promo_flag"))
+    sales = K.clean_promo_flag(K.repair_revenue(K.repair_price(typed, R.master)))
     out = sales.groupBy("sku_id", "promo_flag").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("revenue").alias("revenue")
     )
